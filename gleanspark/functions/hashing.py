@@ -35,13 +35,24 @@ def _shape(content: Column) -> Column:
     return F.regexp_replace(skeleton, r"(?<=[SN]), S: [SN]", "")
 
 
-def is_flat_plain(content: Column) -> Column:
-    """True for a flat JSON object of printable-ASCII strings and integers, no escapes, no
-    repeated key, spaced ``", "`` and ``": "`` as a JSON column stores it. Never NULL."""
-    plain_text = ~content.rlike(r"['\\]|[^\x20-\x7e]")
-    flat = _shape(content).isin("{}", "{S: S}", "{S: N}")
-    names = F.json_object_keys(F.when(plain_text & flat, content))
-    return F.coalesce(plain_text & flat & (F.size(names) == F.size(F.array_distinct(names))), F.lit(False))
+def _is_flat_plain(content: Column) -> Column:
+    """Whether content is a flat JSON object of printable-ASCII strings and integers, without
+    escapes or repeated keys, spaced ``", "`` and ``": "`` as a JSON column stores it."""
+    return (
+        ~content.rlike(r"['\\]|[^\x20-\x7e]")
+        & _shape(content).isin("{}", "{S: S}", "{S: N}")
+        & F.try_parse_json(content).isNotNull()  # NULL on a repeated key
+    )
+
+
+def _flat_printed(content: Column) -> Column:
+    """Printed form of flat plain content, NULL for any other."""
+    return F.when(_is_flat_plain(content), F.translate(content, '"', "'"))
+
+
+def _flat_sorted(content: Column) -> Column:
+    """Canonical form of flat plain content, NULL for any other."""
+    return F.when(_is_flat_plain(content), F.to_json(F.try_parse_json(content)))
 
 
 def _printed_helper():
@@ -75,17 +86,15 @@ def _sorted_helper():
 def py_repr(content: Column | str) -> Column:
     """A JSON value as Python prints it: single quotes, True/False/None, stored key order."""
     c = F.col(content) if isinstance(content, str) else content
-    plain = is_flat_plain(c)
-    rest = F.when(~plain, c)
-    return F.when(plain, F.translate(c, '"', "'")).otherwise(_printed_helper()(rest))
+    flat = _flat_printed(c)
+    return F.coalesce(flat, _printed_helper()(F.when(flat.isNull(), c)))
 
 
 def canonical_json(content: Column | str) -> Column:
     """A JSON value with sorted keys and no spaces, non-ASCII characters escaped."""
     c = F.col(content) if isinstance(content, str) else content
-    plain = is_flat_plain(c)
-    rest = F.when(~plain, c)
-    return F.when(plain, F.to_json(F.try_parse_json(F.when(plain, c)))).otherwise(_sorted_helper()(rest))
+    flat = _flat_sorted(c)
+    return F.coalesce(flat, _sorted_helper()(F.when(flat.isNull(), c)))
 
 
 def task_fingerprint(
@@ -102,7 +111,12 @@ def task_fingerprint(
     apart, for use where stored fingerprints need not match.
     """
     if mode == "exact":
-        return df.withColumn(out, md5_parts([F.col(platform), py_repr(content)]))
-    if mode == "canonical":
-        return df.withColumn(out, md5_parts([F.col(platform), F.lit("\n"), canonical_json(content)]))
-    raise ValueError(f"unknown fingerprint mode {mode!r}")
+        flat, helper, parts = _flat_printed, _printed_helper(), [F.col(platform)]
+    elif mode == "canonical":
+        flat, helper, parts = _flat_sorted, _sorted_helper(), [F.col(platform), F.lit("\n")]
+    else:
+        raise ValueError(f"unknown fingerprint mode {mode!r}")
+    # a column of its own, so that the shape is tested once per row
+    staged = df.withColumn("__flat", flat(F.col(content)))
+    text = F.coalesce("__flat", helper(F.when(F.col("__flat").isNull(), F.col(content))))
+    return staged.withColumn(out, md5_parts([*parts, text])).drop("__flat")

@@ -163,7 +163,7 @@ def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None
         .groupBy(_FP)
         .agg(F.min(F.struct("task_group", "task_name")).alias("holder"))
     )
-    names_taken = settle(keys_present(distinct, tasks, _NAME))
+    names_taken = keys_present(distinct, tasks, _NAME)
     open_requests = lookup_join(distinct, held.select(_FP), _FP, "left_anti")
     open_requests = lookup_join(open_requests, names_taken, _NAME, "left_anti")
     admitted = _greedy_rounds(settle(open_requests.select(*distinct.columns)))

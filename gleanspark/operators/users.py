@@ -75,8 +75,8 @@ def delete_users(requests: DataFrame, users: DataFrame, tasks: DataFrame) -> Pat
         requests.select("user_id"), users.select(F.col("id").alias("user_id")), "user_id"
     ).withColumn("known", F.lit(True))
     owners = keys_present(requests, tasks, "user_id").withColumn("owns_tasks", F.lit(True))
-    seen = lookup_join(lookup_join(requests, actors, "actor_id"), settle(known), "user_id")
-    judged = lookup_join(seen, settle(owners), "user_id")
+    seen = lookup_join(lookup_join(requests, actors, "actor_id"), known, "user_id")
+    judged = lookup_join(seen, owners, "user_id")
     gate = ~F.coalesce("actor_is_superuser", F.lit(False))
     outcome = (
         F.when(gate, F.lit(FORBIDDEN))

@@ -159,14 +159,14 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: s
 
 
 def keys_present(keys: DataFrame, table: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    """The distinct ``keys`` rows that occur in ``table``.
+    """The distinct ``keys`` rows that occur in ``table``, settled.
 
     When the keys are few, the table is only filtered by a broadcast and never
     shuffled whole; duplicates are combined before any shuffle.
     """
     names = [on] if isinstance(on, str) else list(on)
-    wanted = keys.select(*names).distinct()
+    wanted = settle(keys.select(*names).distinct())
     held = table.select(*names)
     if fits_broadcast(wanted):
-        return held.join(F.broadcast(wanted), names, "left_semi").distinct()
-    return held.distinct().join(wanted, names, "left_semi")
+        return settle(held.join(F.broadcast(wanted), names, "left_semi").distinct())
+    return settle(held.distinct().join(wanted, names, "left_semi"))
