@@ -24,6 +24,7 @@ from gleanspark.operators import (
 )
 from gleanspark.plans import browse
 from gleanspark.plans.durable import checkpoint_folder
+from gleanspark.plans.skew import lookup_join
 from gleanspark.sources import conform, outbox, registry, schemas
 from gleanspark.sources import tables as stored
 
@@ -354,7 +355,7 @@ def tasks_of_group_total(t: Tables) -> DataFrame:
 )
 def tasks_of_groups(t: Tables) -> DataFrame:
     page, total = filters.tasks_of_groups(t.task, 0, 2)
-    return page.join(total, "task_group").select("id", "user_id", "task_group", "position", "total_count")
+    return lookup_join(page, total, "task_group").select("id", "user_id", "task_group", "position", "total_count")
 
 
 @query(sql(f"SELECT {TASK_FIELDS} FROM task WHERE task_name = 'task 77' AND user_id IS NOT NULL", "task"))
@@ -441,8 +442,8 @@ def page_desc(t: Tables) -> DataFrame:
 
 @query(sql(f"SELECT {TASK_FIELDS} FROM task {NEWEST_TASK} LIMIT 300 OFFSET 700", "task"))
 def page_desc_deep(t: Tables) -> DataFrame:
-    """The same cut made by position in a distributed sort, as for a deep page."""
-    order = paging.newest_first("created_at", "id", "first")
+    """The same cut made from a distributed sort of the order columns, as for a deep page."""
+    order = paging.newest_order("created_at", "id", "first")
     return paging.slice_ordered(t.task, order, 700, 300, shallow=0)
 
 

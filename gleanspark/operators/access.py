@@ -33,7 +33,7 @@ def task_access(requests: DataFrame, tasks: DataFrame, users: DataFrame, carry:
         F.lit(True).alias("task_found"),
         *[F.col(c) for c in carry],
     )
-    seen = lookup_join(lookup_join(requests, wanted, "task_id"), _actors(users), "user_id")
+    seen = lookup_join(lookup_join(requests, wanted, "task_id"), _actors(users), "user_id", keys_from=requests)
     allowed = (F.col("owner_id") == F.col("user_id")) | F.coalesce("actor_is_superuser", F.lit(False))
     return (
         seen.withColumn(
@@ -59,7 +59,7 @@ def user_access(requests: DataFrame, users: DataFrame) -> DataFrame:
     does not exist.
     """
     targets = users.select(F.col("id").alias("target_id"), F.lit(True).alias("target_found"))
-    seen = lookup_join(lookup_join(requests, targets, "target_id"), _actors(users), "user_id")
+    seen = lookup_join(lookup_join(requests, targets, "target_id"), _actors(users), "user_id", keys_from=requests)
     return (
         seen.withColumn(
             "outcome",

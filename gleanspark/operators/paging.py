@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,50 +17,112 @@ SHALLOW_ROWS = 100_000
 _POS = "__pos"
 _PART = "__part"
 _START = "__start"
+_RANK = "__rank"
 _PART_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
-def newest_first(order_col: str, tie: str | None, nulls: str = "last") -> list[Column]:
-    """Descending order with NULLs where the caller wants them and ties broken by key."""
+class Order(NamedTuple):
+    """One column of a sort order."""
+
+    name: str
+    descending: bool = False
+    nulls_first: bool = True
+
+    def column(self) -> Column:
+        value = F.col(self.name)
+        if self.descending:
+            return value.desc_nulls_first() if self.nulls_first else value.desc_nulls_last()
+        return value.asc_nulls_first() if self.nulls_first else value.asc_nulls_last()
+
+    def after(self, last) -> Column:
+        """Whether a row sorts strictly behind the value ``last``."""
+        value = F.col(self.name)
+        if last is None:
+            return value.isNotNull() if self.nulls_first else F.lit(False)
+        behind = value < F.lit(last) if self.descending else value > F.lit(last)
+        return F.coalesce(behind, F.lit(not self.nulls_first))
+
+
+def after_row(order: Sequence[Order], last: Sequence, inclusive: bool = False) -> Column:
+    """Whether a row sorts behind the row with the order values ``last`` (or beside it)."""
+    condition = F.lit(inclusive)
+    for part, value in reversed(list(zip(order, last, strict=True))):
+        condition = part.after(value) | (F.col(part.name).eqNullSafe(F.lit(value)) & condition)
+    return condition
+
+
+def newest_order(order_col: str, tie: str | None, nulls: str = "last") -> list[Order]:
+    """Newest first with NULLs where the caller wants them and ties broken by key."""
     if nulls not in ("first", "last"):
         raise ValueError("nulls must be 'first' or 'last'")
-    column = F.col(order_col)
-    order = [column.desc_nulls_first() if nulls == "first" else column.desc_nulls_last()]
+    order = [Order(order_col, True, nulls == "first")]
     if tie and tie != order_col:
-        order.append(F.col(tie).asc())
+        order.append(Order(tie))
     return order
 
 
+def newest_first(order_col: str, tie: str | None, nulls: str = "last") -> list[Column]:
+    """``newest_order`` as sort columns."""
+    return [part.column() for part in newest_order(order_col, tie, nulls)]
+
+
 def check_page(skip: int, limit: int) -> None:
     if skip < 0 or limit < 0:
         raise ValueError("skip and limit must not be negative")
 
 
-def slice_ordered(df: DataFrame, order: Sequence[Column], skip: int, limit: int, shallow: int = SHALLOW_ROWS) -> DataFrame:
-    """Rows ``skip .. skip+limit`` of the ordered frame.
+def _ranked(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """The frame with each row's position in the order, ``__rank``, counted from 0.
 
-    A shallow page is a per-partition top-k. A deep one would hold back ``skip + limit`` rows
-    in one place, so there the frame is range-sorted over the cluster and the page is cut by
-    position: partition row counts give each partition's first position.
+    The rows are range-sorted over the cluster and settled; the row counts of the sorted
+    partitions, one row per partition, give each partition's first position.
     """
-    check_page(skip, limit)
-    if skip + limit <= shallow:
-        return df.orderBy(*order).offset(skip).limit(limit)
-
-    placed = settle(df.orderBy(*order).withColumn(_POS, F.monotonically_increasing_id()))
+    placed = settle(df.orderBy(*columns).withColumn(_POS, F.monotonically_increasing_id()))
     part = F.shiftright(_POS, _PART_BITS).alias(_PART)
-    # one row per sorted partition: bounded by the partition count, not by the data
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(_PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(_START))
     rank = F.col(_START) + F.col(_POS).bitwiseAND(F.lit((1 << _PART_BITS) - 1))
-    return (
-        placed.withColumn(_PART, part)
-        .join(F.broadcast(starts), _PART)
-        .where((rank >= skip) & (rank < skip + limit))
-        .orderBy(_POS)
-        .select(*df.columns)
-    )
+    return placed.withColumn(_PART, part).join(F.broadcast(starts), _PART).select(*df.columns, rank.alias(_RANK))
+
+
+def _cut(df: DataFrame, columns: Sequence[Column], skip: int, limit: int) -> DataFrame:
+    """A slice by position, for one that is no page but a large part of the table."""
+    rank = F.col(_RANK)
+    return _ranked(df, columns).where((rank >= skip) & (rank < skip + limit)).orderBy(rank).select(*df.columns)
+
+
+def slice_ordered(
+    df: DataFrame, order: Sequence[Order], skip: int, limit: int, shallow: int = SHALLOW_ROWS
+) -> DataFrame:
+    """Rows ``skip .. skip+limit`` of the ordered frame.
+
+    A shallow page is a per-partition top-k. A deep one would hold back ``skip + limit`` rows
+    in one place. There only the order columns are sorted, over the cluster, to find the
+    page's first row; the page is then a top-k over the rows from that one on.
+    """
+    check_page(skip, limit)
+    columns = [part.column() for part in order]
+    if skip + limit <= shallow:
+        return df.orderBy(*columns).offset(skip).limit(limit)
+    if limit > SHALLOW_ROWS:
+        return _cut(df, columns, skip, limit)
+
+    names = [part.name for part in order]
+    ranked = _ranked(df.select(*names), columns)
+    first = ranked.where(F.col(_RANK) == skip).first()
+    if first is None:
+        return df.limit(0)
+    start = [first[name] for name in names]
+    same = F.lit(True)
+    for name, value in zip(names, start, strict=True):
+        same = same & F.col(name).eqNullSafe(F.lit(value))
+    # rows that equal the first in all order columns and sort before it
+    beside = ranked.where(same & (F.col(_RANK) < skip)).count()
+    if beside + limit > SHALLOW_ROWS:
+        return _cut(df, columns, skip, limit)
+    rest = df.where(after_row(order, start, inclusive=True))
+    return rest.orderBy(*columns).offset(beside).limit(limit)
 
 
 def page_desc(
@@ -71,20 +134,19 @@ def page_desc(
     tie: str | None = "id",
 ) -> DataFrame:
     """One page, newest first."""
-    return slice_ordered(df, newest_first(order_col, tie, nulls), skip, limit)
+    return slice_ordered(df, newest_order(order_col, tie, nulls), skip, limit)
 
 
-def page_after(df: DataFrame, order_col: str, last_time, last_key, limit: int = 100, tie: str = "id") -> DataFrame:
-    """The page after the row (``last_time``, ``last_key``) of the previous one, NULL times last.
+def page_after(
+    df: DataFrame, order_col: str, last_time, last_key, limit: int = 100, nulls: str = "last", tie: str = "id"
+) -> DataFrame:
+    """The page after the row (``last_time``, ``last_key``) of the previous one.
 
     Walking pages this way costs one filtered top-k each, however deep the walk.
     """
-    time, key = F.col(order_col), F.col(tie)
-    if last_time is None:
-        rest = df.where(time.isNull() & (key > last_key))
-    else:
-        rest = df.where((time < last_time) | time.isNull() | ((time == last_time) & (key > last_key)))
-    return rest.orderBy(*newest_first(order_col, tie)).limit(limit)
+    order = newest_order(order_col, tie, nulls)
+    rest = df.where(after_row(order, [last_time, last_key]))
+    return rest.orderBy(*[part.column() for part in order]).limit(limit)
 
 
 def page_adaptive(
@@ -99,7 +161,7 @@ def page_adaptive(
     key = tie or ("id" if "id" in df.columns else df.columns[0])
     if order_col in df.columns:
         return page_desc(df, order_col, skip, limit, nulls, key)
-    return slice_ordered(df, [F.col(key).asc()], skip, limit)
+    return slice_ordered(df, [Order(key)], skip, limit)
 
 
 def total_of(df: DataFrame, name: str = "total_count") -> DataFrame:

@@ -59,7 +59,8 @@ def id_first(df: DataFrame, key: str = "id") -> DataFrame:
 
 def record_detail(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Full rows of the requested ids."""
-    return lookup_join(df, ids.select(key).distinct(), key, "left_semi").select(*df.columns)
+    wanted = ids.select(key).distinct()
+    return lookup_join(df, wanted, key, "left_semi", unique=True).select(*df.columns)
 
 
 def _cast_and_fault(df: DataFrame, name: str, want: str) -> tuple[Column, Column]:

@@ -63,7 +63,12 @@ def tasks_with_run(tasks: DataFrame, runs: DataFrame) -> DataFrame:
         F.col("priority").alias("run_priority"),
         F.col("error_reason").alias("run_error_reason"),
     )
-    return lookup_join(tasks, run, "task_fingerprint").select(*tasks.columns, *run.columns[1:])
+    return lookup_join(tasks, run, "task_fingerprint", unique=True).select(*tasks.columns, *run.columns[1:])
+
+
+def rows_with_keys(keys: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Rows of a table, unique on its key, whose key is asked for."""
+    return lookup_join(table, keys, on, "left_semi", unique=True).select(*table.columns)
 
 
 # --- admission -----------------------------------------------------------------------------
@@ -123,7 +128,7 @@ def _greedy_rounds(undecided: DataFrame) -> DataFrame:
         first_of_print = undecided.groupBy(_FP).agg(F.min("seq").alias("seq")).select("seq")
         first_of_name = undecided.groupBy(*_NAME).agg(F.min("seq").alias("seq")).select("seq")
         certain = settle(first_of_print.join(first_of_name, "seq", "left_semi"))
-        winners = settle(lookup_join(undecided, certain, "seq", "left_semi").select(*undecided.columns))
+        winners = settle(lookup_join(undecided, certain, "seq", "left_semi", unique=True).select(*undecided.columns))
         undecided = lookup_join(undecided, winners.select(_FP), _FP, "left_anti")
         undecided = lookup_join(undecided, winners.select(*_NAME), _NAME, "left_anti")
         undecided = settle(undecided.select(*winners.columns))
@@ -159,7 +164,7 @@ def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None
     distinct = staged.dropna("any", subset=["user_id"]).groupBy(_FP, *_NAME).agg(F.min("seq").alias("seq"))
     distinct = settle(distinct.select("seq", _FP, *_NAME))
     held = settle(
-        keys_present_rows(distinct.select(_FP).distinct(), tasks.select(_FP, "task_group", "task_name"), _FP)
+        rows_with_keys(distinct.select(_FP).distinct(), tasks.select(_FP, "task_group", "task_name"), _FP)
         .groupBy(_FP)
         .agg(F.min(F.struct("task_group", "task_name")).alias("holder"))
     )
@@ -169,13 +174,13 @@ def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None
     admitted = _greedy_rounds(settle(open_requests.select(*distinct.columns)))
 
     admitted_seq = admitted.select("seq").withColumn("admitted", F.lit(True))
-    marked = lookup_join(staged, admitted_seq, "seq").select(*staged.columns, "admitted")
+    marked = lookup_join(staged, admitted_seq, "seq", unique=True).select(*staged.columns, "admitted")
     # the task that holds a fingerprint: an existing one, or the one admitted in this batch
     in_batch = marked.where("admitted").select(
         _FP, F.struct("task_group", "task_name").alias("holder"), F.col("seq").alias("holder_seq")
     )
     holders = held.withColumn("holder_seq", F.lit(None).cast(in_batch.schema["holder_seq"].dataType)).unionByName(in_batch)
-    judged = lookup_join(marked, settle(holders), _FP)
+    judged = lookup_join(marked, settle(holders), _FP, keys_from=staged)
     by_print = F.col("holder").isNotNull() & (F.col("holder_seq").isNull() | (F.col("holder_seq") < F.col("seq")))
     outcomes = settle(
         judged.withColumn(
@@ -197,7 +202,7 @@ def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None
     )
 
     accepted_seq = outcomes.where(F.col("outcome") == OK).select("seq", _FP)
-    rows = lookup_join(filled, accepted_seq, "seq", "inner")
+    rows = lookup_join(filled, accepted_seq, "seq", "inner", unique=True)
     accepted = apply_defaults(rows, {}, ("created_at", "updated_at"), now, id_from=(_FP,))
     accepted = accepted.withColumn("status", F.lit(PENDING).cast("smallint")).withColumn("is_delete", F.lit(False))
     return Admission(
@@ -207,11 +212,6 @@ def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None
     )
 
 
-def keys_present_rows(keys: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """Table rows whose key is asked for."""
-    return lookup_join(table, keys, on, "left_semi").select(*table.columns)
-
-
 # --- runs ----------------------------------------------------------------------------------
 
 
@@ -223,11 +223,11 @@ def upsert_runs(new_runs: DataFrame, runs: DataFrame, keep_id: bool = False, seq
     """
     latest = last_per_key(new_runs, _FP, seq).select(*RUN_COLUMNS)
     latest = settle(latest)
-    kept = lookup_join(runs, latest.select(_FP), _FP, "left_anti").select(*RUN_COLUMNS)
+    kept = lookup_join(runs, latest.select(_FP), _FP, "left_anti", unique=True).select(*RUN_COLUMNS)
     if keep_id:
-        old = keys_present_rows(latest.select(_FP), runs, _FP).select(_FP, F.col("id").alias("old_id"))
+        old = rows_with_keys(latest.select(_FP), runs, _FP).select(_FP, F.col("id").alias("old_id"))
         latest = (
-            lookup_join(latest, old, _FP)
+            lookup_join(latest, old, _FP, unique=True)
             .withColumn("id", F.coalesce("old_id", F.col("id").cast(runs.schema["id"].dataType)))
             .select(*RUN_COLUMNS)
         )
@@ -249,7 +249,7 @@ class LifeCycle(NamedTuple):
 def _with_status(table: DataFrame, keys: DataFrame, key: str, changes: dict[str, Column]) -> DataFrame:
     """Rewrite some columns of the rows whose key is listed; the table is not shuffled when
     the list is small."""
-    marked = lookup_join(table, keys.select(key).distinct().withColumn("__hit", F.lit(True)), key)
+    marked = lookup_join(table, settle(keys.select(key).distinct()).withColumn("__hit", F.lit(True)), key, unique=True)
     return marked.select(
         *[
             F.when(F.col("__hit"), changes[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
@@ -287,7 +287,7 @@ def begin_tasks(
         F.array_contains(F.json_object_keys("crawl_rule"), "basic").alias("has_basic"),
         rule_keys("crawl_rule").alias("rule_fields"),
     )
-    ruled = lookup_join(asked, usable, "source_platform")
+    ruled = lookup_join(settle(asked), usable, "source_platform")
     empty = F.coalesce(F.regexp_replace("task_content", r"\s", ""), F.lit("")).isin("", "{}", "null")
     missing = missing_fields("task_content", ("priority", "cron_expr"))
     priority = _json_text("priority").try_cast("smallint")

@@ -49,14 +49,15 @@ def admit_users(requests: DataFrame, users: DataFrame, now: Column | None = None
     """
     first = requests.groupBy("email").agg(F.min("seq").alias("seq"))
     taken = keys_present(first, users, "email")
-    new = settle(lookup_join(first, taken, "email", "left_anti").select("seq").withColumn("is_new", F.lit(True)))
+    new = lookup_join(first, taken, "email", "left_anti", unique=True)
+    new = settle(new.select("seq").withColumn("is_new", F.lit(True)))
     outcomes = (
-        lookup_join(requests.select("seq", "email"), new, "seq")
+        lookup_join(requests.select("seq", "email"), new, "seq", unique=True)
         .withColumn("outcome", F.when(F.col("is_new"), F.lit(OK)).otherwise(F.lit(BAD_REQUEST)))
         .withColumn("reason", F.when(F.col("is_new").isNull(), F.lit(EMAIL_EXISTS_ON_CREATE)))
         .select("seq", "email", "outcome", "reason")
     )
-    rows = lookup_join(requests, new.select("seq"), "seq", "left_semi")
+    rows = lookup_join(requests, new.select("seq"), "seq", "left_semi", unique=True)
     rows = apply_defaults(rows, USER_DEFAULTS, ("created_at",), now)
     if "id" not in rows.columns:
         rows = rows.withColumn("id", row_id("email", "seq"))
@@ -75,8 +76,8 @@ def delete_users(requests: DataFrame, users: DataFrame, tasks: DataFrame) -> Pat
         requests.select("user_id"), users.select(F.col("id").alias("user_id")), "user_id"
     ).withColumn("known", F.lit(True))
     owners = keys_present(requests, tasks, "user_id").withColumn("owns_tasks", F.lit(True))
-    seen = lookup_join(lookup_join(requests, actors, "actor_id"), known, "user_id")
-    judged = lookup_join(seen, owners, "user_id")
+    seen = lookup_join(lookup_join(requests, actors, "actor_id"), known, "user_id", keys_from=requests)
+    judged = lookup_join(seen, owners, "user_id", keys_from=requests)
     gate = ~F.coalesce("actor_is_superuser", F.lit(False))
     outcome = (
         F.when(gate, F.lit(FORBIDDEN))
@@ -86,14 +87,12 @@ def delete_users(requests: DataFrame, users: DataFrame, tasks: DataFrame) -> Pat
         .otherwise(F.lit(OK))
     )
     decided = settle(judged.withColumn("outcome", outcome).withColumn("gate", gate))
-    # of several accepted requests for a user, the first deletes and the rest find nothing
     deleting = settle(
         decided.where(F.col("outcome") == OK).groupBy("user_id").agg(F.min("seq").alias("seq"))
     )
-    first = lookup_join(decided, deleting.select("seq").withColumn("deletes", F.lit(True)), "seq")
     # a later request against a user already deleted finds no user, whoever makes it
     gone = deleting.select("user_id", F.col("seq").alias("gone_at"))
-    final = lookup_join(first, gone, "user_id").withColumn(
+    final = lookup_join(decided, gone, "user_id").withColumn(
         "outcome",
         F.when(~F.col("gate") & (F.col("gone_at") < F.col("seq")), F.lit(NOT_FOUND)).otherwise(F.col("outcome")),
     )
@@ -108,14 +107,14 @@ def delete_users(requests: DataFrame, users: DataFrame, tasks: DataFrame) -> Pat
         .when(F.col("outcome") == SERVER_ERROR, F.lit(OWNS_TASKS))
         .alias("reason"),
     )
-    state = lookup_join(users, deleting.select(F.col("user_id").alias("id")), "id", "left_anti")
+    state = lookup_join(users, deleting.select(F.col("user_id").alias("id")), "id", "left_anti", unique=True)
     return Patched(state.select(*users.columns), outcomes)
 
 
 def seed_if_absent(base: DataFrame, seed: DataFrame, key: str) -> DataFrame:
     """The table plus the seed rows whose key it does not have."""
     there = keys_present(seed, base, key)
-    return base.unionByName(lookup_join(seed, there, key, "left_anti").select(*base.columns))
+    return base.unionByName(lookup_join(seed, there, key, "left_anti", unique=True).select(*base.columns))
 
 
 def update_users(patches: DataFrame, users: DataFrame, form: str = "admin") -> Patched:

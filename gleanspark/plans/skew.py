@@ -135,17 +135,31 @@ def _salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, h
     return spread.join(copies, [*on, SALT], how).drop(SALT)
 
 
-def lookup_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+def lookup_join(
+    fact: DataFrame,
+    dim: DataFrame,
+    on: str | Sequence[str],
+    how: str = "left",
+    unique: bool = False,
+    keys_from: DataFrame | None = None,
+) -> DataFrame:
     """Join ``fact`` to ``dim``, which has at most one row per key (``on``).
 
     ``how`` is inner, left, left_semi or left_anti. Keys come first in the result, as
     with any join on column names.
+
+    ``unique`` states that ``fact`` has one row per key as well, so no key can be hot and
+    none is counted. ``keys_from`` is a cheaper frame with the fact's keys, row for row, to
+    count them in.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dim):
         return fact.join(F.broadcast(dim), keys, how)
+    if unique:
+        return fact.join(dim, keys, how)
 
-    counts = settle(fact.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)))
+    counted = fact if keys_from is None else keys_from
+    counts = settle(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)))
     wanted = counts.select(*keys)
     if fits_broadcast(wanted):
         dim = dim.join(F.broadcast(wanted), keys, "left_semi")

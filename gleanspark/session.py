@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution picks join sides and partition counts from measured shuffle
-# sizes and splits skewed partitions; UTC keeps rendered timestamps reproducible.
+# sizes and splits skewed partitions; UTC keeps rendered timestamps reproducible;
+# checkpoints are compressed and dropped once no frame refers to them.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.checkpoint.compress": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

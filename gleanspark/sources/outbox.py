@@ -36,7 +36,7 @@ def publish_outcome(outbox: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``responses`` has at most one row per ``record_id`` with ``status_code`` and ``text``.
     """
-    answered = lookup_join(outbox, responses.select("record_id", "status_code", "text"), "record_id")
+    answered = lookup_join(outbox, responses.select("record_id", "status_code", "text"), "record_id", unique=True)
     outcome = (
         F.when(F.col("status_code").isNull(), F.lit(UNREACHABLE))
         .when(F.col("status_code") == 200, F.lit(PUBLISHED))

@@ -33,17 +33,39 @@ def test_pages_shallow_and_deep(spark, articles, nulls, skip, limit):
     want = model(articles.collect(), nulls)[skip : skip + limit]
     page = paging.page_desc(articles, "publish_time", skip, limit, nulls)
     assert [r["id"] for r in page.collect()] == want
-    order = paging.newest_first("publish_time", "id", nulls)
+    order = paging.newest_order("publish_time", "id", nulls)
     deep = paging.slice_ordered(articles.repartition(5), order, skip, limit, shallow=-1)
     assert [r["id"] for r in deep.collect()] == want
 
 
 def test_deep_page_with_one_time_for_all(spark):
     same = spark.range(0, 5000, 1, 7).withColumn("publish_time", F.expr("timestamp_ntz '2024-01-01'"))
-    deep = paging.slice_ordered(same, paging.newest_first("publish_time", "id"), 4321, 5, shallow=-1)
+    deep = paging.slice_ordered(same, paging.newest_order("publish_time", "id"), 4321, 5, shallow=-1)
     assert [r["id"] for r in deep.collect()] == list(range(4321, 4326))
 
 
+def test_deep_page_without_tie_break(spark):
+    """Rows that tie in all order columns are still cut at the right count."""
+    tied = spark.range(0, 300, 1, 4).select((F.col("id") % 3).alias("k"), F.lit("x").alias("v"))
+    order = [paging.Order("k", True)]
+    deep = paging.slice_ordered(tied, order, 95, 10, shallow=-1)
+    assert [r["k"] for r in deep.collect()] == [2] * 5 + [1] * 5
+
+
+def test_deep_page_inside_a_long_tie(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SHALLOW_ROWS", 20)
+    tied = spark.range(0, 300, 1, 4).select((F.col("id") % 3).alias("k"), F.lit("x").alias("v"))
+    deep = paging.slice_ordered(tied, [paging.Order("k", True)], 95, 10)
+    assert [r["k"] for r in deep.collect()] == [2] * 5 + [1] * 5
+
+
+def test_deep_page_larger_than_a_page(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SHALLOW_ROWS", 10)
+    rows = spark.range(0, 200, 1, 4)
+    deep = paging.slice_ordered(rows, [paging.Order("id", True)], 50, 100)
+    assert [r["id"] for r in deep.collect()] == list(range(149, 49, -1))
+
+
 def test_keyset_walk_equals_pages(articles):
     want, got, last = model(articles.collect(), "last"), [], None
     while True:
