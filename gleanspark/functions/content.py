@@ -15,20 +15,19 @@ _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _MAY_BE_JSON = r'^[ \t\r\n]*([\[{"]|-?[0-9]|true|false|null|NaN|-?Infinity)'
 
 
-def _whole_json(text: Column) -> Column:
-    """Parse text as exactly one JSON value, NULL unless all of it belongs to that value.
+def _marked_pair(text: Column) -> Column:
+    """The text read as the first of two array elements, the second being its own md5.
 
-    Spark's reader ignores text after the first value. The text is therefore read as the
-    first of two array elements, the second being its own md5: trailing text either breaks
-    the array or moves the md5 away from second place.
+    Spark's reader ignores text after the first value. Here such text either breaks the array
+    or moves the md5 away from second place, so ``_whole_value`` sees it.
     """
-    mark = F.md5(text)
-    pair = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<variant>", _STRICT)
-    # filter + try_element_at keep the parse a single expression
-    return F.when(
-        (F.size(pair) == 2) & (F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "string") == mark),
-        F.try_element_at(pair, F.lit(1)),
-    )
+    return F.from_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')), "array<variant>", _STRICT)
+
+
+def _whole_value(pair: Column, text: Column) -> Column:
+    """The JSON value of the text, NULL unless all of the text belongs to it."""
+    mark = F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "string")
+    return F.when((F.size(pair) == 2) & (mark == F.md5(text)), F.try_element_at(pair, F.lit(1)))
 
 
 def _is_text(section: Column, field: str) -> Column:
@@ -73,7 +72,7 @@ def flatten_content(df: DataFrame, col: str = "content", status: str = "content_
     Only what is left (numbers, nested values, repeated keys, broken JSON) goes to Python.
     """
     text = F.col(col)
-    sections = F.try_variant_get(F.col("__value"), "$", "array<variant>")
+    sections = F.try_variant_get(_whole_value(F.col("__pair"), text), "$", "array<variant>")
     regular = F.coalesce(
         F.forall("__sections", lambda s: _is_text(s, "title") & _is_text(s, "body")), F.lit(False)
     )
@@ -81,9 +80,10 @@ def flatten_content(df: DataFrame, col: str = "content", status: str = "content_
         F.transform("__sections", lambda s: F.concat(_text_of(s, "title"), F.lit(":\n"), _text_of(s, "body"))), "\n"
     )
     may_be_json = F.coalesce(text.rlike(_MAY_BE_JSON), F.lit(False))
+    # one column per step, so that no text is parsed twice
     staged = (
         df.withColumn("__json", may_be_json)
-        .withColumn("__value", F.when(F.col("__json"), _whole_json(text)))
+        .withColumn("__pair", F.when(F.col("__json"), _marked_pair(text)))
         .withColumn("__sections", sections)
         .withColumn("__regular", regular)
         .withColumn("__rest", _flatten_helper()(F.when(F.col("__json") & ~F.col("__regular"), text)))

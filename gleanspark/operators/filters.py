@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.display import BEGIN, IN_PROGRESS, KILL, PENDING
 from gleanspark.operators.paging import SHALLOW_ROWS, check_page, newest_first, page_desc, total_of
+from gleanspark.plans.durable import settle
 from gleanspark.plans.skew import SALT, SPLITS, hot_keys, lookup_join, salt_of
 
 
@@ -127,7 +128,7 @@ def visible_tasks(
 
     if limit > SHALLOW_ROWS:
         raise ValueError("a shared page is handed to every superuser; keep its limit small")
-    everything = page_desc(tasks, "created_at", skip, limit, nulls="first")
+    everything = settle(page_desc(tasks, "created_at", skip, limit, nulls="first"))
     supers = viewers.where("is_superuser").select("viewer_id")
     page = everything.agg(F.collect_list(F.struct(*tasks.columns)).alias("__page"))  # at most `limit` rows
     theirs = (
