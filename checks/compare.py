@@ -18,13 +18,27 @@ GIVEN = (
 ).split()
 
 
-def connect(folder: str) -> duckdb.DuckDBPyConnection:
+def connect(folder: str, files: str = "") -> duckdb.DuckDBPyConnection:
+    """Views of the given tables; ``files`` is the pattern inside a table stored as a folder."""
     con = duckdb.connect()
     for name in GIVEN:
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet{files}')")
     return con
 
 
+# Spark type -> DuckDB type
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "smallint": "SMALLINT",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "double": "DOUBLE",
+    "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP",
+}
+
+
 def _plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 9)
@@ -50,6 +64,10 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, folder: str, na
     want = _rows(names, cursor.fetchall())
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
+    ours = {f.name: TYPES[f.dataType.simpleString()] for f in frame.schema}
+    theirs = {d[0]: str(d[1]) for d in cursor.description}
+    if ours != theirs:
+        return f"types {[(c, ours[c], theirs[c]) for c in ours if ours[c] != theirs[c]]}"
     if len(got[1]) != len(want[1]):
         return f"{len(got[1])} rows != {len(want[1])}"
     for ours, theirs in zip(got[1], want[1], strict=True):

@@ -1357,6 +1357,22 @@ def browse_table(t: Tables) -> DataFrame:
     return browse.browse(t.article, 0, 20).rows
 
 
+@query(sql(f"SELECT {TASK_FIELDS.removesuffix(', user_id')} FROM task {NEWEST_TASK} LIMIT 100 OFFSET 100", "task"))
+def list_tasks(t: Tables) -> DataFrame:
+    return browse.list_table(t.task, "task", 100, 100).rows
+
+
+@query(
+    sql(
+        "SELECT email, is_active, is_superuser, full_name, id, created_at FROM user_t "
+        "ORDER BY created_at DESC NULLS FIRST, id LIMIT 100",
+        "user",
+    )
+)
+def list_users(t: Tables) -> DataFrame:
+    return browse.list_table(t.user, "user").rows
+
+
 @query(
     sql(
         """SELECT id, url, cover_url, title, description, author, publish_time, content

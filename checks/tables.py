@@ -1,4 +1,4 @@
-"""The reference data model's tables, derived in Spark from the given parquet tables.
+"""The console's tables, derived in Spark from the given parquet tables.
 
 Every table is computed from whole given tables, so its size follows theirs.
 """

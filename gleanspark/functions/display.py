@@ -82,6 +82,9 @@ def dash_if_empty(value: Column | str) -> Column:
     return F.coalesce(F.nullif(_col(value), F.lit("")), F.lit("-"))
 
 
+# Message texts.
+
+
 def duplicate_task_message(task_group: Column | str, task_name: Column | str) -> Column:
     return F.format_string("该任务已在系统中存在：[%s - %s]", _col(task_group), _col(task_name))
 

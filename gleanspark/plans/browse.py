@@ -7,13 +7,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanspark.functions.content import flatten_content
-from gleanspark.operators.paging import page_adaptive, total_of
+from gleanspark.operators.paging import page_adaptive, page_desc, total_of
 from gleanspark.operators.projection import (
     DETAIL_CONTRACT,
     ROW_CONTRACT,
     adaptive_select,
     enforce_contract,
     id_first,
+    public_view,
     record_detail,
 )
 from gleanspark.sources.registry import resolve_source, run_saved_query
@@ -41,6 +42,13 @@ def browse_source(
     return Page(id_first(enforce_contract(page.rows, ROW_CONTRACT)), page.total)
 
 
+def list_table(table: DataFrame, kind: str, skip: int = 0, limit: int = 100) -> Page:
+    """A page of a metadata table as its public view (``task``, ``user``), newest first, rows
+    without a time before all others."""
+    page = page_desc(table, "created_at", skip, limit, nulls="first")
+    return Page(public_view(page, kind), total_of(table))
+
+
 def run_and_count(spark: SparkSession, queries: DataFrame, sql_id) -> Page:
     """A stored query's rows under the list contract, and their number."""
     result = run_saved_query(spark, queries, sql_id)
@@ -53,6 +61,4 @@ def read_details(table: DataFrame, ids: DataFrame, on_error: str = "split"):
     Returns what ``enforce_contract`` returns; content of a bad shape is NULL and so a reject.
     """
     rows = flatten_content(record_detail(table, ids))
-    if on_error == "split":
-        return enforce_contract(rows, DETAIL_CONTRACT, "split")
-    return enforce_contract(rows, DETAIL_CONTRACT, "fail")
+    return enforce_contract(rows, DETAIL_CONTRACT, on_error)

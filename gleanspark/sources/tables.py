@@ -71,6 +71,12 @@ def scan_jdbc(
     return reader.options(**(properties or {})).load()
 
 
+def append_jdbc(new_rows: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
+    """Add rows to a table of a SQL database, one connection per partition."""
+    writer = new_rows.write.format("jdbc").options(url=url, dbtable=table).options(**(properties or {}))
+    writer.mode("append").save()
+
+
 def append_rows(base: DataFrame, new_rows: DataFrame) -> DataFrame:
     """The table with rows added; the new rows are brought to its column types."""
     typed = [new_rows[f.name].cast(f.dataType).alias(f.name) for f in base.schema]

@@ -1,8 +1,8 @@
 """Task requests admitted as they arrive, in micro-batches.
 
-The reference's service admits one request per call. Here a stream of request rows is
-admitted batch after batch with the same operator, each batch seeing what earlier ones
-admitted. Accepted rows are only ever added, one folder per batch.
+A console admits one request per call. Here a stream of request rows is admitted batch
+after batch with the operator for batches, each batch seeing what earlier ones admitted.
+Accepted rows are only ever added, one folder per batch.
 """
 
 from __future__ import annotations

@@ -21,31 +21,17 @@ def test_every_query_has_sql():
     assert set(ORACLE) == set(QUERIES)
 
 
+# further ones run over hot data in test_hot.py
 JOINING = [
     "record_detail",
-    "tasks_of_owners",
     "tasks_of_groups",
-    "visible_tasks",
-    "task_access",
-    "user_access",
-    "superuser_only",
     "lookup",
-    "exactly_one",
-    "tasks_with_rule",
     "tasks_with_run",
     "orphan_tasks",
-    "exists_in",
     "email_conflicts",
-    "admit_tasks",
-    "upsert_runs",
-    "patch_rows_state",
-    "begin_tasks_runs",
     "stop_tasks",
     "remove_tasks",
-    "admit_users",
-    "delete_users",
     "seed_if_absent",
-    "update_users_state",
     "publish_outcome",
 ]
 
