@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanspark.plans.durable import settle
 from gleanspark.plans.skew import fits_broadcast, lookup_join
@@ -18,6 +19,9 @@ _POS = "__pos"
 _PART = "__part"
 _START = "__start"
 _RANK = "__rank"
+_WITH_QUANTILES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_QUANTILE_ACCURACY = 10_000
+_QUANTILE_SLACK = 0.002  # of the rows, on either side; well above 1 / accuracy
 _PART_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -92,14 +96,42 @@ def _cut(df: DataFrame, columns: Sequence[Column], skip: int, limit: int) -> Dat
     return _ranked(df, columns).where((rank >= skip) & (rank < skip + limit)).orderBy(rank).select(*df.columns)
 
 
+def _near(df: DataFrame, order: Sequence[Order], skip: int) -> tuple[DataFrame, int]:
+    """Rows around position ``skip``, and how many rows sort before all of them.
+
+    Approximate quantiles of the leading column, which need no shuffle of rows, bound a small
+    stretch around the position; exact counts then prove that it holds the position. Where
+    it does not, or the column has no quantiles, the whole frame is returned.
+    """
+    lead = order[0]
+    value = F.col(lead.name)
+    if not isinstance(df.schema[lead.name].dataType, _WITH_QUANTILES):
+        return df, 0
+    sizes = df.agg(F.count(F.lit(1)).alias("all"), F.count(value).alias("known")).first()
+    known = sizes["known"]
+    place = skip - (sizes["all"] - known if lead.nulls_first else 0)
+    if not 0 <= place < known:
+        return df, 0
+    slack = known * _QUANTILE_SLACK
+    from_start = [max(place - slack, 0) / known, min((place + slack) / known, 1.0)]
+    shares = [1 - share for share in from_start] if lead.descending else from_start
+    first, last = df.agg(F.percentile_approx(value, shares, _QUANTILE_ACCURACY).alias("q")).first()["q"]
+    behind_first = lead.after(first) | value.eqNullSafe(F.lit(first))
+    stretch = behind_first & ~lead.after(last)
+    counted = df.agg(F.count_if(~behind_first).alias("before"), F.count_if(stretch).alias("rows")).first()
+    if not counted["before"] <= skip < counted["before"] + counted["rows"]:
+        return df, 0
+    return df.where(stretch), counted["before"]
+
+
 def slice_ordered(
     df: DataFrame, order: Sequence[Order], skip: int, limit: int, shallow: int = SHALLOW_ROWS
 ) -> DataFrame:
     """Rows ``skip .. skip+limit`` of the ordered frame.
 
     A shallow page is a per-partition top-k. A deep one would hold back ``skip + limit`` rows
-    in one place. There only the order columns are sorted, over the cluster, to find the
-    page's first row; the page is then a top-k over the rows from that one on.
+    in one place. There the order columns of the rows near that position are sorted, over the
+    cluster, to find the page's first row; the page is a top-k over the rows from that one on.
     """
     check_page(skip, limit)
     columns = [part.column() for part in order]
@@ -109,8 +141,9 @@ def slice_ordered(
         return _cut(df, columns, skip, limit)
 
     names = [part.name for part in order]
-    ranked = _ranked(df.select(*names), columns)
-    first = ranked.where(F.col(_RANK) == skip).first()
+    stretch, before = _near(df.select(*names), order, skip)
+    ranked = _ranked(stretch, columns)
+    first = ranked.where(F.col(_RANK) == skip - before).first()
     if first is None:
         return df.limit(0)
     start = [first[name] for name in names]
@@ -118,7 +151,7 @@ def slice_ordered(
     for name, value in zip(names, start, strict=True):
         same = same & F.col(name).eqNullSafe(F.lit(value))
     # rows that equal the first in all order columns and sort before it
-    beside = ranked.where(same & (F.col(_RANK) < skip)).count()
+    beside = ranked.where(same & (F.col(_RANK) < skip - before)).count()
     if beside + limit > SHALLOW_ROWS:
         return _cut(df, columns, skip, limit)
     rest = df.where(after_row(order, start, inclusive=True))

@@ -44,6 +44,28 @@ def test_deep_page_with_one_time_for_all(spark):
     assert [r["id"] for r in deep.collect()] == list(range(4321, 4326))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("nulls_first", [False, True])
+def test_deep_page_sorts_only_a_stretch(spark, descending, nulls_first):
+    rows = spark.range(0, 20_000, 1, 4).select(
+        "id", F.when(F.col("id") % 10 != 0, F.xxhash64("id") % 100_000).alias("v")
+    )
+    order = [paging.Order("v", descending, nulls_first), paging.Order("id")]
+    want = [r["id"] for r in rows.orderBy(*[o.column() for o in order]).collect()]
+    for skip in (0, 1, 1999, 2000, 9000, 17_999, 18_000, 19_990):
+        page = paging.slice_ordered(rows, order, skip, 20, shallow=-1)
+        assert [r["id"] for r in page.collect()] == want[skip : skip + 20]
+    stretch, before = paging._near(rows, order, 9000)
+    assert stretch.count() < 400 and 8000 < before <= 9000
+
+
+def test_deep_page_of_text_and_past_the_end(spark):
+    rows = spark.range(0, 500, 1, 4).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"))
+    deep = paging.slice_ordered(rows, [paging.Order("s", True)], 300, 3, shallow=-1)
+    assert [r["s"] for r in deep.collect()] == ["0199", "0198", "0197"]
+    assert paging.slice_ordered(rows, [paging.Order("s")], 500, 3, shallow=-1).count() == 0
+
+
 def test_deep_page_without_tie_break(spark):
     """Rows that tie in all order columns are still cut at the right count."""
     tied = spark.range(0, 300, 1, 4).select((F.col("id") % 3).alias("k"), F.lit("x").alias("v"))
