@@ -32,7 +32,9 @@ def _merged(patches: DataFrame, fields: Sequence[str], key: str, seq: str) -> Da
     return patches.groupBy(key).agg(*merged)
 
 
-def apply_patches(base: DataFrame, patches: DataFrame, fields: Sequence[str], key: str = "id", seq: str = "seq") -> DataFrame:
+def apply_patches(
+    base: DataFrame, patches: DataFrame, fields: Sequence[str], key: str = "id", seq: str = "seq"
+) -> DataFrame:
     """Base rows with their accepted patches applied in ``seq`` order."""
     changes = settle(_merged(patches, fields, key, seq))
     joined = lookup_join(base, changes, key, unique=True)

@@ -155,16 +155,20 @@ def lookup_join(
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dim):
         return fact.join(F.broadcast(dim), keys, how)
-    if unique:
-        return fact.join(dim, keys, how)
 
     counted = fact if keys_from is None else keys_from
-    counts = settle(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)))
-    wanted = counts.select(*keys)
+    if unique:
+        wanted = counted.select(*keys)
+    else:
+        counts = settle(counted.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)))
+        wanted = counts.select(*keys)
     if fits_broadcast(wanted):
-        dim = dim.join(F.broadcast(wanted), keys, "left_semi")
+        # at most one row per wanted key: settled, so that a large table is scanned once
+        dim = settle(dim.join(F.broadcast(wanted), keys, "left_semi"))
         if fits_broadcast(dim):
             return fact.join(F.broadcast(dim), keys, how)
+    if unique:
+        return fact.join(dim, keys, how)
 
     hot = settle(_hot_keys(counts, keys))
     if hot.isEmpty():

@@ -14,6 +14,11 @@ TABLE_RENAMES = {"taskrun": "task_run", "spiderbuilder": "rule"}
 TASK_BACKFILL = {"task_name": "default name"}
 
 
+def current_name(table: str) -> str:
+    """The name a table goes by today."""
+    return TABLE_RENAMES.get(table, table)
+
+
 def conform_schema(
     df: DataFrame,
     target_schema: T.StructType,

@@ -288,6 +288,7 @@ def test_saved_queries(spark):
 
 
 def test_conform(spark):
+    assert [conform.current_name(t) for t in ("taskrun", "spiderbuilder", "task")] == ["task_run", "rule", "task"]
     old = spark.createDataFrame([("i", 7, None)], "id string, user long, task_group string")
     target = schemas.T.StructType(
         [f for f in schemas.TASK if f.name in ("id", "task_group", "task_name", "created_at", "user_id")]
