@@ -1253,10 +1253,9 @@ def flatten_content_raw(t: Tables) -> DataFrame:
     )
 )
 def project_content(t: Tables) -> DataFrame:
-    ruled = tasks.tasks_with_rule(t.task, t.rule).where("rule_status = 'ok'")
-    return ruled.select(
-        "id", content.project_content(F.col("task_content"), content.rule_keys("crawl_rule")).alias("crawl_task")
-    )
+    fields = t.rule.select("source_platform", content.rule_keys("crawl_rule").alias("rule_fields"))
+    ruled = lookup_join(t.task, fields, "source_platform", "inner")
+    return ruled.select("id", content.project_content(F.col("task_content"), "rule_fields").alias("crawl_task"))
 
 
 @query(

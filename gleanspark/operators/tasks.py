@@ -260,10 +260,6 @@ def _with_status(table: DataFrame, keys: DataFrame, key: str, changes: dict[str,
     )
 
 
-def _json_text(field: str) -> Column:
-    return F.get_json_object("task_content", f"$.{field}")
-
-
 def begin_tasks(
     requests: DataFrame,
     tasks: DataFrame,
@@ -287,25 +283,29 @@ def begin_tasks(
         F.array_contains(F.json_object_keys("crawl_rule"), "basic").alias("has_basic"),
         rule_keys("crawl_rule").alias("rule_fields"),
     )
-    ruled = lookup_join(settle(asked), usable, "source_platform")
+    # one column per parse, so that no content is read twice for the same thing
+    ruled = (
+        lookup_join(settle(asked), usable, "source_platform")
+        .withColumn("__missing", missing_fields("task_content", ("priority", "cron_expr")))
+        .withColumn("__priority", F.get_json_object("task_content", "$.priority").try_cast("smallint"))
+        .withColumn("__cron", F.get_json_object("task_content", "$.cron_expr"))
+    )
     empty = F.coalesce(F.regexp_replace("task_content", r"\s", ""), F.lit("")).isin("", "{}", "null")
-    missing = missing_fields("task_content", ("priority", "cron_expr"))
-    priority = _json_text("priority").try_cast("smallint")
     fault = (
         F.when(F.col("has_rule").isNull() | empty, F.lit(RULE_FAULT))
         .when(~F.coalesce("has_basic", F.lit(False)), F.lit("'basic'"))
-        .when(F.array_contains(missing, "priority"), F.lit("'priority'"))
-        .when(F.array_contains(missing, "cron_expr"), F.lit("'cron_expr'"))
+        .when(F.array_contains("__missing", "priority"), F.lit("'priority'"))
+        .when(F.array_contains("__missing", "cron_expr"), F.lit("'cron_expr'"))
         .when(F.col("rule_fields").isNull(), F.lit("basic is no list of fields"))
-        .when(priority.isNull(), F.lit("priority is no small integer"))
-        .when(F.coalesce(F.length(_json_text("cron_expr")) > 50, F.lit(True)), F.lit("cron_expr is no short text"))
+        .when(F.col("__priority").isNull(), F.lit("priority is no small integer"))
+        .when(F.coalesce(F.length("__cron") > 50, F.lit(True)), F.lit("cron_expr is no short text"))
     )
     decided = settle(
         ruled.withColumn("__fault", F.when(F.col("outcome") == OK, fault))
         .withColumn("outcome", F.when(F.col("__fault").isNotNull(), F.lit(BAD_REQUEST)).otherwise(F.col("outcome")))
         .withColumn("reason", F.coalesce("reason", "__fault"))
-        .withColumn("priority", F.when(F.col("outcome") == OK, priority))
-        .withColumn("cron_expr", F.when(F.col("outcome") == OK, _json_text("cron_expr")))
+        .withColumn("priority", F.when(F.col("outcome") == OK, F.col("__priority")))
+        .withColumn("cron_expr", F.when(F.col("outcome") == OK, F.col("__cron")))
         .withColumn("crawl_task", F.when(F.col("outcome") == OK, project_content(F.col("task_content"), "rule_fields")))
         .select(*requests.columns, _FP, "source_platform", "priority", "cron_expr", "crawl_task", "outcome", "reason")
     )
