@@ -16,9 +16,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="gleanspark-checkpoint-")
+    own = tempfile.mkdtemp(prefix="gleanspark-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def settle(df: DataFrame) -> DataFrame:
