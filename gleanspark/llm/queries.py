@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op2_crosspolytope(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_groups(table(spark, folder, "embeddings"), cosine=0.9)
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), words=3, radius=2)
