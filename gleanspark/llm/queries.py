@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanspark.llm.bpe import decoded, encoded
 from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
 from gleanspark.llm.simhash import simhash_groups
@@ -29,6 +31,19 @@ def op2_crosspolytope(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_groups(table(spark, folder, "embeddings"), cosine=0.9)
 
 
+@query
+def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, folder, "documents")
+    ids = docs.select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(decoded(F.col("ids"), path, pattern), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), words=3, radius=2)
