@@ -12,6 +12,7 @@ from gleanspark.llm.bpe import decoded, encoded
 from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
 from gleanspark.llm.simhash import simhash_groups
+from gleanspark.llm.surrogates import with_surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +27,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SURROGATE_KEY = "gleanspark"  # a deployment sets its own
+
+
+@query
+def op1_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return with_surrogates(table(spark, folder, "documents"), SURROGATE_KEY, count="n_entities")
+
+
 @query
 def op2_crosspolytope(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_groups(table(spark, folder, "embeddings"), cosine=0.9)
