@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleanspark.llm.bpe import decoded, encoded
 from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
+from gleanspark.llm.quality import quality_of
 from gleanspark.llm.simhash import simhash_groups
 from gleanspark.llm.surrogates import with_surrogates
 
@@ -58,6 +59,11 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), words=3, radius=2)
 
 
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_of(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
