@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,8 +13,10 @@ from gleanspark.llm.bpe import decoded, encoded
 from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
 from gleanspark.llm.quality import quality_of
+from gleanspark.llm.shared import shared_folder
 from gleanspark.llm.simhash import simhash_groups
 from gleanspark.llm.surrogates import with_surrogates
+from gleanspark.llm.warc import page_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +67,23 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_of(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return page_records(table(spark, folder, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+
+
+ORACLE["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 @query
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
