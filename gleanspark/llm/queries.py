@@ -9,9 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.bpe import decoded, encoded
+from gleanspark.llm.bpe import round_trip
 from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
+from gleanspark.llm.histogram_sort import histogram_shards
 from gleanspark.llm.quality import quality_of
 from gleanspark.llm.shared import shared_folder
 from gleanspark.llm.simhash import simhash_groups
@@ -47,13 +48,12 @@ def op2_crosspolytope(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    docs = table(spark, folder, "documents")
-    ids = docs.select("doc_id", encoded(F.col("text"), path, pattern).alias("ids"))
-    return ids.select(
+    coded = round_trip(table(spark, folder, "documents"), path, pattern, kept=["doc_id"])
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), path, pattern), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -67,6 +67,22 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_of(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op8_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    dealt = histogram_shards(docs, F.octet_length(text) + 8, shards=24)
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return page_records(table(spark, folder, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
