@@ -17,6 +17,7 @@ from gleanspark.llm.quality import quality_of
 from gleanspark.llm.shared import shared_folder
 from gleanspark.llm.simhash import simhash_groups
 from gleanspark.llm.surrogates import with_surrogates
+from gleanspark.llm.unigram import counted
 from gleanspark.llm.warc import page_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,11 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return counted(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"), words=3, radius=2)
