@@ -14,6 +14,7 @@ from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
 from gleanspark.llm.histogram_sort import histogram_shards
 from gleanspark.llm.quality import quality_of
+from gleanspark.llm.runlength import without_repeats
 from gleanspark.llm.shared import shared_folder
 from gleanspark.llm.simhash import simhash_groups
 from gleanspark.llm.surrogates import with_surrogates
@@ -58,6 +59,12 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_runlength(spark: SparkSession, folder: str) -> DataFrame:
+    cut = without_repeats(table(spark, folder, "documents"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
