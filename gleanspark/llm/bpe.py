@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleanspark.llm.shared import byte_views, flat_offsets, utf8
 
-REMEMBERED = 400_000  # pieces after which a worker's memory of their ids starts anew
-_TEXTS = 512  # texts encoded together
+REMEMBERED = 150_000  # pieces after which a worker's memory of their ids starts anew
+_TEXTS = 256  # texts encoded together
 _NONE = np.int64(1 << 40)  # rank of a pair that no token joins
 _ROWS = 1 << 18  # symbols of one padded matrix
 
@@ -206,36 +207,74 @@ def loaded(path: str, pattern: str) -> BytePairs:
     return BytePairs(path, pattern)
 
 
-def encoded(text: Column, path: str, pattern: str) -> Column:
-    """Token ids (array of int) of whole texts; each match of ``pattern`` is merged by itself.
+def _mapped(
+    docs: DataFrame, column: str, kept: list[str], made: str, step: Callable[[pa.Array], list[pa.Array]]
+) -> DataFrame:
+    """``docs[kept]`` and the columns ``step`` makes of ``column``, in small batches, so that a
+    task holds the ids of a few hundred rows beside its input."""
+    names = [name.split()[0] for name in made.split(", ")]
+    slots = [f"__k{i}" for i in range(len(kept))]
+    rows = docs.select(F.col(column).alias("__in"), *[F.col(c).alias(s) for c, s in zip(kept, slots, strict=True)])
 
-    The ids are those of the rank file at ``path`` without special tokens; a piece that is a
-    token is that token. Null and empty texts have no ids. Bytes that are no UTF-8 become
-    U+FFFD. A very long piece costs as many rounds as it has distinct merges, not one a symbol.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _TEXTS):
+                part = batch.slice(at, _TEXTS)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *step(part.column(0))], [*slots, *names])
+
+    schema = StructType([*rows.schema.fields[1:], *StructType.fromDDL(made).fields])
+    return rows.mapInArrow(run, schema).toDF(*kept, *names)
+
+
+def _as_utf8(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn(text, utf8(F.col(text)))
+
+
+def _encode(pairs: BytePairs, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return pairs.encode_all(str(v, "utf-8", "replace") for v in byte_views(texts))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """``kept`` columns (default: all but the text) and ``ids`` (array of int) of whole texts.
+
+    Each match of ``pattern`` is merged by itself. The ids are those of the rank file at ``path``,
+    which every machine must have, without special tokens; a piece that is a token is that token.
+    Null and empty texts have no ids. Bytes that are no UTF-8 become U+FFFD. A very long piece
+    costs a round for each stretch of equal merges, not one a symbol. Repeated rows are each
+    encoded; an empty table gives no rows.
     """
+    kept = [c for c in docs.columns if c != text] if kept is None else kept
 
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        pairs, views = loaded(path, pattern), byte_views(texts)
-        ids, ends = [], [np.zeros(1, np.int64)]
-        for at in range(0, len(views), _TEXTS):
-            flat, upto = pairs.encode_all(str(v, "utf-8", "replace") for v in views[at : at + _TEXTS])
-            ids.append(flat)
-            ends.append(upto[1:] + ends[-1][-1])
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(flat))
+    def step(texts: pa.Array) -> list[pa.Array]:
+        flat, ends = _encode(loaded(path, pattern), texts)
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+
+    return _mapped(_as_utf8(docs.select(*{text: None, **dict.fromkeys(kept)}), text), text, kept, "ids array<int>", step)
+
+
+def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", kept: list[str] | None = None) -> DataFrame:
+    """``kept`` columns (default: all but the ids) and ``decoded``, the bytes the ids stand for.
+
+    Null or no ids give none; a null id, or one outside the vocabulary, is an error.
+    """
+    kept = [c for c in rows.columns if c != ids] if kept is None else kept
+
+    def step(lists: pa.Array) -> list[pa.Array]:
+        pairs = loaded(path, pattern)
+        return [pa.array([pairs.decode(row or ()) for row in lists.to_pylist()], pa.binary())]
 
-    # evaluated once, however often the ids are used
-    return encode.asNondeterministic()(utf8(text))
+    return _mapped(rows, ids, kept, "decoded binary", step)
 
 
-def decoded(ids: Column, path: str, pattern: str) -> Column:
-    """The bytes (binary) that token ids stand for. Null or no ids give none; a null id, or one
-    outside the vocabulary, is an error."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kept: list[str] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ``kept`` columns, ``ids`` and ``decoded``."""
+    kept = [c for c in docs.columns if c != text] if kept is None else kept
 
-    @F.arrow_udf("binary")
-    def decode(rows: pa.Array) -> pa.Array:
+    def step(texts: pa.Array) -> list[pa.Array]:
         pairs = loaded(path, pattern)
-        return pa.array([pairs.decode(row.values.to_numpy().tolist()) if row.is_valid else b"" for row in rows], pa.binary())
+        flat, ends = _encode(pairs, texts)
+        back = [pairs.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(back, pa.binary())]
 
-    return decode(ids)
+    made = "ids array<int>, decoded binary"
+    return _mapped(_as_utf8(docs.select(*{text: None, **dict.fromkeys(kept)}), text), text, kept, made, step)
