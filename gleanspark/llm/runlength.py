@@ -161,8 +161,8 @@ class RunLengthIndex:
         key = np.zeros(n, np.int64)
         for k in range(_PACK):
             key <<= 9
-            part = key[: n - k]
-            part |= np.where(distance[: n - k] > k, symbols[k:], 0)
+            m = max(0, n - k)
+            key[:m] |= np.where(distance[:m] > k, symbols[k : k + m], 0)
         order = np.lexsort((np.where(distance < _PACK, self.text_of, -1), key))
         k_sorted, t_sorted = key[order], np.where(distance < _PACK, self.text_of, -1)[order]
         new = np.ones(n, bool)
