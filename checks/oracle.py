@@ -14,7 +14,7 @@ CTES = {
     "article_bare": "SELECT url, length(html)::INTEGER AS html_length FROM pages",
     "user": """
         SELECT c_custkey AS id, lower(replace(c_name, '#', '.')) || '@example.com' AS email,
-               TRUE AS is_active, c_custkey % 100 = 0 AS is_superuser,
+               c_custkey % 13 <> 0 AS is_active, c_custkey % 100 = 0 AS is_superuser,
                CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name END AS full_name,
                md5(c_name) AS hashed_password,
                TIMESTAMP '2024-01-01' + to_minutes(c_custkey::INTEGER) AS created_at
@@ -62,8 +62,11 @@ CTES = {
         SELECT event_id + 1000000000000, user_id, event_id * 2 FROM events""",
     "action": """
         SELECT r.seq, r.user_id, r.task_id, t.task_fingerprint, t.source_platform, t.task_content,
-               CASE WHEN t.id IS NULL THEN 404
-                    WHEN t.user_id = r.user_id OR u.is_superuser THEN 200 ELSE 403 END AS outcome
+               CASE WHEN u.id IS NULL THEN 404 WHEN NOT u.is_active THEN 400 WHEN t.id IS NULL THEN 404
+                    WHEN t.user_id = r.user_id OR u.is_superuser THEN 200 ELSE 403 END AS outcome,
+               CASE WHEN u.id IS NULL THEN 'User not found' WHEN NOT u.is_active THEN 'Inactive user'
+                    WHEN t.id IS NULL THEN '该任务在系统中不存在'
+                    WHEN t.user_id <> r.user_id AND NOT u.is_superuser THEN '用户没有足够的权限' END AS refusal
         FROM action_request r LEFT JOIN task t ON t.id = r.task_id LEFT JOIN user_t u ON u.id = r.user_id""",
     "view_request": """
         SELECT event_id AS seq, user_id,

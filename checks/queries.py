@@ -371,22 +371,26 @@ _OWN_PAGE = """SELECT t.*, row_number() OVER (PARTITION BY t.user_id
 
 @query(
     sql(
-        f"""SELECT user_id AS viewer_id, id, status, is_delete FROM ({_OWN_PAGE}) WHERE position <= 5 AND NOT is_delete
-            UNION ALL
-            SELECT u.id, p.id, p.status, p.is_delete FROM user_t u,
-              (SELECT * FROM task {NEWEST_TASK} LIMIT 5) p WHERE u.is_superuser""",
+        f"""SELECT user_id AS viewer_id, {TASK_FIELDS} FROM ({_OWN_PAGE}) WHERE position <= 5 AND NOT is_delete""",
         "task",
         "user",
     )
 )
 def visible_tasks(t: Tables) -> DataFrame:
-    return filters.visible_tasks(t.task, t.user, 0, 5).select("viewer_id", "id", "status", "is_delete")
+    return filters.visible_tasks(t.task, t.user, 0, 5).own.select("viewer_id", *TASK_FIELDS.split(", "))
+
+
+@query(sql(f"SELECT {TASK_FIELDS} FROM task {NEWEST_TASK} LIMIT 5", "task"))
+def visible_tasks_shared(t: Tables) -> DataFrame:
+    return filters.visible_tasks(t.task, t.user, 0, 5).shared.select(*TASK_FIELDS.split(", "))
 
 
-_TASK_REASON = "CASE outcome WHEN 404 THEN '该任务在系统中不存在' WHEN 403 THEN '用户没有足够的权限' END"
+@query(sql("SELECT id AS viewer_id FROM user_t WHERE is_superuser", "user"))
+def visible_tasks_viewers(t: Tables) -> DataFrame:
+    return filters.visible_tasks(t.task, t.user, 0, 5).viewers
 
 
-@query(sql(f"SELECT seq, user_id, task_id, outcome, {_TASK_REASON} AS reason FROM action", "action"))
+@query(sql("SELECT seq, user_id, task_id, outcome, refusal AS reason FROM action", "action"))
 def task_access(t: Tables) -> DataFrame:
     return access.task_access(t.action_request, t.task, t.user)
 
@@ -394,8 +398,10 @@ def task_access(t: Tables) -> DataFrame:
 @query(
     sql(
         """SELECT seq, user_id, target_id, outcome,
-                  CASE outcome WHEN 403 THEN '用户没有足够的权限' WHEN 404 THEN '用户不存在' END AS reason
-           FROM (SELECT r.*, CASE WHEN r.target_id = r.user_id THEN 200
+                  CASE WHEN known IS NULL THEN 'User not found' WHEN outcome = 400 THEN 'Inactive user'
+                       WHEN outcome = 403 THEN '用户没有足够的权限' WHEN outcome = 404 THEN '用户不存在' END AS reason
+           FROM (SELECT r.*, a.id AS known, CASE WHEN a.id IS NULL THEN 404 WHEN NOT a.is_active THEN 400
+                                  WHEN r.target_id = r.user_id THEN 200
                                   WHEN a.is_superuser IS NOT TRUE THEN 403
                                   WHEN u.id IS NULL THEN 404 ELSE 200 END AS outcome
                  FROM view_request r LEFT JOIN user_t a ON a.id = r.user_id
@@ -421,7 +427,7 @@ def allowed_actions(t: Tables) -> DataFrame:
 
 @query(
     sql(
-        "SELECT r.* FROM action_request r JOIN user_t u ON u.id = r.user_id WHERE u.is_superuser",
+        "SELECT r.* FROM action_request r JOIN user_t u ON u.id = r.user_id WHERE u.is_superuser AND u.is_active",
         "action_request",
         "user",
     )
@@ -723,16 +729,18 @@ def admit_tasks(t: Tables) -> DataFrame:
 
 @query(
     _admission_sql(
-        """SELECT task_fingerprint, task_group, task_name, user_id, status, is_delete FROM task_seen
+        """SELECT id::VARCHAR AS id, task_group, task_name, task_content, source_platform, task_fingerprint, status, is_delete,
+                  TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at, user_id FROM task_seen
            UNION ALL
-           SELECT task_fingerprint, task_group, task_name, user_id, 0::SMALLINT, FALSE FROM judged WHERE ok"""
+           SELECT regexp_replace(md5(task_fingerprint), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5'),
+                  task_group, task_name, task_content, source_platform, task_fingerprint, 0::SMALLINT, FALSE,
+                  TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-01', user_id FROM judged WHERE ok"""
     )
 )
 def admit_tasks_state(t: Tables) -> DataFrame:
     accepted = tasks.admit_tasks(t.task_request, t.task_seen, _now()).accepted
     seen = t.task_seen.withColumn("id", F.col("id").cast("string")).select(*schemas.TASK_COLUMNS)
-    state = stored.append_rows(seen, accepted)
-    return state.select("task_fingerprint", "task_group", "task_name", "user_id", "status", "is_delete")
+    return stored.append_rows(seen, accepted).select(*TASK_FIELDS.split(", "))
 
 
 @query(
@@ -852,7 +860,7 @@ _BEGUN = "SELECT DISTINCT task_id FROM begin WHERE outcome = 200 AND fault IS NU
 @query(
     sql(
         f"""SELECT seq, user_id, task_id, CASE WHEN fault IS NOT NULL THEN 400 ELSE outcome END AS outcome,
-                   coalesce(fault, {_TASK_REASON}) AS reason FROM begin""",
+                   coalesce(fault, refusal) AS reason FROM begin""",
         "action",
         "rule",
         begin=_BEGIN,
@@ -907,7 +915,7 @@ _ENDED = "SELECT task_id FROM ended WHERE outcome = 200 AND NOT no_run"
 @query(
     sql(
         f"""SELECT seq, user_id, task_id, CASE WHEN no_run THEN 500 ELSE outcome END AS outcome,
-                   CASE WHEN no_run THEN 'no_run' ELSE {_TASK_REASON} END AS reason FROM ended""",
+                   CASE WHEN no_run THEN 'no_run' ELSE refusal END AS reason FROM ended""",
         "action",
         "task_run",
         ended=_END,
@@ -1004,56 +1012,74 @@ def admit_users_state(t: Tables) -> DataFrame:
 
 
 def _delete_requests(t: Tables) -> DataFrame:
-    """Each event's user asks to delete a user; clicks ask for themselves."""
+    """Each event asks to delete a user; actors are often superusers, and clicks ask for the actor
+    or for another superuser."""
+    actor = F.when(F.col("event_id") % 3 > 0, F.col("user_id") - F.col("user_id") % 100 + 100).otherwise(F.col("user_id"))
+    other = F.floor(F.col("value") * 30).cast("bigint")
+    target = F.when(F.col("event_type") != "click", other).when(F.col("event_id") % 2 == 0, actor)
     return t.given("events").select(
-        F.col("event_id").alias("seq"),
-        F.col("user_id").alias("actor_id"),
-        F.when(F.col("event_type") == "click", F.col("user_id"))
-        .otherwise(F.floor(F.col("value") * 30).cast("bigint"))
-        .alias("user_id"),
-    )
+        F.col("event_id").alias("seq"), actor.alias("actor_id"), target.otherwise(other - other % 100).alias("user_id")
+    )
+
+
+# One by one: of the requests the state allows, each in turn is carried out unless its user or
+# its actor was deleted before.
+_DELETE = {
+    "asked": """
+        SELECT event_id AS seq, actor_id,
+               CASE WHEN event_type <> 'click' THEN other WHEN event_id % 2 = 0 THEN actor_id
+                    ELSE other - other % 100 END AS user_id
+        FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN user_id - user_id % 100 + 100 ELSE user_id END AS actor_id,
+                     floor(value * 30)::BIGINT AS other FROM events)""",
+    "owner": "SELECT DISTINCT o_custkey * 2 AS user_id FROM orders",
+    "del": """
+        SELECT r.*, CASE WHEN a.id IS NULL THEN 404 WHEN NOT a.is_active THEN 400 WHEN NOT a.is_superuser THEN 403
+                         WHEN u.id IS NULL THEN 404 WHEN r.user_id = r.actor_id THEN 403
+                         WHEN o.user_id IS NOT NULL THEN 500 ELSE 200 END AS before,
+               CASE WHEN a.id IS NULL THEN 'User not found' WHEN NOT a.is_active THEN 'Inactive user'
+                    WHEN NOT a.is_superuser THEN '用户没有足够的权限。' WHEN u.id IS NULL THEN '用户不存在'
+                    WHEN r.user_id = r.actor_id THEN '超级用户不允许自行删除。'
+                    WHEN o.user_id IS NOT NULL THEN 'user still owns tasks' END AS why,
+               coalesce(a.is_superuser AND a.is_active, FALSE) AS may
+        FROM asked r LEFT JOIN user_t a ON a.id = r.actor_id LEFT JOIN user_t u ON u.id = r.user_id
+        LEFT JOIN owner o ON o.user_id = r.user_id""",
+    "walk(seq, gone)": """
+        SELECT -1::BIGINT, []::BIGINT[]
+        UNION ALL
+        SELECT min(c.seq), list_append(any_value(w.gone), arg_min(c.user_id, c.seq))
+        FROM walk w JOIN (SELECT * FROM del WHERE before = 200) c
+          ON c.seq > w.seq AND NOT list_contains(w.gone, c.user_id) AND NOT list_contains(w.gone, c.actor_id)
+        HAVING count(*) > 0""",
+    "deleted": "SELECT d.user_id, d.seq FROM del d JOIN walk USING (seq)",
+    "judged": """
+        SELECT d.*, coalesce(g.seq < d.seq, FALSE) AS no_actor, coalesce(may AND x.seq < d.seq, FALSE) AS no_user
+        FROM del d LEFT JOIN deleted g ON g.user_id = d.actor_id LEFT JOIN deleted x ON x.user_id = d.user_id""",
+}
 
 
-_DELETE = """
-    SELECT r.seq, r.actor_id, r.user_id, a.is_superuser IS NOT TRUE AS gate,
-           CASE WHEN a.is_superuser IS NOT TRUE THEN 403 WHEN u.id IS NULL THEN 404
-                WHEN r.user_id = r.actor_id THEN 403
-                WHEN r.user_id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) THEN 500
-                ELSE 200 END AS first_outcome
-    FROM (SELECT event_id AS seq, user_id AS actor_id,
-                 CASE WHEN event_type = 'click' THEN user_id ELSE floor(value * 30)::BIGINT END AS user_id FROM events) r
-    LEFT JOIN user_t a ON a.id = r.actor_id LEFT JOIN user_t u ON u.id = r.user_id"""
-_DELETE_JUDGED = """SELECT *, CASE WHEN NOT gate AND seq > min(CASE WHEN first_outcome = 200 THEN seq END)
-    OVER (PARTITION BY user_id) THEN 404 ELSE first_outcome END AS outcome FROM del"""
+def _delete_sql(body: str) -> str:
+    return sql(body, "user", **_DELETE).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _owning(t: Tables) -> DataFrame:
-    return t.given("orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("user_id"))
+    """Users of even number own the tasks, so that others can be deleted."""
+    return t.given("orders").select((F.col("o_custkey") * 2).alias("user_id"))
 
 
 @query(
-    sql(
-        """SELECT seq, actor_id, user_id, outcome,
-                  CASE WHEN gate THEN '用户没有足够的权限。' WHEN outcome = 404 THEN '用户不存在'
-                       WHEN outcome = 403 THEN '超级用户不允许自行删除。'
-                       WHEN outcome = 500 THEN 'user still owns tasks' END AS reason FROM judged""",
-        "user",
-        **{"del": _DELETE, "judged": _DELETE_JUDGED},
+    _delete_sql(
+        """SELECT seq, actor_id, user_id, CASE WHEN no_actor OR no_user THEN 404 ELSE before END AS outcome,
+                  CASE WHEN no_actor THEN 'User not found' WHEN no_user THEN '用户不存在' ELSE why END AS reason
+           FROM judged"""
     )
 )
 def delete_users(t: Tables) -> DataFrame:
     return users.delete_users(_delete_requests(t), t.user, _owning(t)).outcomes
 
 
-@query(
-    sql(
-        "SELECT id, email FROM user_t WHERE id NOT IN (SELECT user_id FROM judged WHERE outcome = 200)",
-        "user",
-        **{"del": _DELETE, "judged": _DELETE_JUDGED},
-    )
-)
+@query(_delete_sql("SELECT * FROM user_t WHERE id NOT IN (SELECT user_id FROM deleted)"))
 def delete_users_state(t: Tables) -> DataFrame:
-    return users.delete_users(_delete_requests(t), t.user, _owning(t)).state.select("id", "email")
+    return users.delete_users(_delete_requests(t), t.user, _owning(t)).state
 
 
 @query(

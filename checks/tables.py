@@ -80,7 +80,7 @@ class Tables:
         return self.given("customer").select(
             F.col("c_custkey").alias("id"),
             F.concat(F.lower(F.translate("c_name", "#", ".")), F.lit("@example.com")).alias("email"),
-            F.lit(True).alias("is_active"),
+            (F.col("c_custkey") % 13 != 0).alias("is_active"),
             (F.col("c_custkey") % 100 == 0).alias("is_superuser"),
             F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).alias("full_name"),
             F.md5("c_name").alias("hashed_password"),

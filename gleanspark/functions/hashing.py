@@ -3,7 +3,8 @@
 A task's fingerprint hashes the platform followed by the *printed* form of its content
 (quotes and keywords as Python prints a dict, keys in stored order). Flat objects of
 plain strings and integers, the usual case, are rendered inside the JVM; only content
-outside that shape passes through an Arrow batch to a small Python helper.
+outside that shape enters the branch with a small Python helper. Content that is no JSON has
+no printed form and no fingerprint.
 """
 
 from __future__ import annotations
@@ -35,11 +36,16 @@ def _shape(content: Column) -> Column:
     return F.regexp_replace(skeleton, r"(?<=[SN]), S: [SN]", "")
 
 
-def _is_flat_plain(content: Column) -> Column:
-    """Whether content is a flat JSON object of printable-ASCII strings and integers, without
-    escapes or repeated keys, spaced ``", "`` and ``": "`` as a JSON column stores it."""
+# Characters that Python prints as they are: printable ASCII, letters, marks, numbers, signs.
+_PRINTED = r"['\\]|[^\x20-\x7e\p{L}\p{M}\p{N}\p{P}\p{S}]"
+_ASCII = r"['\\]|[^\x20-\x7e]"
+
+
+def _is_flat_plain(content: Column, unfit: str = _PRINTED) -> Column:
+    """Whether content is a flat JSON object of plain strings and integers, without escapes or
+    repeated keys, spaced ``", "`` and ``": "`` as a JSON column stores it."""
     return (
-        ~content.rlike(r"['\\]|[^\x20-\x7e]")
+        ~content.rlike(unfit)
         & _shape(content).isin("{}", "{S: S}", "{S: N}")
         & F.try_parse_json(content).isNotNull()  # NULL on a repeated key
     )
@@ -52,7 +58,7 @@ def _flat_printed(content: Column) -> Column:
 
 def _flat_sorted(content: Column) -> Column:
     """Canonical form of flat plain content, NULL for any other."""
-    return F.when(_is_flat_plain(content), F.to_json(F.try_parse_json(content)))
+    return F.when(_is_flat_plain(content, _ASCII), F.to_json(F.try_parse_json(content)))
 
 
 def _printed_helper():
@@ -61,10 +67,13 @@ def _printed_helper():
     def printed(texts: pd.Series) -> pd.Series:
         import json
 
-        given = texts.notna()
-        if not given.any():
-            return texts
-        return texts.where(~given, texts[given].map(lambda t: str(json.loads(t))))
+        def one(text):
+            try:
+                return None if text is None else str(json.loads(text))
+            except ValueError:
+                return None
+
+        return texts.map(one)
 
     return printed
 
@@ -74,11 +83,13 @@ def _sorted_helper():
     def compact(texts: pd.Series) -> pd.Series:
         import json
 
-        given = texts.notna()
-        if not given.any():
-            return texts
-        compacted = texts[given].map(lambda t: json.dumps(json.loads(t), sort_keys=True, separators=(",", ":")))
-        return texts.where(~given, compacted)
+        def one(text):
+            try:
+                return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(one)
 
     return compact
 
@@ -108,7 +119,8 @@ def task_fingerprint(
 
     ``exact`` equals the stored fingerprints: platform and printed content joined without a
     delimiter, so key order counts. ``canonical`` ignores key order and keeps the two parts
-    apart, for use where stored fingerprints need not match.
+    apart, for use where stored fingerprints need not match. Content that is no JSON gives NULL.
+    Rows the JVM can render never enter the branch with the Python helper.
     """
     if mode == "exact":
         flat, helper, parts = _flat_printed, _printed_helper(), [F.col(platform)]
@@ -116,7 +128,7 @@ def task_fingerprint(
         flat, helper, parts = _flat_sorted, _sorted_helper(), [F.col(platform), F.lit("\n")]
     else:
         raise ValueError(f"unknown fingerprint mode {mode!r}")
-    # a column of its own, so that the shape is tested once per row
     staged = df.withColumn("__flat", flat(F.col(content)))
-    text = F.coalesce("__flat", helper(F.when(F.col("__flat").isNull(), F.col(content))))
-    return staged.withColumn(out, md5_parts([*parts, text])).drop("__flat")
+    plain = staged.where("__flat IS NOT NULL").withColumn(out, md5_parts([*parts, F.col("__flat")]))
+    other = staged.where("__flat IS NULL").withColumn(out, md5_parts([*parts, helper(F.col(content))]))
+    return plain.unionByName(other).drop("__flat")

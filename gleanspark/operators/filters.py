@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions.display import BEGIN, IN_PROGRESS, KILL, PENDING
-from gleanspark.operators.paging import SHALLOW_ROWS, check_page, newest_first, page_desc, total_of
-from gleanspark.plans.durable import settle
+from gleanspark.operators.access import actors
+from gleanspark.operators.paging import check_page, newest_first, page_desc, total_of
 from gleanspark.plans.skew import SALT, SPLITS, hot_keys, lookup_join, salt_of
 
 
@@ -107,18 +109,27 @@ def shown_to(is_superuser: Column | bool, is_delete: str = "is_delete") -> Colum
     return allowed | ~F.col(is_delete)
 
 
+class Visible(NamedTuple):
+    """Own pages with their ``viewer_id``, the one page all superusers share, and the superusers."""
+
+    own: DataFrame
+    shared: DataFrame
+    viewers: DataFrame
+
+
 def visible_tasks(
     tasks: DataFrame,
     users: DataFrame,
     skip: int = 0,
     limit: int = 100,
     after_paging: bool = True,
-) -> DataFrame:
-    """The task list each user opens: a column ``viewer_id`` and the rows shown.
+) -> Visible:
+    """The task list each user opens.
 
     Superusers page through all tasks and see deleted ones; others page through their own
     and do not. Deleted rows are taken out *after* paging by default, so a page may be short.
-    The superuser page is one and the same for all of them, so it is computed once.
+    The superuser page is one and the same for all of them: it is given once, beside those it
+    is for, and never multiplied by their number. There is no upper bound on ``limit``.
     """
     viewers = users.select(F.col("id").alias("viewer_id"), "is_superuser")
     plain = viewers.where(~F.col("is_superuser")).select(F.col("viewer_id").alias("user_id"))
@@ -126,18 +137,11 @@ def visible_tasks(
     pages = _page_per_owner(own, ["user_id"], skip, limit)
     mine = pages.where(~F.col("is_delete")).withColumn("viewer_id", F.col("user_id"))
 
-    if limit > SHALLOW_ROWS:
-        raise ValueError("a shared page is handed to every superuser; keep its limit small")
-    everything = settle(page_desc(tasks, "created_at", skip, limit, nulls="first"))
-    supers = viewers.where("is_superuser").select("viewer_id")
-    page = everything.agg(F.collect_list(F.struct(*tasks.columns)).alias("__page"))  # at most `limit` rows
-    theirs = (
-        supers.withColumn("__page", page.scalar())
-        .select("viewer_id", F.explode("__page").alias("__task"))
-        .select("__task.*", "viewer_id")
+    return Visible(
+        mine.select("viewer_id", *tasks.columns),
+        page_desc(tasks, "created_at", skip, limit, nulls="first"),
+        viewers.where("is_superuser").select("viewer_id"),
     )
-    columns = ["viewer_id", *tasks.columns]
-    return mine.select(*columns).unionByName(theirs.select(*columns))
 
 
 def allowed_actions(status: str = "status", is_delete: str = "is_delete") -> Column:
@@ -155,6 +159,6 @@ def allowed_actions(status: str = "status", is_delete: str = "is_delete") -> Col
 
 
 def superuser_only(requests: DataFrame, users: DataFrame, actor: str = "user_id") -> DataFrame:
-    """The requests made by superusers."""
-    supers = users.where("is_superuser").select(F.col("id").alias(actor))
+    """The requests made by active superusers."""
+    supers = actors(users, actor).where("actor_is_superuser AND actor_is_active").select(actor)
     return lookup_join(requests, supers, actor, "left_semi").select(*requests.columns)

@@ -7,10 +7,8 @@ state and outcomes always agree.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +24,12 @@ from gleanspark.functions.hashing import task_fingerprint
 from gleanspark.operators.access import BAD_REQUEST, OK, SERVER_ERROR, task_access
 from gleanspark.operators.integrity import TASK_DEFAULTS, apply_defaults, row_id
 from gleanspark.operators.paging import last_per_key
-from gleanspark.plans.durable import settle
-from gleanspark.plans.skew import keys_present, limit_of, lookup_join
+from gleanspark.plans.durable import settle, written
+from gleanspark.plans.skew import keys_present, lookup_join
 from gleanspark.sources.schemas import RUN_COLUMNS, TASK_COLUMNS
 
+# The longest text a field of a new task may hold.
+MOST_CHARACTERS = {"task_group": 100, "task_name": 200, "source_platform": 50}
 RULE_FAULT = "抓取规则设置错误"
 NO_RUN = "no_run"
 
@@ -86,57 +86,39 @@ _NAME = ["user_id", "task_name"]
 _FP = "task_fingerprint"
 
 
-def in_order_helper():
-    """Function that takes requests in order and passes on those whose two keys are still free."""
-
-    # Nested so that it travels to the workers by value and needs no package there.
-    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prints, names = set(), set()
-        for batch in batches:
-            taken = []
-            for fp, user, name in zip(batch["task_fingerprint"], batch["user_id"], batch["task_name"], strict=True):
-                free = fp not in prints and (user, name) not in names
-                if free:
-                    prints.add(fp)
-                    names.add((user, name))
-                taken.append(free)
-            yield batch[taken]
-
-    return admit
-
-
 def _greedy_rounds(undecided: DataFrame) -> DataFrame:
     """Requests a one-by-one pass in ``seq`` order would admit.
 
     A request that comes first in both its groups, same fingerprint and same owner and name,
     is admitted for certain, and everything sharing a key with it is refused for certain. A
-    round settles all such requests at once; rounds repeat on what is left. Every group is
-    reduced to its smallest ``seq`` before the shuffle, and no group is ever gathered.
-
-    What is left when few requests remain (``gleanspark.admission.tailRows``, counted before)
-    is settled in order by one task, so a long chain of dependent requests ends without
-    hundreds of rounds. There is no limit on the rounds.
+    round settles all such requests at once, in one stored frame that marks both; rounds repeat
+    on what is left, to the end. Every group is reduced to its smallest ``seq`` before the
+    shuffle, and no group is ever gathered. The rounds are as many as the longest chain of
+    requests that depend on each other.
     """
-    tail_rows = limit_of(undecided.sparkSession, "gleanspark.admission.tailRows")
+    columns = undecided.columns
     won: list[DataFrame] = []
-    left = undecided.count()
-    while left > 0:
-        if left <= tail_rows:
-            ordered = undecided.repartition(1).sortWithinPartitions("seq")
-            won.append(ordered.mapInPandas(in_order_helper(), undecided.schema))
-            break
-        first_of_print = undecided.groupBy(_FP).agg(F.min("seq").alias("seq")).select("seq")
-        first_of_name = undecided.groupBy(*_NAME).agg(F.min("seq").alias("seq")).select("seq")
-        certain = settle(first_of_print.join(first_of_name, "seq", "left_semi"))
-        winners = settle(lookup_join(undecided, certain, "seq", "left_semi", unique=True).select(*undecided.columns))
-        undecided = lookup_join(undecided, winners.select(_FP), _FP, "left_anti")
-        undecided = lookup_join(undecided, winners.select(*_NAME), _NAME, "left_anti")
-        undecided = settle(undecided.select(*winners.columns))
-        won.append(winners)
+    while True:
+        first_of_print = undecided.groupBy(_FP).agg(F.min("seq").alias("seq"))
+        first_of_name = undecided.groupBy(*_NAME).agg(F.min("seq").alias("seq"))
+        winners = first_of_print.join(first_of_name, "seq")
+        by_print = winners.select(_FP, F.col("seq").alias("print_winner"))
+        by_name = winners.select(*_NAME, F.col("seq").alias("name_winner"))
+        marked = written(
+            undecided.join(by_print, _FP, "left")
+            .join(by_name, _NAME, "left")
+            .select(
+                *columns,
+                F.coalesce((F.col("seq") == F.col("print_winner")) & (F.col("seq") == F.col("name_winner")), F.lit(False)).alias("won"),
+                (F.col("print_winner").isNull() & F.col("name_winner").isNull()).alias("open"),
+            )
+        )
+        won.append(marked.where("won").select(*columns))
+        undecided = marked.where("open").select(*columns)
         if len(won) > 8:
-            won = [settle(_union(won))]
-        left = undecided.count()
-    return settle(_union(won)) if won else undecided
+            won = [written(_union(won))]
+        if undecided.isEmpty():
+            return written(_union(won))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -146,22 +128,40 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def _field_fault(requests: DataFrame) -> Column:
+    """What a request's own fields have wrong with them, NULL if nothing."""
+    faults = []
+    for name in ("task_group", "task_name", "task_content", "source_platform"):
+        if name not in requests.columns:
+            continue
+        if "present" in requests.columns:
+            sent = F.coalesce(F.array_contains("present", name), F.lit(False))
+            faults.append(F.when(sent & F.col(name).isNull(), F.lit(f"{name} is null")))
+        if name in MOST_CHARACTERS:
+            faults.append(F.when(F.length(name) > MOST_CHARACTERS[name], F.lit(f"{name} is too long")))
+    return F.coalesce(*faults, F.lit(None).cast("string"))
+
+
 def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None, mode: str = "exact") -> Admission:
     """Admit new tasks in ``seq`` order.
 
     A request is refused if a task with its fingerprint exists, whoever owns it and deleted
     or not; else if its owner already has a task of that name; else it becomes a pending
     task. Requests of the batch count as existing tasks once admitted, and a refused request
-    does not occupy its name. Fields a request leaves out take their defaults.
+    does not occupy its name. Fields a request leaves out take their defaults. Content that is no
+    JSON, a text longer than its field, and, where requests say by ``present`` what they carry, a
+    NULL that was sent are refused before anything else.
     """
-    filled = apply_defaults(requests, TASK_DEFAULTS)
+    filled = apply_defaults(requests.withColumn("fault", _field_fault(requests)), TASK_DEFAULTS)
     for name in ("task_group", "task_name", "task_content", "source_platform"):
         filled = filled.withColumn(name, F.coalesce(name, F.lit(TASK_DEFAULTS[name])))
     printed = task_fingerprint(filled, mode)
-    staged = settle(printed.select("seq", _FP, *_NAME, "task_group"))
+    no_json = F.when(F.col(_FP).isNull(), F.lit("task_content is no JSON"))
+    staged = settle(printed.select("seq", _FP, *_NAME, "task_group", F.coalesce("fault", no_json).alias("fault")))
 
     # same fingerprint, owner and name: only the earliest can be admitted
-    distinct = staged.dropna("any", subset=["user_id"]).groupBy(_FP, *_NAME).agg(F.min("seq").alias("seq"))
+    sound = staged.where("user_id IS NOT NULL AND fault IS NULL")
+    distinct = sound.groupBy(_FP, *_NAME).agg(F.min("seq").alias("seq"))
     distinct = settle(distinct.select("seq", _FP, *_NAME))
     held = settle(
         rows_with_keys(distinct.select(_FP).distinct(), tasks.select(_FP, "task_group", "task_name"), _FP)
@@ -186,6 +186,7 @@ def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None
         judged.withColumn(
             "reason",
             F.when(F.col("admitted"), F.lit(None))
+            .when(F.col("fault").isNotNull(), F.col("fault"))
             .when(F.col("user_id").isNull(), F.lit("no_owner"))
             .when(by_print, F.lit("duplicate_fingerprint"))
             .otherwise(F.lit("duplicate_name")),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.operators.access import (
+    ACTOR_INACTIVE,
+    ACTOR_NOT_FOUND,
     BAD_REQUEST,
     CONFLICT,
     FORBIDDEN,
@@ -16,13 +18,17 @@ from gleanspark.operators.access import (
     OK,
     SERVER_ERROR,
     USER_NOT_FOUND,
+    actors,
+    gate_outcome,
+    gate_reason,
 )
 from gleanspark.operators.integrity import USER_DEFAULTS, apply_defaults, row_id
 from gleanspark.operators.patching import Patched, apply_patches, null_fault
-from gleanspark.plans.durable import settle
+from gleanspark.plans.durable import settle, written
 from gleanspark.plans.skew import keys_present, lookup_join
 from gleanspark.sources.schemas import USER_COLUMNS
 
+# Messages of refused requests.
 EMAIL_EXISTS_ON_CREATE = "该邮箱对应的用户已在系统中存在。"
 EMAIL_EXISTS_ON_UPDATE = "该邮箱的用户已存在"
 ID_NOT_FOUND = "该用户ID在系统中不存在"
@@ -64,48 +70,101 @@ def admit_users(requests: DataFrame, users: DataFrame, now: Column | None = None
     return UserAdmission(rows.select(*USER_COLUMNS), outcomes)
 
 
+def _delete_rounds(open_requests: DataFrame) -> DataFrame:
+    """Of requests the state allows (``seq, actor_id, user_id``), those that a one-by-one pass
+    carries out.
+
+    A request is carried out for certain if it is the first against its user and no earlier one
+    is against its actor. Later requests against that user, or by it, then fail for certain. A
+    round settles all of these at once; rounds repeat to the end, as many as the longest chain
+    of requests that depend on each other.
+    """
+    columns = open_requests.columns
+    done: list[DataFrame] = []
+    while True:
+        first = open_requests.groupBy("user_id").agg(F.min("seq").alias("first"))
+        against_actor = first.select(F.col("user_id").alias("actor_id"), F.col("first").alias("against_actor"))
+        certain = (
+            open_requests.join(first.withColumnRenamed("first", "seq"), ["user_id", "seq"], "left_semi")
+            .join(against_actor, "actor_id", "left")
+            .where("against_actor IS NULL OR against_actor > seq")
+            .select("user_id", F.col("seq").alias("gone_at"))
+        )
+        by_actor = certain.select(F.col("user_id").alias("actor_id"), F.col("gone_at").alias("actor_gone_at"))
+        marked = written(
+            open_requests.join(certain, "user_id", "left").join(by_actor, "actor_id", "left")
+            .select(
+                *columns,
+                F.coalesce(F.col("seq") == F.col("gone_at"), F.lit(False)).alias("done"),
+                F.expr("gone_at IS NULL AND (actor_gone_at IS NULL OR actor_gone_at > seq)").alias("open"),
+            )
+        )
+        done.append(marked.where("done").select(*columns))
+        open_requests = marked.where("open").select(*columns)
+        if len(done) > 8:
+            done = [written(_union(done))]
+        if open_requests.isEmpty():
+            return written(_union(done))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
 def delete_users(requests: DataFrame, users: DataFrame, tasks: DataFrame) -> Patched:
     """Delete users for good: a request has ``seq``, ``actor_id`` and ``user_id``.
 
-    The actor must be a superuser (403), the user must exist (404), must not be the actor
-    (403) and must own no task (500, the foreign key refuses). A second request for a user
-    the batch already deleted is 404. Actors are those of the state before the batch.
+    The actor must be known (404), active (400) and a superuser (403), the user must exist
+    (404), must not be the actor (403) and must own no task (500, the foreign key refuses).
+    Requests are decided in ``seq`` order: a user deleted earlier in the batch is gone, as the
+    one to delete and as an actor, so two superusers can't delete each other.
     """
-    actors = users.select(F.col("id").alias("actor_id"), F.col("is_superuser").alias("actor_is_superuser"))
     known = keys_present(
         requests.select("user_id"), users.select(F.col("id").alias("user_id")), "user_id"
     ).withColumn("known", F.lit(True))
     owners = keys_present(requests, tasks, "user_id").withColumn("owns_tasks", F.lit(True))
-    seen = lookup_join(lookup_join(requests, actors, "actor_id"), known, "user_id", keys_from=requests)
+    seen = lookup_join(lookup_join(requests, actors(users, "actor_id"), "actor_id"), known, "user_id", keys_from=requests)
     judged = lookup_join(seen, owners, "user_id", keys_from=requests)
-    gate = ~F.coalesce("actor_is_superuser", F.lit(False))
+    no_right = ~F.coalesce("actor_is_superuser", F.lit(False))
     outcome = (
-        F.when(gate, F.lit(FORBIDDEN))
+        F.when(gate_outcome().isNotNull(), gate_outcome())
+        .when(no_right, F.lit(FORBIDDEN))
         .when(F.col("known").isNull(), F.lit(NOT_FOUND))
         .when(F.col("user_id") == F.col("actor_id"), F.lit(FORBIDDEN))
         .when(F.col("owns_tasks"), F.lit(SERVER_ERROR))
         .otherwise(F.lit(OK))
     )
-    decided = settle(judged.withColumn("outcome", outcome).withColumn("gate", gate))
-    deleting = settle(
-        decided.where(F.col("outcome") == OK).groupBy("user_id").agg(F.min("seq").alias("seq"))
+    reason = (
+        F.when(gate_reason().isNotNull(), gate_reason())
+        .when(no_right, F.lit(NO_PERMISSION_GATE))
+        .when(F.col("outcome") == NOT_FOUND, F.lit(USER_NOT_FOUND))
+        .when(F.col("outcome") == FORBIDDEN, F.lit(NO_SELF_DELETE))
+        .when(F.col("outcome") == SERVER_ERROR, F.lit(OWNS_TASKS))
+    )
+    decided = settle(
+        judged.withColumn("outcome", outcome)
+        .withColumn("reason", reason)
+        .select("seq", "actor_id", "user_id", "outcome", "reason", no_right.alias("no_right"))
     )
-    # a later request against a user already deleted finds no user, whoever makes it
+    open_requests = decided.where(F.col("outcome") == OK).select("seq", "actor_id", "user_id")
+    deleting = _delete_rounds(open_requests)
     gone = deleting.select("user_id", F.col("seq").alias("gone_at"))
-    final = lookup_join(decided, gone, "user_id").withColumn(
-        "outcome",
-        F.when(~F.col("gate") & (F.col("gone_at") < F.col("seq")), F.lit(NOT_FOUND)).otherwise(F.col("outcome")),
+    actor_gone = deleting.select(F.col("user_id").alias("actor_id"), F.col("seq").alias("actor_gone_at"))
+    final = lookup_join(lookup_join(decided, gone, "user_id"), actor_gone, "actor_id", keys_from=decided)
+    no_actor = F.coalesce(F.col("actor_gone_at") < F.col("seq"), F.lit(False))
+    # only a superuser, who passed the gate, learns that the user is gone
+    no_user = F.coalesce((F.col("gone_at") < F.col("seq")) & ~F.col("no_right"), F.lit(False)) & (
+        F.coalesce("reason", F.lit("")) != ACTOR_INACTIVE
     )
     outcomes = final.select(
         "seq",
         "actor_id",
         "user_id",
-        "outcome",
-        F.when(F.col("gate"), F.lit(NO_PERMISSION_GATE))
-        .when(F.col("outcome") == NOT_FOUND, F.lit(USER_NOT_FOUND))
-        .when(F.col("outcome") == FORBIDDEN, F.lit(NO_SELF_DELETE))
-        .when(F.col("outcome") == SERVER_ERROR, F.lit(OWNS_TASKS))
-        .alias("reason"),
+        F.when(no_actor | no_user, F.lit(NOT_FOUND)).otherwise(F.col("outcome")).alias("outcome"),
+        F.when(no_actor, F.lit(ACTOR_NOT_FOUND)).when(no_user, F.lit(USER_NOT_FOUND)).otherwise(F.col("reason")).alias("reason"),
     )
     state = lookup_join(users, deleting.select(F.col("user_id").alias("id")), "id", "left_anti", unique=True)
     return Patched(state.select(*users.columns), outcomes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return own
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again.
+
+    For rounds: a checkpoint hands on what the planner has inferred about its rows, and that
+    doubles from round to round; a table carries nothing over.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage at a reliable checkpoint.
 

@@ -26,15 +26,11 @@ LIMITS = {
     "gleanspark.broadcast.maxRows": 200_000,
     "gleanspark.broadcast.maxBytes": 64 * 1024 * 1024,
     "gleanspark.hotKey.rows": 1_000_000,
-    "gleanspark.hotKey.maxKeys": 10_000,
-    "gleanspark.hotKey.maxSplits": 2_000,
-    "gleanspark.admission.tailRows": 20_000,
 }
 
 _TEXT = (T.StringType, T.BinaryType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _SIZED = (*_TEXT, *_NESTED)
-_NULL_KEY_SPLITS = 64
 SALT = "__salt"
 SPLITS = "__splits"
 _ROWS = "__rows"
@@ -58,40 +54,31 @@ def _width(field: T.StructField) -> Column:
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether ``df`` stays within the broadcast limits, by rows and by bytes.
 
-    The row test reads no columns and stops at the first row beyond the limit, so a
-    large table is recognised from its first files.
+    One aggregate over its text columns alone; a single row reaches the driver.
     """
     spark = df.sparkSession
     max_rows = limit_of(spark, "gleanspark.broadcast.maxRows")
     if max_rows < 1:
         return False
-    if df.select(F.lit(1).alias("one")).offset(max_rows).limit(1).collect():
-        return False
-    max_bytes = limit_of(spark, "gleanspark.broadcast.maxBytes")
-    fixed_width = not any(isinstance(f.dataType, _SIZED) for f in df.schema)
-    if fixed_width and max_rows * 16 * len(df.columns) <= max_bytes:
-        return True
     width = F.lit(0).cast("bigint")
     for field in df.schema:
         width = width + _width(field)
-    size = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
-    return size <= max_bytes
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return size["rows"] <= max_rows and size["bytes"] <= limit_of(spark, "gleanspark.broadcast.maxBytes")
 
 
 def _hot_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The heaviest keys and how many tasks each is spread over.
+    """Every key above ``hotKey.rows`` rows and how many tasks it is spread over, by its count.
 
-    At most ``maxKeys`` rows: a key outside that list holds at most 1/maxKeys of the
-    rows, so it needs no splitting and the list may always be broadcast.
+    The list is bounded by the rows divided by ``hotKey.rows``. A NULL key matches nothing and
+    is never hot.
     """
-    spark = counts.sparkSession
-    rows = limit_of(spark, "gleanspark.hotKey.rows")
-    most = limit_of(spark, "gleanspark.hotKey.maxSplits")
-    return (
-        counts.where(F.col(_ROWS) > rows)
-        .orderBy(F.col(_ROWS).desc())
-        .limit(limit_of(spark, "gleanspark.hotKey.maxKeys"))
-        .select(*on, F.least(F.ceil(F.col(_ROWS) / rows), F.lit(most)).cast("int").alias(SPLITS))
+    rows = limit_of(counts.sparkSession, "gleanspark.hotKey.rows")
+    known = F.lit(True)
+    for name in on:
+        known = known & F.col(name).isNotNull()
+    return counts.where(known & (F.col(_ROWS) > rows)).select(
+        *on, F.ceil(F.col(_ROWS) / rows).cast("int").alias(SPLITS)
     )
 
 
@@ -103,8 +90,10 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame | None:
 
 
 def salt_of(df: DataFrame, splits: Column) -> Column:
-    """A salt in ``0 .. splits-1`` computed from the row itself, so a recomputed task agrees."""
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(df)]), splits).cast("int")
+    """A salt in ``0 .. splits-1`` from the row and its partition: a recomputed task agrees, and
+    equal rows of different partitions are told apart."""
+    parts = [F.col(f"`{c}`") for c in _hashable(df)]
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *parts), splits).cast("int")
 
 
 def _hashable(df: DataFrame) -> list[str]:
@@ -112,19 +101,17 @@ def _hashable(df: DataFrame) -> list[str]:
 
 
 def _salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, hot: DataFrame) -> DataFrame:
-    """Join on the key plus a salt; only hot keys have more than one salt value."""
+    """Join on the key plus a salt; only hot keys have more than one salt value.
+
+    A NULL key matches nothing: those rows go past the join and are never shuffled.
+    """
     no_key = F.lit(False)
     for name in on:
         no_key = no_key | F.col(name).isNull()
     spread = (
-        fact.join(F.broadcast(hot), list(on), "left")
-        .withColumn(
-            SALT,
-            # a NULL key matches nothing: spread those rows too instead of piling them up
-            F.when(no_key, salt_of(fact, F.lit(_NULL_KEY_SPLITS)))
-            .when(F.col(SPLITS).isNotNull(), salt_of(fact, F.col(SPLITS)))
-            .otherwise(F.lit(0)),
-        )
+        fact.where(~no_key)
+        .join(F.broadcast(hot), list(on), "left")
+        .withColumn(SALT, F.when(F.col(SPLITS).isNotNull(), salt_of(fact, F.col(SPLITS))).otherwise(F.lit(0)))
         .drop(SPLITS)
     )
     copies = (
@@ -132,7 +119,10 @@ def _salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, h
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SPLITS), F.lit(1)) - 1)))
         .drop(SPLITS)
     )
-    return spread.join(copies, [*on, SALT], how).drop(SALT)
+    joined = spread.join(copies, [*on, SALT], how).drop(SALT)
+    if how in ("left", "left_anti"):
+        return joined.unionByName(fact.where(no_key), allowMissingColumns=True)
+    return joined
 
 
 def lookup_join(

@@ -31,5 +31,5 @@ def limits(spark):
 
 @pytest.fixture
 def split_everything(limits):
-    """Limits under which nothing is broadcast, every repeated key is hot and no tail is cut."""
-    limits(broadcast_maxRows=0, hotKey_rows=2, admission_tailRows=0)
+    """Limits under which nothing is broadcast and every repeated key is hot."""
+    limits(broadcast_maxRows=0, hotKey_rows=2)

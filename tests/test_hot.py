@@ -40,6 +40,7 @@ def duck(hot_folder):
 HOT = [
     "tasks_of_owners",
     "visible_tasks",
+    "visible_tasks_shared",
     "page_desc",
     "page_desc_deep",
     "task_access",
@@ -62,5 +63,5 @@ HOT = [
 
 @pytest.mark.parametrize("name", HOT)
 def test_hot_keys(spark, duck, hot_folder, limits, name):
-    limits(broadcast_maxRows=20, hotKey_rows=50, admission_tailRows=5)
+    limits(broadcast_maxRows=20, hotKey_rows=50)
     assert compare(spark, duck, hot_folder, name) is None

@@ -217,12 +217,13 @@ def test_visible_tasks(spark, task_list):
     users = spark.createDataFrame([(1, False), (2, False), (9, True)], "id long, is_superuser boolean")
     shown = filters.visible_tasks(task_list, users, 0, 4)
     by_viewer = {}
-    for r in shown.collect():
+    for r in shown.own.collect():
         by_viewer.setdefault(r["viewer_id"], set()).add(r["id"])
-    assert by_viewer[9] == {5, 27, 28, 29}  # deleted 28 is shown to a superuser
+    assert [r["viewer_id"] for r in shown.viewers.collect()] == [9] and 9 not in by_viewer
+    assert {r["id"] for r in shown.shared.collect()} == {5, 27, 28, 29}  # deleted 28 is shown to a superuser
     assert by_viewer[1] == {5, 29, 25}  # deleted 28 leaves a short page
     filled = filters.visible_tasks(task_list, users, 0, 4, after_paging=False)
-    assert filled.where("viewer_id = 1").count() == 4
+    assert filled.own.where("viewer_id = 1").count() == 4
 
 
 def test_allowed_actions(spark):

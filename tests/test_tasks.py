@@ -1,12 +1,13 @@
 """Task operators against one-by-one models, on random batches and hand-made cases."""
 
 import json
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleanspark.operators import access, tasks
+from gleanspark.operators import access, filters, tasks
 from gleanspark.sources.schemas import RUN_COLUMNS
 
 REQUEST = "seq long, user_id long, source_platform string, task_content string, task_name string, task_group string"
@@ -80,10 +81,7 @@ def random_batch(rng, size):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("by_rounds", [False, True])
-def test_admission_equals_one_by_one(spark, limits, seed, by_rounds):
-    if by_rounds:
-        limits(admission_tailRows=0)
+def test_admission_equals_one_by_one(spark, seed):
     existing, requests = random_batch(random.Random(seed), 80)
     got = run_admission(spark, existing, requests)
     assert {r["seq"]: r["reason"] for r in got.outcomes.collect()} == admission_model(existing, requests)
@@ -95,16 +93,34 @@ def test_admission_with_split_keys(spark, split_everything):
     assert {r["seq"]: r["reason"] for r in got.outcomes.collect()} == admission_model(existing, requests)
 
 
-def test_admission_chain(spark, limits):
+def test_admission_chain(spark):
     """Each request depends on the one before: only every second one gets in."""
-    limits(admission_tailRows=3)
-    chain = [(i, (i + 1) // 2, 1, f"n{i // 2}") for i in range(12)]
+    chain = [(i, (i + 1) // 2, 1, f"n{i // 2}") for i in range(24)]
     got = run_admission(spark, [], chain)
     want = admission_model([], chain)
     assert {r["seq"]: r["reason"] for r in got.outcomes.collect()} == want
     assert got.accepted.count() == sum(v is None for v in want.values())
 
 
+def test_admission_refuses_faulty_fields(spark):
+    rows = [
+        (1, 1, "p", '{"k": 1}', "n" * 201, "g", None),
+        (2, 1, "p", "{broken", "b", "g", None),
+        (3, 1, "p", '{"k": 3}', None, "g", ["task_name"]),
+        (4, 1, "p", '{"k": 4}', None, "g", ["task_group"]),
+        (5, 1, "p" * 51, '{"k": 5}', "e", "g", None),
+        (6, 1, "p", '{"键": "值 é"}', "f", "g", None),
+    ]
+    df = spark.createDataFrame(rows, REQUEST + ", present array<string>")
+    got = tasks.admit_tasks(df, task_frame(spark, []))
+    assert {r["seq"]: r["reason"] for r in got.outcomes.collect()} == {
+        1: "task_name is too long", 2: "task_content is no JSON", 3: "task_name is null", 4: None,
+        5: "source_platform is too long", 6: None,
+    }
+    printed = {r["seq"]: r["task_fingerprint"] for r in got.outcomes.collect()}
+    assert printed[6] == hashlib.md5("p{'键': '值 é'}".encode()).hexdigest()
+
+
 def test_refused_request_leaves_its_keys_free(spark):
     got = run_admission(spark, [(99, 1, "old")], [(1, 10, 1, "X"), (2, 11, 1, "X"), (3, 11, 1, "Y"), (4, 99, 2, "Z")])
     by_seq = {r["seq"]: r for r in got.outcomes.collect()}
@@ -250,3 +266,17 @@ def test_access_decisions(spark):
     )
     got = {r["seq"]: r["outcome"] for r in access.user_access(views, users).collect()}
     assert got == {1: 404, 2: 403, 3: 200, 4: 403, 5: 200}
+
+
+def test_actors_must_be_known_and_active(spark):
+    task, _, _, _ = life_tables(spark)
+    users = spark.createDataFrame(
+        [(1, True, False), (2, False, True), (3, True, None)], "id long, is_superuser boolean, is_active boolean"
+    )
+    asked = requests_frame(spark, [(1, 1, "t1"), (2, 2, "t1"), (3, 3, "t1"), (4, 9, "t1")])
+    got = {r["seq"]: (r["outcome"], r["reason"]) for r in access.task_access(asked, task, users).collect()}
+    assert got == {1: (400, "Inactive user"), 2: (200, None), 3: (400, "Inactive user"), 4: (404, "User not found")}
+    views = spark.createDataFrame([(1, 1, 1), (2, 2, 2), (4, 9, 9)], "seq long, user_id long, target_id long")
+    got = {r["seq"]: r["outcome"] for r in access.user_access(views, users).collect()}
+    assert got == {1: 400, 2: 200, 4: 404}
+    assert filters.superuser_only(asked, users).count() == 0

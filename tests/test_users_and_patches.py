@@ -81,11 +81,46 @@ def test_delete_users(spark):
     owned = spark.createDataFrame([(5,), (5,)], "user_id long")
     got = users.delete_users(asked, user_frame(spark), owned)
     assert {r["seq"]: r["outcome"] for r in got.outcomes.collect()} == {
-        1: 200, 2: 404, 3: 403, 4: 404, 5: 403, 6: 500, 7: 403,
+        1: 200, 2: 404, 3: 403, 4: 404, 5: 403, 6: 500, 7: 404,
     }
     assert {r["id"] for r in got.state.collect()} == set(range(8)) - {3}
 
 
+def delete_model(states, requests):
+    """One by one: states is id -> (is_superuser, is_active)."""
+    left, out = dict(states), {}
+    for seq, actor, user in sorted(requests):
+        if actor not in left:
+            out[seq] = (404, "User not found")
+        elif not left[actor][1]:
+            out[seq] = (400, "Inactive user")
+        elif not left[actor][0]:
+            out[seq] = (403, users.NO_PERMISSION_GATE)
+        elif user not in left:
+            out[seq] = (404, users.USER_NOT_FOUND)
+        elif user == actor:
+            out[seq] = (403, users.NO_SELF_DELETE)
+        else:
+            out[seq] = (200, None)
+            del left[user]
+    return out, set(left)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_deletions_are_decided_in_order(spark, seed):
+    rng = random.Random(seed)
+    states = {i: (rng.random() < 0.7, rng.random() < 0.9) for i in range(14)}
+    requests = [(i, rng.randrange(16), rng.randrange(16)) for i in range(60)]
+    if seed == 0:  # two superusers delete each other
+        states, requests = {1: (True, True), 2: (True, True)}, [(1, 1, 2), (2, 2, 1)]
+    frame = spark.createDataFrame([(i, *s) for i, s in states.items()], "id long, is_superuser boolean, is_active boolean")
+    asked = spark.createDataFrame(requests, "seq long, actor_id long, user_id long")
+    got = users.delete_users(asked, frame, spark.createDataFrame([], "user_id long"))
+    want, left = delete_model(states, requests)
+    assert {r["seq"]: (r["outcome"], r["reason"]) for r in got.outcomes.collect()} == want
+    assert {r["id"] for r in got.state.collect()} == left
+
+
 def test_seed_if_absent(spark):
     base = user_frame(spark)
     seed = spark.createDataFrame([(100, "root@x.org"), (101, "u1@x.org")], "id long, email string")
