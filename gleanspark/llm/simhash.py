@@ -236,6 +236,16 @@ def link_fingerprints(
     return components(forests).select(F.col("node").alias("fingerprint"), F.col("component").alias("root"))
 
 
+def grouped(printed: DataFrame, radius: int = 2) -> DataFrame:
+    """``fingerprint, component_id`` for every fingerprint of ``printed`` (``doc_id, fingerprint``)."""
+    distinct = stored(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    linked = distinct.join(link_fingerprints(distinct, radius), "fingerprint", "left").withColumn(
+        "root", F.coalesce("root", "fingerprint")
+    )
+    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    return linked.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id")
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits) ``, component_id`` for every row of ``docs``.
 
@@ -246,12 +256,6 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFram
     Repeated rows stay; an empty table gives no rows.
     """
     printed = stored(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fingerprint")), "simhash")
-    distinct = stored(printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = distinct.join(link_fingerprints(distinct, radius), "fingerprint", "left").withColumn(
-        "root", F.coalesce("root", "fingerprint")
-    )
-    named = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = linked.select("fingerprint", "root").join(named, "root").select("fingerprint", "component_id")
-    return printed.join(of, "fingerprint").select(
+    return printed.join(grouped(printed, radius), "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
