@@ -98,3 +98,26 @@ def test_stages_take_odd_rows(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and all(r.ids for r in rows if r.decoded_text)
+
+
+def left_of(spark, texts):
+    kept = one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return sorted(r.doc_id for r in kept)
+
+
+def made(rnd, count, name="w"):
+    return [f"{name}{rnd.randrange(10**9)}" for _ in range(count)]
+
+
+@pytest.mark.parametrize("place", ["middle", "last"])
+def test_near_copies_of_one_base_are_one_group(spark, place):
+    rnd = random.Random(5)
+    base, texts = made(rnd, 200), []
+    for _ in range(150):
+        words = list(base)
+        for at in rnd.sample(range(4, 196), 4):
+            words[at] = made(rnd, 1)[0]
+        texts.append(" ".join(words))
+    texts.insert(75 if place == "middle" else 150, " ".join(base))
+    want = first_of_each(list(enumerate(texts)))
+    assert left_of(spark, texts) == want and len(want) == 1
