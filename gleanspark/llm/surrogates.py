@@ -11,7 +11,12 @@ from gleanspark.llm.shared import stored
 _MALE = "Mr|Mister|Sir|Herr|Herrn|Monsieur|Señor|Sr|Don|Господин|Г-н|Κύριος"
 _FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Mademoiselle|Señora|Señorita|Sra|Srta|Doña|Госпожа|Г-жа|Κυρία"
 _NEUTRAL = "Dr|Prof|Professor"
+# looks at the first letter and what stands before it to pass by most places at once
+_TITLES = f"{_MALE}|{_FEMALE}|{_NEUTRAL}"
+_FIRST = "".join(sorted({c for t in _TITLES.split("|") for c in t[0].lower() + t[0].upper()}))
+_TITLE = rf"(?=[{_FIRST}])(?<!\w)(?iu:{_TITLES})"
 _NAME = r"\p{Lu}[\p{Ll}\p{Lu}\p{M}'’-]*\p{Ll}"
+_SHOUTED = r"\p{Lu}[\p{Lu}\p{M}'’-]*\p{Lu}(?!\p{Ll})"
 
 # How each kind looks. A mention is of the first kind that fits it whole.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -24,13 +29,15 @@ KINDS = {
     "phone": r"(?<![\w.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{2,4}){2,5}(?!\w)"
     r"|(?<![\w.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "person": rf"(?<!\w)(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? {_NAME}(?: {_NAME})?",
-    "secret": r"(?<=(?:token|secret|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9_-]{16,}"
-    r"|(?<=(?:password|passwd|pwd) ?[=:] ?[\"']?)[^\s\"']{6,}",
+    "person": rf"{_TITLE}\.? (?:{_NAME}(?: {_NAME})?|{_SHOUTED}(?: {_SHOUTED})?)",
+    "secret": r"(?<=[=:\"' ])(?<=(?i:token|secret|api_key|apikey)[\"']? ?[=:] ?[\"']?)[A-Za-z0-9_-]{16,}"
+    r"|(?<=[=:\"' ])(?<=(?i:password|passwd|pwd)[\"']? ?[=:] ?[\"']?)[^\s\"']{6,}",
 }
 MENTION = "|".join(KINDS.values())
 # every mention holds one of these, so texts without any are passed by
-_HINT = rf"[0-9@]|password|passwd|pwd|token|secret|api_?key|(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.? "
+_HINT = rf"[0-9@]|(?=[PpTtSsAa])(?i:password|passwd|pwd|token|secret|api_?key)|{_TITLE}\.? "
+# secrets in which letter case tells nothing
+_HEX = "^(?:[0-9a-f]{6,64}|[0-9A-F]{6,64})$"
 
 # Letters and syllables that surrogate names are made of, by script.
 _SCRIPTS = {
@@ -184,7 +191,7 @@ def parts_of(mentions: DataFrame) -> DataFrame:
     words = F.split("mention", " ")
     names = F.slice(words, F.lit(2), F.size(words))
     title = F.regexp_replace(F.element_at(words, 1), r"\.$", "")
-    gender = F.when(title.rlike(f"^(?:{_MALE})$"), "m").when(title.rlike(f"^(?:{_FEMALE})$"), "f").otherwise("n")
+    gender = F.when(title.rlike(f"^(?iu:{_MALE})$"), "m").when(title.rlike(f"^(?iu:{_FEMALE})$"), "f").otherwise("n")
     pair = lambda kind, entity: F.struct(kind.alias("kind"), entity.alias("entity"))
     person = F.when(
         F.size(names) == 2,
@@ -198,6 +205,7 @@ def parts_of(mentions: DataFrame) -> DataFrame:
         .when(F.col("kind") == "phone", F.regexp_replace("mention", "[^0-9+]", ""))
         .when(F.col("kind").isin("card", "ssn"), F.regexp_replace("mention", "[^0-9]", ""))
         .when(F.col("kind") == "iban", F.regexp_replace("mention", " ", ""))
+        .when((F.col("kind") == "secret") & F.rlike("mention", F.lit(_HEX)), F.lower("mention"))
         .otherwise(F.col("mention"))
     )
     return mentions.withColumn("kind", _kind_of(F.col("mention"))).withColumn(
@@ -255,16 +263,17 @@ def _rendered() -> Column:
         ),
         "",
     )
+    names = F.expr("substring(mention, instr(mention, ' ') + 1)")
+    made = F.array_join(F.transform("surrogates", lambda s: F.initcap(s)), " ")
     person = F.concat_ws(
-        " ",
-        F.substring_index("mention", " ", 1),
-        F.array_join(F.transform("surrogates", lambda s: F.initcap(s)), " "),
+        " ", F.substring_index("mention", " ", 1), F.when(names == F.upper(names), F.upper(made)).otherwise(made)
     )
     shout = F.col("mention") == F.upper("mention")
     return (
         F.when(F.col("kind").isin("phone", "card", "ssn", "iban"), placed)
         .when(F.col("kind") == "person", person)
         .when((F.col("kind") == "email") & shout, F.upper(only))
+        .when((F.col("kind") == "secret") & shout & F.rlike("mention", F.lit(_HEX)), F.upper(only))
         .otherwise(only)
     )
 

@@ -86,3 +86,21 @@ def test_odd_rows(spark, count):
     assert got.columns == odd_docs(spark).columns + ([count] if count else [])
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(ROWS, key=str)
     assert with_surrogates(no_docs(spark), "k").count() == 0
+
+
+def test_cues_in_any_case_and_json(spark):
+    token, word = "9233a8ec" * 5, "Hunter2Hunter2"
+    got = replaced(
+        spark,
+        f'TOKEN = "{token.upper()}" here',
+        f'{{"token": "{token}"}}',
+        f"Password: {word} and API_KEY={word}_abcd",
+        f"'Secret' : '{word}_abcd', \"PWD\":\"{word}\"",
+        "MR. JOHN SMITH met MRS SMITH; Г-ЖА ИВАНОВА and mr. Smith.",
+    )
+    assert not any(re.search(f"{token}|{word}|smith|john|иванов", text, re.I) for text in got)
+    upper, lower = re.fullmatch('TOKEN = "([0-9A-F]{40})" here', got[0])[1], re.fullmatch(r'\{"token": "([0-9a-f]{40})"\}', got[1])[1]
+    assert upper.lower() == lower
+    assert re.fullmatch(r"Password: [A-Z]\w+ and API_KEY=[A-Z]\w+_[a-z]{4}", got[2])
+    names = re.fullmatch(r"MR\. ([A-Z]+) ([A-Z]+) met MRS ([A-Z]+); Г-ЖА [А-Я]+ and mr\. (\w+)\.", got[4])
+    assert names[2] == names[3] == names[4].upper()
