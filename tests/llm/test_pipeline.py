@@ -121,3 +121,16 @@ def test_near_copies_of_one_base_are_one_group(spark, place):
     texts.insert(75 if place == "middle" else 150, " ".join(base))
     want = first_of_each(list(enumerate(texts)))
     assert left_of(spark, texts) == want and len(want) == 1
+
+
+def test_near_copies_of_short_texts_and_at_the_border(spark):
+    rnd = random.Random(8)
+    texts = []
+    for size in [*range(8, 61, 4), 84, 104, 204]:
+        for edits in (1, 2, size // 10, size // 5, (size - 4) // 4, (size - 4) // 4 + 1):
+            base = made(rnd, size)
+            texts += [" ".join(base), " ".join(base + made(rnd, edits)), " ".join(made(rnd, edits) + base)]
+            # a run of changed words costs edits + 4 shingles on either side
+            texts.append(" ".join(made(rnd, edits) + base[edits:]))
+    want = first_of_each(list(enumerate(texts)))
+    assert left_of(spark, texts) == want and len(want) < len(texts) * 2 // 3
