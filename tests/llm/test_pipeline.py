@@ -7,6 +7,7 @@ import corpus_pipeline
 from checks import compare as comparing
 from gleanspark.llm.near_copies import one_of_each, shingles
 from gleanspark.llm.queries import ORACLE, QUERIES
+from gleanspark.llm.simhash import fingerprint
 from tests.conftest import SMALL
 from tests.llm.cases import ROWS, no_docs, odd_docs
 
@@ -134,3 +135,16 @@ def test_near_copies_of_short_texts_and_at_the_border(spark):
             texts.append(" ".join(made(rnd, edits) + base[edits:]))
     want = first_of_each(list(enumerate(texts)))
     assert left_of(spark, texts) == want and len(want) < len(texts) * 2 // 3
+
+
+def test_near_copies_through_a_text_two_bits_from_another(spark):
+    rnd = random.Random(3)
+    while True:
+        base, more = made(rnd, 404), made(rnd, 101)
+        texts = [" ".join(base), " ".join(base[:-1]), " ".join(base + more[:100])]
+        texts[0], texts[1] = texts[1], texts[0]
+        if (fingerprint(texts[0].encode(), 5) ^ fingerprint(texts[1].encode(), 5)).bit_count() <= 2:
+            break
+    sets = [set(shingles(t.encode()).tolist()) for t in texts]
+    assert similar(sets[1], sets[2]) and not similar(sets[0], sets[2])
+    assert left_of(spark, texts) == [0]
