@@ -148,3 +148,9 @@ def test_near_copies_through_a_text_two_bits_from_another(spark):
     sets = [set(shingles(t.encode()).tolist()) for t in texts]
     assert similar(sets[1], sets[2]) and not similar(sets[0], sets[2])
     assert left_of(spark, texts) == [0]
+
+
+def test_near_copies_with_a_line_repeated_in_one(spark):
+    rnd = random.Random(4)
+    words, line = made(rnd, 300), made(rnd, 12)
+    assert left_of(spark, [" ".join(words + line), " ".join(words + line * 60)]) == [0]
