@@ -154,3 +154,14 @@ def test_near_copies_with_a_line_repeated_in_one(spark):
     rnd = random.Random(4)
     words, line = made(rnd, 300), made(rnd, 12)
     assert left_of(spark, [" ".join(words + line), " ".join(words + line * 60)]) == [0]
+
+
+def test_a_repeated_line_alone_makes_no_copies(spark):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(60):
+        line = made(rnd, 12) * 250
+        texts += [" ".join(line + made(rnd, 40)) for _ in range(2)]
+    prints = [fingerprint(t.encode(), 5) for t in texts]
+    assert any((a ^ b).bit_count() <= 2 for a, b in zip(prints[::2], prints[1::2], strict=True))
+    assert left_of(spark, texts) == list(range(120))
