@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from checks import compare as comparing
+from gleanspark.llm import near_copies
 from gleanspark.llm.near_copies import one_of_each, shingles
 from gleanspark.llm.queries import ORACLE, QUERIES
 from gleanspark.llm.simhash import fingerprint
@@ -165,3 +166,15 @@ def test_a_repeated_line_alone_makes_no_copies(spark):
     prints = [fingerprint(t.encode(), 5) for t in texts]
     assert any((a ^ b).bit_count() <= 2 for a, b in zip(prints[::2], prints[1::2], strict=True))
     assert left_of(spark, texts) == list(range(120))
+
+
+def test_near_copies_in_many_small_cells(spark, monkeypatch):
+    rnd = random.Random(7)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near_copies, "TASK_ROWS", 64)
+    texts = []
+    for _ in range(4):
+        base = made(rnd, 60)
+        texts += [" ".join(base + made(rnd, k)) for k in range(0, 28)]
+    want = first_of_each(list(enumerate(texts)))
+    assert left_of(spark, texts) == want
