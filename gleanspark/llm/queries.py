@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleanspark.llm.bpe import round_trip
 from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
+from gleanspark.llm.divergence import source_divergence
 from gleanspark.llm.histogram_sort import histogram_shards
 from gleanspark.llm.quality import quality_of
 from gleanspark.llm.runlength import without_repeats
@@ -157,3 +158,47 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"))
+
+
+ORACLE["op11_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS total FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN v USING (lang, term) GROUP BY ALL),
+x AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, total,
+         sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS own,
+         sum(total) OVER (PARTITION BY lang, source) AS spoken, count(*) OVER (PARTITION BY lang, source) AS words
+  FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+),
+s AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (own + 2 * words) AS HUGEINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (total + 2)) // (spoken + 2 * words) AS HUGEINT) AS q
+  FROM x
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+every AS (
+  SELECT lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b USING (lang) LEFT JOIN pairs p USING (lang)
+  WHERE a.source <> b.source AND ((p.source = a.source AND p.item = b.source) OR lang NOT IN (SELECT lang FROM v))
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM s WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
+"""
