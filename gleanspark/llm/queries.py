@@ -14,6 +14,7 @@ from gleanspark.llm.crosspolytope import embedding_groups
 from gleanspark.llm.decontaminate import contamination
 from gleanspark.llm.divergence import source_divergence
 from gleanspark.llm.histogram_sort import histogram_shards
+from gleanspark.llm.phrases import collocations
 from gleanspark.llm.quality import quality_of
 from gleanspark.llm.runlength import without_repeats
 from gleanspark.llm.shared import shared_folder
@@ -202,3 +203,43 @@ SELECT lang, source, part, item, value,
        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM every QUALIFY part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+ns AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM w, range(1, 6) t(size) WHERE len(w) >= size),
+f AS (
+  SELECT lang, size, list_slice(w, s, s + size - 1) AS words, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 100
+),
+cuts AS (
+  SELECT c.lang, c.words, c.f AS a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c
+  JOIN f x ON x.lang = c.lang AND x.words = list_slice(c.words, 1, k)
+  JOIN f y ON y.lang = c.lang AND y.words = list_slice(c.words, k + 1, c.size)
+  JOIN ns ON ns.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.words ORDER BY score, k) = 1
+),
+inner_parts AS (
+  SELECT lang, list_slice(words, s, s + part - 1) AS words, max(f) AS longer
+  FROM (SELECT lang, words, size, f, part, unnest(range(1, size - part + 2)) AS s FROM f, range(2, 5) t(part) WHERE size > part)
+  GROUP BY ALL
+),
+named AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score
+  FROM cuts LEFT JOIN inner_parts USING (lang, words) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000
+"""
