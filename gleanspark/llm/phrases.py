@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +17,8 @@ from gleanspark.llm.shared import byte_views, stored, utf8
 
 LEAST = 100  # occurrences of a phrase
 LONGEST = 5  # words
-CHUNK_BYTES = 16 << 20  # text whose ids are held together
+CHUNK_BYTES = 8 << 20  # text whose ids are held together
+SENT_BYTES = 64 << 20  # ids that may be sent to all tasks
 TILE = 1024  # ranks on either side of a tile
 DENSE = 8  # a tile is dense if one in so many of its places is filled on average
 _ROW_SALT = 20_000  # candidates of a language ranked in one task
@@ -52,6 +54,7 @@ def tiled(x: np.ndarray, y: np.ndarray, size: int, tile: int = TILE) -> tuple[np
     by bincount; the pairs of all others are sorted as coordinates.
     """
     side = -(-size // tile)
+    x, y = x.astype(np.int64), y.astype(np.int64)
     at = (x // tile) * side + y // tile
     names, load = np.unique(at, return_counts=True)
     inverse, left, right, counts = np.empty(len(x), np.int64), [], [], []
@@ -126,40 +129,80 @@ def _word_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     return stored(texts.mapInArrow(run, schema), "word-chunks")
 
 
-def _paired(chunks: DataFrame, last: bool, tile: int) -> DataFrame:
-    """``chunk, a, b, counts, size, seq`` of chunks with the ids of their frequent symbols: adjacent
-    pairs, and the text as numbers of the chunk's pairs. ``last`` leaves the text out."""
+def _looked_up(ranked: DataFrame, width: int) -> tuple[list[str], object]:
+    """Columns of a chunk and how to find there its symbols' numbers and ids, by all ids sent to the tasks.
+
+    ``width`` is the number of symbols that pairs are made of, 0 where the symbols are words.
+    """
+    context = ranked.sparkSession.sparkContext
+    if not width:
+        rows = ranked.select("lang", "word", "id").toArrow()
+        langs = np.asarray(rows.column("lang").to_pylist(), object)
+        words, ids = rows.column("word").combine_chunks(), rows.column("id").to_numpy()
+        by_lang = {g: (words.take(pa.array(np.flatnonzero(langs == g))), ids[langs == g]) for g in set(langs)}
+        sent = context.broadcast(by_lang)
+
+        def words_in(lang: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            known, ids = sent.value.get(lang[0].as_py(), (pa.array([], pa.binary()), np.zeros(0, np.int64)))
+            place = pc.index_in(words.flatten(), value_set=known).fill_null(-1).to_numpy()
+            return np.flatnonzero(place >= 0), ids[place[place >= 0]]
+
+        return ["lang", "words"], words_in
+    rows = ranked.select("a", "b", "id").toArrow()
+    keys = rows.column("a").to_numpy() * width + rows.column("b").to_numpy()
+    order = np.argsort(keys)
+    sent = context.broadcast((keys[order], rows.column("id").to_numpy()[order]))
+
+    def pairs_in(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        keys, ids = sent.value
+        asked = a.flatten().to_numpy() * width + b.flatten().to_numpy()
+        place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        there = np.flatnonzero(keys[place] == asked)
+        return there, ids[place[there]]
+
+    return ["a", "b"], pairs_in
+
+
+def _brought(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and ids from the list a join has brought to the chunk."""
+    flat = found.flatten()
+    return tuple(flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+
+
+def _paired(chunks: DataFrame, columns: list[str], find, last: bool, tile: int) -> DataFrame:
+    """``chunk, a, b, counts, size, seq`` of chunks: adjacent pairs of frequent symbols by their ids,
+    and the text as numbers of the chunk's pairs. ``find`` gives numbers and ids of a chunk's frequent
+    symbols from ``columns``. ``last`` leaves the text out."""
     names = ["chunk", "a", "b", "counts", "size", "seq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                chunk, size, seq = row.column(0), row.column(1)[0].as_py(), row.column(2)[0].as_buffer()
-                found = row.column(3).flatten()
-                symbols, ids = (found.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                symbols, ids = find(*row.columns[3:])
+                if not len(symbols):
+                    continue
                 # the chunk's symbols by their rank in the whole corpus
                 order = np.argsort(ids)
-                ranked = np.full(int(symbols.max()) + 1, -1, np.int64)
-                ranked[symbols[order]] = np.arange(len(ids))
+                ranked = np.full(int(symbols.max()) + 1, -1, np.int32)
+                ranked[symbols[order]] = np.arange(len(ids), dtype=np.int32)
                 ids = ids[order]
-                text = _unpacked(seq, size)
+                text = _unpacked(row.column(2)[0].as_buffer(), row.column(1)[0].as_py())
                 text = np.where((text >= 0) & (text < len(ranked)), ranked[np.minimum(text, len(ranked) - 1)], -1)
-                x, y = text[:-1], text[1:]
-                both = (x >= 0) & (y >= 0)
+                both = (text[:-1] >= 0) & (text[1:] >= 0)
                 if not both.any():
                     continue
-                left, right, counts, inverse = tiled(x[both], y[both], len(ids), tile)
-                pairs = np.full(0 if last else len(x), -1, np.int64)
+                left, right, counts, inverse = tiled(text[:-1][both], text[1:][both], len(ids), tile)
+                pairs = np.full(0 if last else len(both), -1, np.int32)
                 if not last:
                     pairs[both] = inverse
                     pairs = pairs[(pairs >= 0) | (np.concatenate(([-1], pairs[:-1])) >= 0)]  # one -1 between stretches
                 lists = [_lists([c]) for c in (ids[left], ids[right], counts)]
                 sizes, packed = pa.array([len(pairs)], pa.int64()), pa.array([_packed(pairs)], pa.binary())
-                yield pa.RecordBatch.from_arrays([chunk, *lists, sizes, packed], names)
+                yield pa.RecordBatch.from_arrays([row.column(0), *lists, sizes, packed], names)
 
     schema = "chunk string, a array<long>, b array<long>, counts array<long>, size long, seq binary"
-    return stored(chunks.select("chunk", "size", "seq", "found").mapInArrow(run, schema), "pair-chunks")
+    return stored(chunks.select("chunk", "size", "seq", *columns).mapInArrow(run, schema), "pair-chunks")
 
 
 def _ranked(frequent: DataFrame, by: list[str]) -> DataFrame:
@@ -196,7 +239,12 @@ def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
 
 
 def collocations(
-    docs: DataFrame, least: int = LEAST, top: int = 2000, chunk_bytes: int = CHUNK_BYTES, tile: int = TILE
+    docs: DataFrame,
+    least: int = LEAST,
+    top: int = 2000,
+    chunk_bytes: int = CHUNK_BYTES,
+    tile: int = TILE,
+    sent: int = SENT_BYTES,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of two to five words of a language.
 
@@ -210,8 +258,8 @@ def collocations(
     ranks: well-filled tiles are counted by bincount in a direct-address table, the others as
     sorted coordinates. Counts of chunks are summed by pair; pairs frequent enough get ids by
     frequency and are paired again with the next one, which overlaps them in all but one word.
-    Each chunk of texts meets only the ids of its own symbols, so no task holds a dictionary of
-    the corpus. The longest document sets the largest chunk.
+    The ids are sent to all tasks where they are counted to take at most ``sent`` bytes; beyond
+    that a join brings each chunk the ids of its own symbols. The longest document sets the largest chunk.
 
     Null text is empty; a null language is ``und``; repeated rows count each; an empty table gives
     no rows; other columns are not read.
@@ -221,7 +269,7 @@ def collocations(
     symbols = laid.select("chunk", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
     totals = symbols.groupBy("lang").agg(F.sum("count").alias("n"))
     by = ["lang", "word"]
-    tables = []
+    tables, width = [], 0
     for length in range(1, LONGEST + 1):
         frequent = symbols.groupBy(*by).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
         ranked = stored(_ranked(frequent, by), "ranked")
@@ -239,9 +287,15 @@ def collocations(
             tail = tables[-1].select(F.col("id").alias("b"), "end", F.array_append("lasts", F.col("f")).alias("lasts"))
             grown = ranked.join(head, "a").join(tail, "b").withColumn("phrase", F.concat_ws(" ", "start", "end"))
             tables.append(stored(grown.drop("start"), "phrases"))
-        if ranked.isEmpty() or length == LONGEST:
+        word_bytes = F.octet_length("word") if length == 1 else F.lit(0)
+        rows, size = ranked.agg(F.count("*"), F.sum(word_bytes + 24)).first()  # a word or a pair, and an id
+        if not rows or length == LONGEST:
             break
-        chunks = _paired(_with_ids(chunks, symbols, ranked, by), length + 1 == LONGEST, tile)
+        if size <= sent:
+            columns, find = _looked_up(ranked, width)
+        else:
+            chunks, columns, find = _with_ids(chunks, symbols, ranked, by), ["found"], _brought
+        chunks, width = _paired(chunks, columns, find, length + 1 == LONGEST, tile), rows
         laid = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("at", "x"))
         symbols = laid.select(
             "chunk", "at", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.counts").alias("count")

@@ -56,12 +56,12 @@ def made(n, seed):
     return rows
 
 
-@pytest.mark.parametrize(("chunk", "tile", "top"), [(16 << 20, 1024, 2000), (700, 4, 7)])
-def test_as_counting_every_phrase(spark, chunk, tile, top):
+@pytest.mark.parametrize(("chunk", "tile", "top", "sent"), [(16 << 20, 1024, 2000, 1 << 20), (700, 4, 7, 0), (700, 4, 2000, 1 << 20)])
+def test_as_counting_every_phrase(spark, chunk, tile, top, sent):
     rows = made(300, 5)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     want = brute(rows, 5, top)
-    assert of(collocations(docs, 5, top, chunk, tile)) == want
+    assert of(collocations(docs, 5, top, chunk, tile, sent)) == want
     assert {len(w[2].split(" ")) for w in brute(rows, 5, 2000)} == {2, 3, 4, 5}
 
 
