@@ -86,12 +86,6 @@ def _unpacked(data, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size * 4, "zstd"), np.int32)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
 def _word_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """``chunk, lang, words, counts, size, seq``: texts of a language as numbers of the chunk's words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), utf8(F.col("text")).alias("body"))
@@ -106,7 +100,7 @@ def _word_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                         pa.array([uuid.uuid4().hex]),
                         pa.array([lang]),
                         pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                        _lists([counts]),
+                        pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts.astype(np.int64))),
                         pa.array([len(seq)], pa.int64()),
                         pa.array([_packed(seq)], pa.binary()),
                     ],
@@ -126,7 +120,7 @@ def _word_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         yield from handed(held)
 
     schema = "chunk string, lang string, words array<binary>, counts array<long>, size long, seq binary"
-    return stored(texts.mapInArrow(run, schema), "word-chunks")
+    return stored(texts.mapInArrow(run, schema), "word-chunks", "zstd")
 
 
 def _looked_up(ranked: DataFrame, width: int) -> tuple[list[str], object]:
@@ -153,14 +147,16 @@ def _looked_up(ranked: DataFrame, width: int) -> tuple[list[str], object]:
     order = np.argsort(keys)
     sent = context.broadcast((keys[order], rows.column("id").to_numpy()[order]))
 
-    def pairs_in(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_in(groups: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         keys, ids = sent.value
-        asked = a.flatten().to_numpy() * width + b.flatten().to_numpy()
+        flat = groups.flatten()
+        a, b = (flat.field(k).flatten().to_numpy().astype(np.int64) for k in ("a", "b"))
+        asked = a * width + b
         place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         there = np.flatnonzero(keys[place] == asked)
         return there, ids[place[there]]
 
-    return ["a", "b"], pairs_in
+    return ["groups"], pairs_in
 
 
 def _brought(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +165,30 @@ def _brought(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tuple(flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
 
 
-def _paired(chunks: DataFrame, columns: list[str], find, last: bool, tile: int) -> DataFrame:
-    """``chunk, a, b, counts, size, seq`` of chunks: adjacent pairs of frequent symbols by their ids,
-    and the text as numbers of the chunk's pairs. ``find`` gives numbers and ids of a chunk's frequent
-    symbols from ``columns``. ``last`` leaves the text out."""
-    names = ["chunk", "a", "b", "counts", "size", "seq"]
+def _grouped(a: np.ndarray, b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings the pairs of one group together, and where the groups end; the group of a
+    pair is a hash of its ids, the same in every chunk."""
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    group = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(groups)
+    return np.argsort(group, kind="stable"), np.cumsum(np.bincount(group.astype(np.int64), minlength=groups))
+
+
+def _paired(chunks: DataFrame, columns: list[str], find, last: bool, tile: int, groups: int, kind: str) -> DataFrame:
+    """``chunk, groups, size, seq`` of chunks: adjacent pairs of frequent symbols by their ids, as
+    groups by hash of ``bucket, start, a, b, n``, and the text as numbers of the chunk's pairs.
+
+    ``find`` gives numbers and ids of a chunk's frequent symbols from ``columns``. ``last`` leaves
+    the text out; ``kind`` is the type of ids."""
+    names, numbers = ["chunk", "groups", "size", "seq"], np.int32 if kind == "int" else np.int64
+
+    def of_groups(a: np.ndarray, b: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        full = np.flatnonzero(np.diff(ends, prepend=0))
+        starts = np.concatenate(([0], ends[:-1]))[full]
+        cut = pa.array(np.append(starts, len(a)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (a.astype(numbers), b.astype(numbers), counts.astype(np.int32))]
+        parts = [pa.array(full.astype(np.int32)), pa.array(starts.astype(np.int64)), *lists]
+        held = pa.StructArray.from_arrays(parts, ["bucket", "start", "a", "b", "n"])
+        return pa.ListArray.from_arrays(pa.array([0, len(full)], pa.int32()), held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,16 +208,20 @@ def _paired(chunks: DataFrame, columns: list[str], find, last: bool, tile: int)
                 if not both.any():
                     continue
                 left, right, counts, inverse = tiled(text[:-1][both], text[1:][both], len(ids), tile)
+                order, ends = _grouped(ids[left], ids[right], groups)
                 pairs = np.full(0 if last else len(both), -1, np.int32)
                 if not last:
-                    pairs[both] = inverse
+                    place = np.empty(len(order), np.int32)
+                    place[order] = np.arange(len(order), dtype=np.int32)
+                    pairs[both] = place[inverse]
                     pairs = pairs[(pairs >= 0) | (np.concatenate(([-1], pairs[:-1])) >= 0)]  # one -1 between stretches
-                lists = [_lists([c]) for c in (ids[left], ids[right], counts)]
+                made = of_groups(ids[left][order], ids[right][order], counts[order], ends)
                 sizes, packed = pa.array([len(pairs)], pa.int64()), pa.array([_packed(pairs)], pa.binary())
-                yield pa.RecordBatch.from_arrays([row.column(0), *lists, sizes, packed], names)
+                yield pa.RecordBatch.from_arrays([row.column(0), made, sizes, packed], names)
 
-    schema = "chunk string, a array<long>, b array<long>, counts array<long>, size long, seq binary"
-    return stored(chunks.select("chunk", "size", "seq", *columns).mapInArrow(run, schema), "pair-chunks")
+    group = f"bucket: int, start: long, a: array<{kind}>, b: array<{kind}>, n: array<int>"
+    schema = f"chunk string, groups array<struct<{group}>>, size long, seq binary"
+    return stored(chunks.select("chunk", "size", "seq", *columns).mapInArrow(run, schema), "pair-chunks", "zstd")
 
 
 def _ranked(frequent: DataFrame, by: list[str]) -> DataFrame:
@@ -268,10 +287,11 @@ def collocations(
     laid = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
     symbols = laid.select("chunk", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
     totals = symbols.groupBy("lang").agg(F.sum("count").alias("n"))
-    by = ["lang", "word"]
-    tables, width = [], 0
+    counted = symbols.groupBy("lang", "word").agg(F.sum("count").alias("f"))
+    by, tables, width = ["lang", "word"], [], 0
+    groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for length in range(1, LONGEST + 1):
-        frequent = symbols.groupBy(*by).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+        frequent = counted.where(F.col("f") >= least).select(*by, "f")
         ranked = stored(_ranked(frequent, by), "ranked")
         if length == 1:
             tables.append(
@@ -295,11 +315,17 @@ def collocations(
             columns, find = _looked_up(ranked, width)
         else:
             chunks, columns, find = _with_ids(chunks, symbols, ranked, by), ["found"], _brought
-        chunks, width = _paired(chunks, columns, find, length + 1 == LONGEST, tile), rows
-        laid = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("at", "x"))
-        symbols = laid.select(
-            "chunk", "at", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.counts").alias("count")
+        kind = "int" if rows < 1 << 31 else "long"
+        chunks, width = _paired(chunks, columns, find, length + 1 == LONGEST, tile, groups, kind), rows
+        parts = chunks.select("chunk", F.explode("groups").alias("g")).select("chunk", "g.*")
+        symbols = parts.select("chunk", "start", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).select(
+            "chunk", (F.col("start") + F.col("at")).alias("at"), *[F.col(f"x.{c}").cast("long").alias(c) for c in ("a", "b")]
         )
+        # a pair's counts of all chunks meet in its group; whole groups are moved, not single pairs
+        dealt = parts.select("bucket", "a", "b", "n").repartition("bucket")
+        laid = dealt.select("bucket", F.explode(F.arrays_zip("a", "b", "n")).alias("x"))
+        counted = laid.groupBy("bucket", F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.sum("x.n").alias("f"))
+        counted = counted.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "f")
         by = ["a", "b"]
     kept = None
     for length, table in enumerate(tables[1:], 2):
