@@ -21,6 +21,7 @@ CHUNK_BYTES = 8 << 20  # text whose ids are held together
 SENT_BYTES = 64 << 20  # ids that may be sent to all tasks
 TILE = 1024  # ranks on either side of a tile
 DENSE = 8  # a tile is dense if one in so many of its places is filled on average
+_SPREAD = 16  # groups that the pairs of one first symbol are dealt to
 _ROW_SALT = 20_000  # candidates of a language ranked in one task
 
 _KIND = np.zeros(256, np.uint8)
@@ -166,11 +167,13 @@ def _brought(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grouped(a: np.ndarray, b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings the pairs of one group together, and where the groups end; the group of a
-    pair is a hash of its ids, the same in every chunk."""
-    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    """An order that brings the pairs of one group together, sorted, and where the groups end. The group
+    of a pair is a hash of its ids, the same in every chunk, and shared by one in ``_SPREAD`` of the pairs
+    of its first symbol, so equal ids lie together and compress."""
+    some = (b % _SPREAD).astype(np.uint64)
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + some * np.uint64(0xC2B2AE3D27D4EB4F)
     group = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(groups)
-    return np.argsort(group, kind="stable"), np.cumsum(np.bincount(group.astype(np.int64), minlength=groups))
+    return np.lexsort((b, a, group)), np.cumsum(np.bincount(group.astype(np.int64), minlength=groups))
 
 
 def _paired(chunks: DataFrame, columns: list[str], find, last: bool, tile: int, groups: int, kind: str) -> DataFrame:
@@ -232,7 +235,7 @@ def _ranked(frequent: DataFrame, by: list[str]) -> DataFrame:
     laid = frequent.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     laid = stored(
         laid.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}),
-        "frequent",
+        "by-frequency",
     )
     sizes, before, rows = dict(laid.groupBy("part").count().collect()), 0, []  # a row for each partition
     for part in sorted(sizes):
@@ -291,7 +294,7 @@ def collocations(
     by, tables, width = ["lang", "word"], [], 0
     groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for length in range(1, LONGEST + 1):
-        frequent = counted.where(F.col("f") >= least).select(*by, "f")
+        frequent = stored(counted.where(F.col("f") >= least).select(*by, "f"), "frequent")
         ranked = stored(_ranked(frequent, by), "ranked")
         if length == 1:
             tables.append(

@@ -19,6 +19,7 @@ from gleanspark.llm.quality import quality_of
 from gleanspark.llm.runlength import without_repeats
 from gleanspark.llm.shared import shared_folder
 from gleanspark.llm.simhash import simhash_groups
+from gleanspark.llm.site_style import main_texts
 from gleanspark.llm.surrogates import with_surrogates
 from gleanspark.llm.unigram import counted
 from gleanspark.llm.warc import page_records
@@ -243,3 +244,8 @@ named AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM named QUALIFY rank <= 2000
 """
+
+
+@query
+def op13_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
