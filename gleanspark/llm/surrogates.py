@@ -21,7 +21,8 @@ _SHOUTED = r"\p{Lu}[\p{Lu}\p{M}'’-]*\p{Lu}(?!\p{Ll})"
 # How each kind looks. A mention is of the first kind that fits it whole.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    # bounded and possessive, and begun once in a run of letters, so a long run costs no more than its length
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,255}+@(?:[A-Za-z0-9-]{1,63}+\.){1,12}[A-Za-z]{2,63}",
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.-])(?:\d{4}[ -]?){3}\d{4}(?![\w-])|(?<![\w.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
@@ -36,6 +37,7 @@ KINDS = {
 MENTION = "|".join(KINDS.values())
 # every mention holds one of these, so texts without any are passed by
 _HINT = rf"[0-9@]|(?=[PpTtSsAa])(?i:password|passwd|pwd|token|secret|api_?key)|{_TITLE}\.? "
+ROUNDS = 64  # attempts to find every entity a free surrogate
 # secrets in which letter case tells nothing
 _HEX = "^(?:[0-9a-f]{6,64}|[0-9A-F]{6,64})$"
 
@@ -138,12 +140,14 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> tuple[
     for the entity at this attempt, in the entity's canonical form."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string")), 256)
     shaped = _reshaped(entity, seed)
+    longer = F.greatest(attempt - 5, F.lit(0)).cast("int")  # of a short secret that finds no free one
     # a valid card number stays valid: its last digit makes up the sum
     body = F.concat(F.substring(entity, 1, 1), F.expr("substring(__shaped, 2, length(__shaped) - 2)"))
     card = F.concat(body, F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    # 10.x.y.z and 555 are set aside for private networks and fiction
+    # 10.x.y.z is set aside for private networks, 240 to 255 for no one yet
+    net = F.when(attempt > 2, F.lit(240) + F.pmod(F.xxhash64(seed, F.lit("net")), F.lit(16))).otherwise(F.lit(10))
     ip = F.concat_ws(
-        ".", F.lit("10"), *[F.pmod(F.xxhash64(seed, F.lit(n)), F.lit(256)).cast("string") for n in range(3)]
+        ".", net.cast("string"), *[F.pmod(F.xxhash64(seed, F.lit(n)), F.lit(256)).cast("string") for n in range(3)]
     )
     local, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     email = F.concat(
@@ -162,7 +166,10 @@ def surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> tuple[
         .when(kind == "aws_key", F.concat(F.substring(entity, 1, 4), F.expr("substring(__shaped, 5)")))
         .when(kind == "iban", F.concat(F.substring(entity, 1, 2), F.expr("substring(__shaped, 3)")))
         .when((kind == "phone") & F.startswith(entity, F.lit("+1")), F.concat(F.lit("+1"), F.expr("substring(__shaped, 3)")))
-        .when((kind == "secret") & F.rlike(entity, F.lit("^[0-9a-f]{6,64}$")), F.substring(seed, F.lit(1), F.length(entity)))
+        .when(
+            (kind == "secret") & F.rlike(entity, F.lit("^[0-9a-f]{6,64}$")), F.substring(seed, F.lit(1), F.length(entity) + longer)
+        )
+        .when(kind == "secret", F.concat(F.expr("__shaped"), F.substring(F.translate(seed, "abcdef", "012345"), F.lit(1), longer)))
         .when(F.startswith(kind, F.lit("given")) | (kind == "family"), _name(kind, entity, seed, attempt))
         .otherwise(F.expr("__shaped"))
     )
@@ -218,12 +225,13 @@ def _domain(kind: Column) -> Column:
     return F.when(F.startswith(kind, F.lit("given")), "given").otherwise(kind)
 
 
-def assign(entities: DataFrame, key: str) -> DataFrame:
+def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """``kind, entity, surrogate``: distinct surrogates, none of them an entity of the corpus.
 
     All entities propose; a proposal stands if it is no real entity, was not taken in an earlier
     round, and its entity comes first by hash among those proposing the same. The others try
-    again with the next attempt, until none is left.
+    again with the next attempt; names, e-mail addresses, secrets and IP addresses have more room
+    with each. A kind whose format has too few values for its entities is an error after ``rounds``.
     """
     entities = stored(entities.select("kind", "entity").distinct(), "entities")
     real = entities.select(_domain(F.col("kind")).alias("domain"), F.lower("entity").alias("taken")).distinct()
@@ -245,6 +253,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if pending.isEmpty():
             return settled.select("kind", "entity", "surrogate")
         attempt += 1
+        if attempt == rounds:
+            kinds = sorted(r["kind"] for r in pending.select("kind").distinct().collect())
+            raise ValueError(f"no free surrogates of the same format for kinds {', '.join(kinds)}")
 
 
 def _rendered() -> Column:

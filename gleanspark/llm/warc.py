@@ -28,8 +28,10 @@ INDEX = (
 READ = "page_id long, record_id string, record_type string, uri string, refers_to string, payload_digest string, payload binary"
 
 
-def record_id(page_id: int, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+def record_id(page_id: int | None, digest: str, url: str | None = None) -> str:
+    """The id of a page's record; a page without an id is told by its address and payload."""
+    named = f"page:{page_id}:{digest}" if page_id is not None else f"address:{url}:{digest}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, named)}>"
 
 
 def _headers(fields: Iterable[tuple[str, str | None]], first: str) -> bytes:
@@ -39,7 +41,7 @@ def _headers(fields: Iterable[tuple[str, str | None]], first: str) -> bytes:
 
 
 def record_bytes(
-    rid: str, kind: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None, names: dict[str, str]
+    rid: str, kind: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None, names: dict[str, str | None]
 ) -> bytes:
     """One WARC/1.1 record: an HTTP response, or a revisit that carries its headers alone."""
     http = _headers([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
@@ -115,13 +117,13 @@ def write_monolithic(records: DataFrame, folder: str, archive_bytes: int = ARCHI
                     out, packer, held = _Written(paths[-1]), zlib.compressobj(4, zlib.DEFLATED, 31), 0
                 refers = columns["refers_to"][k]
                 data = record_bytes(
-                    record_id(columns["page_id"][k], columns["digest"][k]),
+                    record_id(columns["page_id"][k], columns["digest"][k], columns["url"][k]),
                     "response" if refers is None else "revisit",
                     columns["url"][k],
                     bytes(payloads[k]),
                     columns["digest"][k],
                     None if refers is None else record_id(refers, columns["digest"][k]),
-                    {"X-Page-Id": str(columns["page_id"][k])},
+                    {"X-Page-Id": None if columns["page_id"][k] is None else str(columns["page_id"][k])},
                 )
                 out.write(packer.compress(data))
                 held += len(data)
@@ -308,7 +310,7 @@ def read_records(index: DataFrame) -> DataFrame:
                         raise ValueError(f"{path} at {offset}: the payload does not have its digest")
                 rows.append(
                     (
-                        int(fields["x-page-id"]),
+                        int(fields["x-page-id"]) if "x-page-id" in fields else None,
                         fields["warc-record-id"],
                         fields["warc-type"],
                         fields.get("warc-target-uri"),
@@ -343,9 +345,10 @@ def deduplicated(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
     Of pages with equal payloads of at least ``least`` bytes the smallest page_id is stored; the
     others refer to it. Null html is an empty payload. Repeated rows have a record
-    each, of the same kind; rows without a page_id can't be named and are left out.
+    each, of the same kind. Rows without a page_id refer to the smallest one with their payload, and
+    where no row has one each is stored whole.
     """
-    rows = pages.select("page_id", "url", utf8(F.col("html")).alias("payload")).where("page_id IS NOT NULL")
+    rows = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # the smallest page of each payload; only ids and digests travel
     first = (
@@ -360,7 +363,7 @@ def deduplicated(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         "url",
         "payload",
         "digest",
-        F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"),
+        F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"),
     )
 
 

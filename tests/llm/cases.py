@@ -16,6 +16,8 @@ ROWS = [
     (None, "a row without an id"),
     (None, None),
 ]
+# texts that patterns with unbounded repeats choke on
+HARD = ["x@" + "a." * 20_000 + " 1", "a1" + "b" * 100_000, "7" * 100_000, "a." * 50_000 + "@1", "A1-" * 40_000, "Mr a " * 40_000]
 CLASHING = (
     "fingerprint component_id root shard i j score held_out predicted k1 k2 body w n at items token words start size "
     "ids decoded mention kind entity found name digest path key print keys h d own other"

@@ -43,7 +43,7 @@ def groups(prints, radius, names=None):
 
 def clustered(seed, n):
     rnd = random.Random(seed)
-    centres = [rnd.getrandbits(64) for _ in range(n // 10)]
+    centres = [rnd.getrandbits(64) for _ in range(max(1, n // 10))]
     out = set()
     while len(out) < n:
         p = rnd.choice(centres)

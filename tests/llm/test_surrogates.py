@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from gleanspark.llm import surrogates
 from gleanspark.llm.queries import QUERIES
 from gleanspark.llm.surrogates import assign, with_surrogates
 from tests.conftest import SMALL
-from tests.llm.cases import ROWS, no_docs, odd_docs
+from tests.llm.cases import HARD, ROWS, no_docs, odd_docs
 
 FOUND = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+\w|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b|\+1 \(\d+\) [\d-]+|AKIA\w{16}|\b[0-9a-f]{40}\b")
 
@@ -104,3 +105,20 @@ def test_cues_in_any_case_and_json(spark):
     assert re.fullmatch(r"Password: [A-Z]\w+ and API_KEY=[A-Z]\w+_[a-z]{4}", got[2])
     names = re.fullmatch(r"MR\. ([A-Z]+) ([A-Z]+) met MRS ([A-Z]+); Г-ЖА [А-Я]+ and mr\. (\w+)\.", got[4])
     assert names[2] == names[3] == names[4].upper()
+
+
+def test_long_runs_take_no_time(spark):
+    begun = time.monotonic()
+    assert replaced(spark, *HARD) == HARD
+    assert time.monotonic() - begun < 30  # a start of executors included; by the square of a run it took minutes
+    long = "a" * 200 + "@corp.com"
+    (text,) = replaced(spark, f"(.ann@corp.com) {long} x..bob.lee+1@mail.corp.co.uk.")
+    assert "corp" not in text and "ann" not in text and "bob" not in text and "a" * 100 not in text
+
+
+def test_more_entities_than_surrogates(spark):
+    digits = spark.createDataFrame([("secret", str(i)) for i in range(10)], "kind string, entity string")
+    made = {r.surrogate for r in assign(digits, "k").collect()}
+    assert len(made) == 10 and all(len(m) > 1 for m in made)  # none of one digit is free
+    with pytest.raises(ValueError, match="for kinds ssn"):
+        assign(digits.withColumn("kind", F.lit("ssn")), "k", rounds=2)

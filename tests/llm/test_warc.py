@@ -20,6 +20,9 @@ ROWS = [
     (9, "http://i", "ü" * 500_000),
     (2, None, "<p>" + "same " * 40),
     (None, "http://n", "no id" * 50),
+    (None, "http://o", "no id" * 50),
+    (None, "http://p", "<p>" + "same " * 40),
+    (None, None, None),
 ]
 
 
@@ -30,12 +33,14 @@ def pages(spark):
 @pytest.mark.parametrize("archive_bytes", [1, 1 << 20])
 def test_pages_come_back(spark, archive_bytes):
     folder = f"{shared_folder(spark)}/warc-test-{archive_bytes}"
-    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in page_records(pages(spark), folder, archive_bytes).collect()}
+    rows = page_records(pages(spark), folder, archive_bytes).collect()
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows}
+    assert len(rows) == len(ROWS)
     same, long = len("<p>" + "same " * 40), 1_000_000
     assert got == {
         (1, same, "response", None), (2, same, "revisit", 1), (3, 0, "response", None), (4, 0, "response", None),
         (5, 5, "response", None), (6, 5, "response", None), (7, 480, "response", None), (8, long, "response", None),
-        (9, long, "revisit", 8),
+        (9, long, "revisit", 8), (None, 250, "response", None), (None, same, "revisit", 1), (None, 0, "response", None),
     }
 
 
@@ -43,8 +48,8 @@ def test_archives_and_index_on_disk(spark):
     folder = f"{shared_folder(spark)}/warc-files"
     read = archived(pages(spark), folder)
     payloads = {r.page_id: r.payload for r in read.collect() if r.record_type == "response"}
-    assert {i: p.decode() for i, p in payloads.items()} == {i: h or "" for i, _, h in ROWS if i in payloads}
-    assert read.count() == len(ROWS) - 1
+    assert {i: p.decode() for i, p in payloads.items() if i} == {i: h or "" for i, _, h in ROWS if i and i in payloads}
+    assert read.count() == len(ROWS)
     root = Path(folder.removeprefix("file://"))
     for whole in root.glob("whole/*.warc.gz"):
         # one member before, a member for each record after, the same bytes in both
