@@ -24,7 +24,9 @@ from gleanspark.functions.hashing import task_fingerprint
 from gleanspark.operators.access import BAD_REQUEST, OK, SERVER_ERROR, task_access
 from gleanspark.operators.integrity import TASK_DEFAULTS, apply_defaults, row_id
 from gleanspark.operators.paging import last_per_key
+from gleanspark.operators.patching import TASK_PATCH_FIELDS, Patched, apply_patches, null_fault
 from gleanspark.plans.durable import settle, written
+from gleanspark.plans.ordered import by_components, one_pass, pass_limit
 from gleanspark.plans.skew import keys_present, lookup_join
 from gleanspark.sources.schemas import RUN_COLUMNS, TASK_COLUMNS
 
@@ -86,39 +88,75 @@ _NAME = ["user_id", "task_name"]
 _FP = "task_fingerprint"
 
 
-def _greedy_rounds(undecided: DataFrame) -> DataFrame:
-    """Requests a one-by-one pass in ``seq`` order would admit.
+def _first_come():
+    """An ordered pass: whoever comes first takes the fingerprint and the name."""
+
+    # nested, so that it travels to the workers by value
+    def decide(rows):
+        prints, names, kept = set(), set(), []
+        for print_, user, name in zip(rows["task_fingerprint"], rows["user_id"], rows["task_name"], strict=True):
+            free = print_ not in prints and (user, name) not in names
+            if free:
+                prints.add(print_)
+                names.add((user, name))
+            kept.append(free)
+        return rows[kept]
+
+    return decide
+
+
+def _round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests admitted for certain, and those that are still open.
 
-    A request that comes first in both its groups, same fingerprint and same owner and name,
-    is admitted for certain, and everything sharing a key with it is refused for certain. A
-    round settles all such requests at once, in one stored frame that marks both; rounds repeat
-    on what is left, to the end. Every group is reduced to its smallest ``seq`` before the
-    shuffle, and no group is ever gathered. The rounds are as many as the longest chain of
-    requests that depend on each other.
+    A request that comes first in both its groups, same fingerprint and same owner and name, is
+    admitted, and everything sharing a key with it is refused. All such requests are settled
+    at once, in one stored frame that marks both. Every group is reduced to its smallest ``seq``
+    before the shuffle, and no group is ever gathered.
     """
     columns = undecided.columns
+    first_of_print = undecided.groupBy(_FP).agg(F.min("seq").alias("seq"))
+    first_of_name = undecided.groupBy(*_NAME).agg(F.min("seq").alias("seq"))
+    winners = first_of_print.join(first_of_name, "seq")
+    by_print = winners.select(_FP, F.col("seq").alias("print_winner"))
+    by_name = winners.select(*_NAME, F.col("seq").alias("name_winner"))
+    marked = written(
+        undecided.join(by_print, _FP, "left")
+        .join(by_name, _NAME, "left")
+        .select(
+            *columns,
+            F.coalesce((F.col("seq") == F.col("print_winner")) & (F.col("seq") == F.col("name_winner")), F.lit(False)).alias("won"),
+            (F.col("print_winner").isNull() & F.col("name_winner").isNull()).alias("open"),
+        )
+    )
+    return marked.where("won").select(*columns), marked.where("open").select(*columns)
+
+
+def _greedy(undecided: DataFrame) -> DataFrame:
+    """Requests a one-by-one pass in ``seq`` order would admit.
+
+    Up to ``gleanspark.ordered.maxRows`` are passed over as they are. Of more, rounds settle the
+    heads of all groups and with them most of what hot keys hold; then the components of shared
+    keys are taken apart, small ones passed over in bundles, so a long chain costs no round for
+    each link. Components above the limit go through further rounds, twice as many each time.
+    """
+    limit, rounds = pass_limit(undecided.sparkSession), 3
+    links = F.array(F.xxhash64(F.lit("print"), _FP), F.xxhash64(F.lit("name"), *_NAME))
     won: list[DataFrame] = []
     while True:
-        first_of_print = undecided.groupBy(_FP).agg(F.min("seq").alias("seq"))
-        first_of_name = undecided.groupBy(*_NAME).agg(F.min("seq").alias("seq"))
-        winners = first_of_print.join(first_of_name, "seq")
-        by_print = winners.select(_FP, F.col("seq").alias("print_winner"))
-        by_name = winners.select(*_NAME, F.col("seq").alias("name_winner"))
-        marked = written(
-            undecided.join(by_print, _FP, "left")
-            .join(by_name, _NAME, "left")
-            .select(
-                *columns,
-                F.coalesce((F.col("seq") == F.col("print_winner")) & (F.col("seq") == F.col("name_winner")), F.lit(False)).alias("won"),
-                (F.col("print_winner").isNull() & F.col("name_winner").isNull()).alias("open"),
-            )
-        )
-        won.append(marked.where("won").select(*columns))
-        undecided = marked.where("open").select(*columns)
-        if len(won) > 8:
-            won = [written(_union(won))]
-        if undecided.isEmpty():
-            return written(_union(won))
+        for _ in range(rounds):
+            count = undecided.count()
+            if count <= limit:
+                if count:
+                    won.append(one_pass(undecided, _first_come(), undecided.schema))
+                return written(_union(won or [undecided]))
+            certain, undecided = _round(undecided)
+            won.append(certain)
+            if len(won) > 8:
+                won = [written(_union(won))]
+        if limit:
+            decided, undecided = by_components(undecided, links, _first_come(), undecided.schema)
+            won.append(decided)
+        rounds *= 2
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -171,7 +209,7 @@ def admit_tasks(requests: DataFrame, tasks: DataFrame, now: Column | None = None
     names_taken = keys_present(distinct, tasks, _NAME)
     open_requests = lookup_join(distinct, held.select(_FP), _FP, "left_anti")
     open_requests = lookup_join(open_requests, names_taken, _NAME, "left_anti")
-    admitted = _greedy_rounds(settle(open_requests.select(*distinct.columns)))
+    admitted = _greedy(written(open_requests.select(*distinct.columns)))
 
     admitted_seq = admitted.select("seq").withColumn("admitted", F.lit(True))
     marked = lookup_join(staged, admitted_seq, "seq", unique=True).select(*staged.columns, "admitted")
@@ -361,3 +399,22 @@ def remove_tasks(requests: DataFrame, tasks: DataFrame, runs: DataFrame, users:
     """Soft-delete tasks: the deleted flag is set and the run stopped; the task keeps its
     status. A task without a run fails as ``no_run`` and stays undeleted."""
     return _end_tasks(requests, tasks, runs, users, {"is_delete": F.lit(True)})
+
+
+def update_tasks(requests: DataFrame, tasks: DataFrame, users: DataFrame) -> Patched:
+    """Patch tasks for those who may: ``seq``, ``user_id`` (the actor), ``task_id``, the patch fields
+    and ``present``, the names a request carries.
+
+    Access is decided as for any task (404, 400, 403); an explicit null is then refused with 500.
+    The accepted patches apply in ``seq`` order; none of them changes who may patch.
+    """
+    asked = task_access(requests, tasks, users).withColumn("__fault", F.when(F.col("outcome") == OK, null_fault(TASK_PATCH_FIELDS)))
+    decided = settle(
+        asked.withColumn("reason", F.coalesce("reason", "__fault"))
+        .withColumn("outcome", F.when(F.col("__fault").isNotNull(), F.lit(SERVER_ERROR)).otherwise(F.col("outcome")))
+        .drop("__fault")
+    )
+    good = decided.where(F.col("outcome") == OK).withColumnRenamed("task_id", "id")
+    return Patched(
+        apply_patches(tasks, good, TASK_PATCH_FIELDS), decided.select("seq", "user_id", "task_id", "outcome", "reason")
+    )

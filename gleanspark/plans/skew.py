@@ -26,6 +26,7 @@ LIMITS = {
     "gleanspark.broadcast.maxRows": 200_000,
     "gleanspark.broadcast.maxBytes": 64 * 1024 * 1024,
     "gleanspark.hotKey.rows": 1_000_000,
+    "gleanspark.ordered.maxRows": 200_000,
 }
 
 _TEXT = (T.StringType, T.BinaryType)

@@ -87,6 +87,57 @@ def test_admission_equals_one_by_one(spark, seed):
     assert {r["seq"]: r["reason"] for r in got.outcomes.collect()} == admission_model(existing, requests)
 
 
+@pytest.mark.parametrize("rows", [0, 6])
+def test_admission_in_rounds_and_by_components(spark, limits, rows):
+    limits(ordered_maxRows=rows)
+    existing, requests = random_batch(random.Random(17), 60)
+    got = run_admission(spark, existing, requests)
+    assert {r["seq"]: r["reason"] for r in got.outcomes.collect()} == admission_model(existing, requests)
+
+
+def test_long_chains_are_parted(spark, limits):
+    """Forty chains of thirty requests: more than one pass holds, none of them too long for one."""
+    limits(ordered_maxRows=100)
+    chain = [(i * 40 + c, (i + 1) // 2 + 100 * c, c, f"n{i // 2}") for i in range(30) for c in range(40)]
+    rows = spark.createDataFrame([(s, f"f{f}", u, n) for s, f, u, n in chain], "seq long, task_fingerprint string, user_id long, task_name string")
+    admitted = {r["seq"] for r in tasks._greedy(rows).collect()}
+    assert admitted == {s for s, why in admission_model([], chain).items() if why is None}
+
+
+def test_a_chain_of_5000_takes_few_jobs(spark):
+    chain = [(i, (i + 1) // 2, 1, f"n{i // 2}") for i in range(5000)]
+    rows = spark.createDataFrame([(s, f"f{f}", u, n) for s, f, u, n in chain], "seq long, task_fingerprint string, user_id long, task_name string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    admitted = {r["seq"] for r in tasks._greedy(rows).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setJobGroup("", "")
+    assert admitted == set(range(0, 5000, 2)) and len(jobs) < 12
+
+
+def test_update_tasks(spark):
+    task, _, _, users = life_tables(spark)
+    rows = [
+        (1, 2, "t1", "G1", None, None, ["task_group"]),
+        (2, 3, "t1", "no", None, None, ["task_group"]),
+        (3, 1, "t1", None, "N3", True, ["task_name", "is_delete"]),
+        (4, 2, "t1", None, None, None, ["task_name"]),
+        (5, 9, "t1", "no", None, None, ["task_group"]),
+        (6, 1, "gone", "no", None, None, ["task_group"]),
+        (7, 2, "t1", "G7", None, None, ["task_group"]),
+    ]
+    asked = spark.createDataFrame(
+        rows, "seq long, user_id long, task_id string, task_group string, task_name string, is_delete boolean, present array<string>"
+    )
+    got = tasks.update_tasks(asked, task, users)
+    assert {r["seq"]: (r["outcome"], r["reason"]) for r in got.outcomes.collect()} == {
+        1: (200, None), 2: (403, access.NO_PERMISSION), 3: (200, None), 4: (500, "null in task_name"),
+        5: (404, access.ACTOR_NOT_FOUND), 6: (404, access.TASK_NOT_FOUND), 7: (200, None),
+    }
+    state = {r["id"]: (r["task_group"], r["task_name"], r["is_delete"], r["status"]) for r in got.state.collect()}
+    before = {r["id"]: (r["task_group"], r["task_name"], r["is_delete"], r["status"]) for r in task.collect()}
+    assert state == {**before, "t1": ("G7", "N3", True, 0)}
+
+
 def test_admission_with_split_keys(spark, split_everything):
     existing, requests = random_batch(random.Random(11), 60)
     got = run_admission(spark, existing, requests)
@@ -214,7 +265,7 @@ def test_begin(spark):
         8: (200, None),
         9: (404, access.TASK_NOT_FOUND),
         10: (400, "'cron_expr'"),
-        11: (403, access.NO_PERMISSION),
+        11: (404, access.ACTOR_NOT_FOUND),
         12: (200, None),
     }
     status = {r["id"]: r["status"] for r in got.tasks.collect()}
