@@ -756,6 +756,32 @@ def first_per_key(t: Tables) -> DataFrame:
     return paging.first_per_key(narrow, "task_fingerprint", "seq")
 
 
+def _chained_requests(t: Tables) -> DataFrame:
+    """Events as chains of 5,000 requests: each shares its content with the one before or its name
+    with the one after, in turn."""
+    chain, i = F.floor(F.col("event_id") / 5000).cast("bigint"), F.col("event_id") % 5000
+    content = F.concat(F.lit('{"k": '), F.floor((i + 1) / 2).cast("string"), F.lit(', "c": '), chain.cast("string"), F.lit("}"))
+    return t.given("events").select(
+        F.col("event_id").alias("seq"),
+        chain.alias("user_id"),
+        F.lit("chain").alias("source_platform"),
+        content.alias("task_content"),
+        F.concat(F.lit("n"), F.floor(i / 2).cast("string")).alias("task_name"),
+        F.lit("events").alias("task_group"),
+    )
+
+
+@query(
+    """SELECT seq, md5('chain{''k'': ' || (i + 1) // 2 || ', ''c'': ' || user_id || '}') AS task_fingerprint, user_id,
+              'n' || i // 2 AS task_name, CASE WHEN i % 2 = 0 THEN 200 ELSE 400 END AS outcome,
+              CASE WHEN i % 2 = 1 THEN 'duplicate_name' END AS reason,
+              CASE WHEN i % 2 = 1 THEN '该任务名称 [n' || i // 2 || '] 重复，请更换名称。' END AS message
+       FROM (SELECT event_id AS seq, event_id // 5000 AS user_id, event_id % 5000 AS i FROM events)"""
+)
+def admit_tasks_chain(t: Tables) -> DataFrame:
+    return tasks.admit_tasks(_chained_requests(t), t.task_seen, _now()).outcomes
+
+
 # --- runs and the task life cycle ------------------------------------------------------------
 
 
@@ -849,6 +875,49 @@ def patch_rows_state(t: Tables) -> DataFrame:
     return state.select("id", "task_group", "task_name", "is_delete", "status", "task_content")
 
 
+def _task_updates(t: Tables) -> DataFrame:
+    """Requests on tasks as patches: a group, a name (some of them null) or the deleted flag in turn."""
+    kind, number = F.col("seq") % 3, F.col("seq").cast("string")
+    return t.action_request.select(
+        "*",
+        F.when(kind == 0, F.concat(F.lit("group "), number)).alias("task_group"),
+        F.when((kind == 1) & (F.col("seq") % 5 > 0), F.concat(F.lit("name "), number)).alias("task_name"),
+        F.when(kind == 2, F.lit(True)).alias("is_delete"),
+        F.array(F.element_at(F.array(*[F.lit(f) for f in patching.TASK_PATCH_FIELDS]), (kind + 1).cast("int"))).alias("present"),
+    )
+
+
+_UPDATED = """SELECT *, CASE WHEN outcome = 200 AND seq % 3 = 1 AND seq % 5 = 0 THEN 500 ELSE outcome END AS code FROM action"""
+
+
+@query(
+    sql(
+        """SELECT seq, user_id, task_id, code AS outcome, CASE WHEN code = 500 THEN 'null in task_name' ELSE refusal END AS reason
+           FROM updated""",
+        "action",
+        updated=_UPDATED,
+    )
+)
+def update_tasks(t: Tables) -> DataFrame:
+    return tasks.update_tasks(_task_updates(t), t.task, t.user).outcomes
+
+
+@query(
+    sql(
+        """SELECT id, coalesce('group ' || g, task_group) AS task_group, coalesce('name ' || n, task_name) AS task_name,
+                  is_delete OR d IS NOT NULL AS is_delete, task_content, source_platform, task_fingerprint, status,
+                  created_at, updated_at, user_id
+           FROM task LEFT JOIN (
+             SELECT task_id AS id, max(seq) FILTER (WHERE seq % 3 = 0) AS g, max(seq) FILTER (WHERE seq % 3 = 1) AS n,
+                    max(seq) FILTER (WHERE seq % 3 = 2) AS d FROM updated WHERE code = 200 GROUP BY task_id) USING (id)""",
+        "action",
+        updated=_UPDATED,
+    )
+)
+def update_tasks_state(t: Tables) -> DataFrame:
+    return tasks.update_tasks(_task_updates(t), t.task, t.user).state
+
+
 _BEGIN = """SELECT a.*, CASE WHEN outcome = 200 THEN
       CASE WHEN r.source_platform IS NULL THEN '抓取规则设置错误'
            WHEN NOT contains(r.crawl_rule, '"basic"') THEN '''basic'''
@@ -1130,21 +1199,37 @@ _USER_PATCHES = """SELECT event_id AS seq, event_type AS kind,
         WHEN 'view' THEN 'customer.' || lpad(user_id::VARCHAR, 9, '0') || '@example.com'
         WHEN 'purchase' THEN 'shared.' || lpad(user_id::VARCHAR, 9, '0') || '@example.com' END AS email
     FROM events"""
-_USER_PATCHED = """SELECT p.*, CASE WHEN u.id IS NULL THEN 404 WHEN h.id <> p.id THEN 409
-        WHEN kind = 'error' THEN 500 ELSE 200 END AS first_outcome
-    FROM patch p LEFT JOIN user_t u ON u.id = p.id LEFT JOIN user_t h ON h.email = p.email"""
-_USER_CLAIMED = """SELECT j.*, CASE WHEN first_outcome = 200 AND c.id <> j.id THEN 409 ELSE first_outcome END AS outcome
-    FROM judged j LEFT JOIN (SELECT email, arg_min(id, seq) AS id FROM judged
-        WHERE first_outcome = 200 AND email IS NOT NULL GROUP BY email) c USING (email)"""
-_USER_UPDATE = {"patch": _USER_PATCHES, "judged": _USER_PATCHED, "claimed": _USER_CLAIMED}
+# One by one: each claim in turn meets whoever took the address last and has not moved on since.
+_USER_CLAIMS = """SELECT row_number() OVER (ORDER BY p.seq) AS k, p.seq, p.id, h.id AS base,
+        dense_rank() OVER (ORDER BY p.email) AS mail
+    FROM patch p JOIN user_t u ON u.id = p.id LEFT JOIN user_t h ON h.email = p.email WHERE p.email IS NOT NULL"""
+_USER_WALK = """
+    SELECT 0::BIGINT, -1::BIGINT, FALSE, []::BIGINT[], []::BIGINT[]
+    UNION ALL
+    SELECT k, seq, ok, CASE WHEN ok THEN list_prepend(id, ids) ELSE ids END,
+           CASE WHEN ok THEN list_prepend(mail, mails) ELSE mails END
+    FROM (SELECT *, coalesce(CASE WHEN p = 0 THEN CASE WHEN coalesce(list_position(ids, base), 0) = 0 THEN base END
+                                  WHEN list_position(ids, ids[p]) = p THEN ids[p] END, id) = id AS ok
+          FROM (SELECT m.*, w.ids, w.mails, coalesce(list_position(w.mails, m.mail), 0) AS p
+                FROM walk w JOIN claim m ON m.k = w.k + 1))"""
+_USER_CLAIMED = """SELECT p.*, CASE WHEN u.id IS NULL THEN 404 WHEN NOT w.ok THEN 409 WHEN kind = 'error' THEN 500 ELSE 200 END AS outcome
+    FROM patch p LEFT JOIN user_t u ON u.id = p.id LEFT JOIN walk w ON w.seq = p.seq"""
+_USER_UPDATE = {
+    "patch": _USER_PATCHES,
+    "claim": _USER_CLAIMS,
+    "walk(k, seq, ok, ids, mails)": _USER_WALK,
+    "claimed": _USER_CLAIMED,
+}
+
+
+def _update_sql(body: str) -> str:
+    return sql(body, "user", **_USER_UPDATE).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query(
-    sql(
+    _update_sql(
         """SELECT seq, id, outcome, CASE outcome WHEN 404 THEN '该用户ID在系统中不存在' WHEN 409 THEN '该邮箱的用户已存在'
-             WHEN 500 THEN 'null in email' END AS reason FROM claimed""",
-        "user",
-        **_USER_UPDATE,
+             WHEN 500 THEN 'null in email' END AS reason FROM claimed"""
     )
 )
 def update_users(t: Tables) -> DataFrame:
@@ -1152,22 +1237,121 @@ def update_users(t: Tables) -> DataFrame:
 
 
 @query(
-    sql(
+    _update_sql(
         """SELECT u.id, coalesce(e.email, u.email) AS email,
                   CASE WHEN n.seq IS NULL THEN u.full_name ELSE 'name ' || n.seq END AS full_name
            FROM user_t u
            LEFT JOIN (SELECT id, arg_max(email, seq) AS email FROM claimed
                       WHERE outcome = 200 AND kind <> 'click' GROUP BY id) e USING (id)
            LEFT JOIN (SELECT id, max(seq) AS seq FROM claimed WHERE outcome = 200 AND kind = 'click' GROUP BY id) n
-             USING (id)""",
-        "user",
-        **_USER_UPDATE,
+             USING (id)"""
     )
 )
 def update_users_state(t: Tables) -> DataFrame:
     return users.update_users(_user_patches(t), t.user).state.select("id", "email", "full_name")
 
 
+def _handed_over(t: Tables) -> DataFrame:
+    """Of every three users a, b and c: a leaves its address, b takes it, a takes b's, c asks for
+    that (held) and for the one a left between (free); b asks to rename c. A superuser acts but in the last."""
+    number = F.floor(F.col("c_custkey") / 3).cast("bigint")
+    address = lambda key: F.concat(F.lit("customer."), F.lpad(key.cast("string"), 9, "0"), F.lit("@example.com"))
+    first = (number * 3).alias("a")
+    trios = t.given("customer").where(F.col("c_custkey") % 3 == 2).select(first, number.alias("j"))
+    a, b, c = F.col("a"), F.col("a") + 1, F.col("a") + 2
+    actor, between = a - a % 100, F.concat(F.lit("between."), F.col("j").cast("string"), F.lit("@example.com"))
+    steps = [
+        (1, actor, a, between, None),
+        (2, actor, b, address(a), None),
+        (3, actor, a, address(b), None),
+        (4, actor, c, address(b), None),
+        (5, actor, c, between, None),
+        (6, b, c, None, F.lit("renamed")),
+    ]
+    text = F.lit(None).cast("string")
+    rows = [
+        F.struct(
+            (F.col("j") * 10 + n).alias("seq"),
+            who.alias("actor_id"),
+            whom.alias("id"),
+            (text if mail is None else mail).alias("email"),
+            (text if name is None else name).alias("full_name"),
+            F.array(F.lit("email" if name is None else "full_name")).alias("present"),
+        )
+        for n, who, whom, mail, name in steps
+    ]
+    asked = trios.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    none = F.lit(None)
+    return asked.withColumns(
+        {"is_active": none.cast("boolean"), "is_superuser": none.cast("boolean"), "hashed_password": none.cast("string")}
+    )
+
+
+_HANDED = {
+    "trio": """SELECT c_custkey // 3 AS j, c_custkey // 3 * 3 AS a FROM customer WHERE c_custkey % 3 = 2""",
+    "step": """SELECT j * 10 + n AS seq, n, j, a, CASE WHEN n = 6 THEN a + 1 ELSE a - a % 100 END AS actor_id,
+        CASE WHEN n IN (1, 3) THEN a WHEN n = 2 THEN a + 1 ELSE a + 2 END AS id FROM trio, range(1, 7) t(n)""",
+    "judged": """SELECT s.*, CASE WHEN u.id IS NULL THEN 404 WHEN NOT u.is_active THEN 400 WHEN NOT u.is_superuser THEN 403
+        WHEN n = 4 THEN 409 ELSE 200 END AS outcome FROM step s LEFT JOIN user_t u ON u.id = s.actor_id""",
+}
+
+
+@query(
+    sql(
+        """SELECT seq, id, outcome, CASE outcome WHEN 404 THEN 'User not found' WHEN 400 THEN 'Inactive user'
+                  WHEN 403 THEN '用户没有足够的权限。' WHEN 409 THEN '该邮箱的用户已存在' END AS reason FROM judged""",
+        "user",
+        **_HANDED,
+    )
+)
+def update_users_by_actor(t: Tables) -> DataFrame:
+    return users.update_users(_handed_over(t), t.user).outcomes
+
+
+@query(
+    sql(
+        """SELECT u.id, CASE WHEN m.id IS NULL THEN u.email WHEN m.n = 5 THEN 'between.' || m.j || '@example.com'
+                  ELSE 'customer.' || lpad((CASE m.n WHEN 3 THEN a + 1 ELSE a END)::VARCHAR, 9, '0') || '@example.com'
+                  END AS email,
+                  CASE WHEN u.id IN (SELECT id FROM judged WHERE n = 6 AND outcome = 200) THEN 'renamed' ELSE full_name END
+                  AS full_name, is_active, is_superuser, hashed_password, created_at
+           FROM user_t u LEFT JOIN (SELECT * FROM judged WHERE n IN (2, 3, 5) AND outcome = 200) m USING (id)""",
+        "user",
+        **_HANDED,
+    )
+)
+def update_users_by_actor_state(t: Tables) -> DataFrame:
+    return users.update_users(_handed_over(t), t.user).state
+
+
+def _gated_requests(t: Tables) -> DataFrame:
+    actor = F.when(F.col("event_id") % 3 > 0, F.col("user_id") - F.col("user_id") % 100 + 100).otherwise(F.col("user_id"))
+    asked = t.given("events").select(F.col("event_id").alias("seq"), actor.alias("actor_id"))
+    return asked.join(_user_requests(t), "seq")
+
+
+@query(
+    sql(
+        """SELECT seq, email, coalesce(refused, CASE WHEN seq = min(seq) FILTER (WHERE refused IS NULL) OVER (PARTITION BY email)
+                      AND email NOT IN (SELECT email FROM user_t) THEN 200 ELSE 400 END) AS outcome,
+                  CASE WHEN refused = 404 THEN 'User not found' WHEN refused = 400 THEN 'Inactive user'
+                       WHEN refused = 403 THEN '用户没有足够的权限。'
+                       WHEN seq = min(seq) FILTER (WHERE refused IS NULL) OVER (PARTITION BY email)
+                            AND email NOT IN (SELECT email FROM user_t) THEN NULL
+                       ELSE '该邮箱对应的用户已在系统中存在。' END AS reason
+           FROM gated""",
+        "user",
+        req=_USER_REQUESTS,
+        asked="""SELECT event_id AS seq, CASE WHEN event_id % 3 > 0 THEN user_id - user_id % 100 + 100 ELSE user_id END AS actor_id
+                 FROM events""",
+        gated="""SELECT r.*, CASE WHEN u.id IS NULL THEN 404 WHEN NOT u.is_active THEN 400 WHEN NOT u.is_superuser THEN 403 END
+                 AS refused FROM req r JOIN asked USING (seq) LEFT JOIN user_t u ON u.id = actor_id""",
+    )
+)
+def admit_users_by_actor(t: Tables) -> DataFrame:
+    return users.admit_users(_gated_requests(t), t.user, _now()).outcomes
+
+
 # --- integrity -------------------------------------------------------------------------------
 
 

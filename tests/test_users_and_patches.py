@@ -132,48 +132,99 @@ def test_seed_if_absent(spark):
     assert users.seed_if_absent(once, seed, "email").count() == 9
 
 
-def update_model(emails, patches, fields):
-    """State before the batch plus earliest claims decide; accepted patches apply in order."""
-    claims, outcome = {}, {}
-    held = {e: i for i, e in emails.items()}
-    for seq, key, email, present in sorted(patches):
-        claim = email if "email" in present and email else None
-        if key not in emails:
-            outcome[seq] = 404
-        elif claim and held.get(claim, key) != key:
-            outcome[seq] = 409
-        elif "email" in present and email is None:
-            outcome[seq] = 500
-        elif claim and claims.setdefault(claim, key) != key:
-            outcome[seq] = 409
+def update_model(people, patches, form, gated):
+    """One by one: people is id -> [email, is_active, is_superuser, full_name]."""
+    state, out = {i: list(p) for i, p in people.items()}, {}
+    fields = {"email": 0, "is_active": 1, "is_superuser": 2, "full_name": 3} if form == "admin" else {"email": 0, "full_name": 3}
+    for seq, key, actor, values, present in sorted(patches, key=lambda p: p[0]):
+        actor = key if form == "self" else actor
+        sent = {f: values[f] for f in present if f in fields}
+        if (gated or form == "self") and actor not in state:
+            out[seq] = (404, "User not found")
+        elif (gated or form == "self") and not state[actor][1]:
+            out[seq] = (400, "Inactive user")
+        elif gated and form == "admin" and not state[actor][2]:
+            out[seq] = (403, users.NO_PERMISSION_GATE)
+        elif key not in state:
+            out[seq] = (404, users.ID_NOT_FOUND)
+        elif sent.get("email") and any(p[0] == sent["email"] and i != key for i, p in state.items()):
+            out[seq] = (409, users.EMAIL_EXISTS_ON_UPDATE)
+        elif nulls := [f for f in ("email", "is_active", "is_superuser") if f in sent and sent[f] is None]:
+            out[seq] = (500, f"null in {nulls[0]}")
         else:
-            outcome[seq] = 200
-    state = dict(emails)
-    for seq, key, email, present in sorted(patches):
-        if outcome[seq] == 200 and "email" in present:
-            state[key] = email
-    return outcome, state
-
-
-@pytest.mark.parametrize("form", ["admin", "self"])
-def test_update_users_equals_model(spark, form):
-    rng = random.Random(9)
-    emails = {i: f"u{i}@x.org" for i in range(8)}
+            out[seq] = (200, None)
+            for f, v in sent.items():
+                state[key][fields[f]] = v
+    return out, state
+
+
+def random_patches(rng, n):
+    """Few addresses among few users, so that they are taken, given up and taken again."""
     patches = []
-    for seq in range(50):
-        email = rng.choice([f"u{rng.randrange(8)}@x.org", f"new{rng.randrange(6)}@x.org", None])
-        present = [f for f in ("email", "full_name", "is_active") if rng.random() < 0.6]
-        patches.append((seq, rng.randrange(10), email if "email" in present else None, present))
-    df = spark.createDataFrame([(s, k, e, False, None, f"name {s}", None, p) for s, k, e, p in patches], PATCH)
-    got = users.update_users(df, user_frame(spark), form)
-    outcome, state = update_model(emails, patches, form)
-    assert {r["seq"]: r["outcome"] for r in got.outcomes.collect()} == outcome
-    rows = {r["id"]: r for r in got.state.collect()}
-    assert {i: r["email"] for i, r in rows.items()} == state
-    deactivated = {k for s, k, e, p in patches if outcome[s] == 200 and "is_active" in p}
-    assert {i for i, r in rows.items() if not r["is_active"]} == (deactivated if form == "admin" else set())
+    for seq in rng.sample(range(n * 3), n):
+        values = {
+            "email": rng.choice([f"u{rng.randrange(8)}@x.org", f"u{rng.randrange(8)}@x.org", f"new{rng.randrange(4)}@x.org", None, ""]),
+            "full_name": rng.choice([f"name {seq}", None]),
+            "is_active": rng.choice([True, True, False, None]),
+            "is_superuser": rng.choice([True, True, False]),
+        }
+        if values["email"] == "":
+            values["email"] = f"only{seq}@x.org"
+        present = [f for f, share in zip(values, (0.8, 0.4, 0.2, 0.2), strict=True) if rng.random() < share]
+        patches.append((seq, rng.randrange(10), rng.choice([0, 0, 1, 2, 9]), {f: values[f] if f in present else None for f in values}, present))
+    return patches
+
+
+@pytest.mark.parametrize(
+    ("form", "gated", "rows"),
+    [("admin", False, 200_000), ("admin", True, 200_000), ("self", False, 200_000), ("admin", True, 0), ("admin", False, 12), ("self", False, 0)],
+)
+def test_update_users_equals_one_by_one(spark, limits, form, gated, rows):
+    limits(ordered_maxRows=rows)
+    rng = random.Random(f"{form}{gated}")
+    patches = random_patches(rng, 60)
+    people = {i: [f"u{i}@x.org", i != 7, i < 3, None if i % 2 else f"User {i}"] for i in range(8)}
+    schema = "seq long, id long, actor_id long, email string, is_active boolean, is_superuser boolean, full_name string, present array<string>"
+    df = spark.createDataFrame(
+        [(s, k, a, v["email"], v["is_active"], v["is_superuser"], v["full_name"], p) for s, k, a, v, p in patches], schema
+    ).withColumn("hashed_password", F.lit(None).cast("string"))
+    base = spark.createDataFrame([(i, *p, "h") for i, p in people.items()], "id long, email string, is_active boolean, is_superuser boolean, full_name string, hashed_password string")
+    got = users.update_users(df if gated else df.drop("actor_id"), base, form)
+    want, state = update_model(people, patches, form, gated)
+    assert {r["seq"]: (r["outcome"], r["reason"]) for r in got.outcomes.collect()} == want
+    kept = {r["id"]: [r["email"], r["is_active"], r["is_superuser"], r["full_name"]] for r in got.state.collect()}
+    assert kept == state and {v[0] for v in want.values()} >= {200, 409}
     with pytest.raises(ValueError):
-        users.update_users(df, user_frame(spark), "other")
+        users.update_users(df, base, "other")
+
+
+def test_emails_swap_and_pass_on(spark):
+    patches = [(1, 1, "t@x.org"), (2, 2, "u1@x.org"), (3, 1, "u2@x.org"), (4, 3, "u2@x.org"), (5, 3, "t@x.org"), (6, 4, "u3@x.org")]
+    df = spark.createDataFrame([(s, i, e, None, None, None, None, ["email"]) for s, i, e in patches], PATCH)
+    got = users.update_users(df, user_frame(spark))
+    assert {r["seq"]: r["outcome"] for r in got.outcomes.collect()} == {1: 200, 2: 200, 3: 200, 4: 409, 5: 200, 6: 200}
+    emails = {r["id"]: r["email"] for r in got.state.collect()}
+    assert [emails[i] for i in (1, 2, 3, 4)] == ["u2@x.org", "u1@x.org", "t@x.org", "u3@x.org"]
+
+
+def test_admit_users_asks_for_a_superuser(spark):
+    asked = spark.createDataFrame(
+        [(1, 5, "a@x.org", "p"), (2, 0, "a@x.org", "q"), (3, 99, "b@x.org", "r"), (4, 0, "u1@x.org", "s"), (5, 0, "a@x.org", "t")],
+        "seq long, actor_id long, email string, hashed_password string",
+    )
+    got = users.admit_users(asked, user_frame(spark), F.expr(NOW))
+    assert {r["seq"]: (r["outcome"], r["reason"]) for r in got.outcomes.collect()} == {
+        1: (403, users.NO_PERMISSION_GATE), 2: (200, None), 3: (404, "User not found"),
+        4: (400, users.EMAIL_EXISTS_ON_CREATE), 5: (400, users.EMAIL_EXISTS_ON_CREATE),
+    }
+    assert [(r["email"], r["hashed_password"]) for r in got.accepted.collect()] == [("a@x.org", "q")]
+
+
+def test_long_emails_are_no_trouble(spark):
+    texts = ["x@a" + ".a" * 20_000, "x@" + "a" * 50_000, "a@b.c", "a@b..c", "@b.c", "a@b.c.", "a@.b.c", "a@b@c.d", "a b@c.d", "a@bc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, email string").withColumn("full_name", F.lit("n"))
+    got = integrity.field_violations(rows, integrity.USER_RULES).where("rule = 'not_email'").collect()
+    assert {r["id"] for r in got} == {1, 3, 4, 5, 6, 7, 8, 9}
 
 
 def test_email_conflicts_skip_empty(spark):
