@@ -22,7 +22,7 @@ from gleanspark.operators import (
     tasks,
     users,
 )
-from gleanspark.plans import browse
+from gleanspark.plans import browse, positions
 from gleanspark.plans.durable import checkpoint_folder
 from gleanspark.plans.skew import lookup_join
 from gleanspark.sources import conform, outbox, registry, schemas
@@ -139,6 +139,25 @@ def run_saved_query(t: Tables) -> DataFrame:
     return registry.run_saved_query(t.spark, t.query, 7)
 
 
+def _page_queries(t: Tables) -> DataFrame:
+    """Parts as stored queries over two registered tables; a quoted text and a comment name others."""
+    text = F.concat(
+        F.lit("SELECT d.source, count(*) AS pages, 'FROM orders' AS note FROM pages p JOIN `documents` d "
+              "ON p.page_id = d.doc_id -- , customer\nWHERE length(p.html) > "),
+        F.col("p_size").cast("string"),
+        F.lit(" GROUP BY d.source;"),
+    )
+    return t.given("part").select(F.col("p_partkey").alias("id"), text.alias("sql"))
+
+
+@query(
+    """SELECT d.source, count(*) AS pages, 'FROM orders' AS note FROM pages p JOIN documents d ON p.page_id = d.doc_id
+       WHERE length(p.html) > (SELECT p_size FROM part WHERE p_partkey = 7) GROUP BY d.source"""
+)
+def run_registered_query(t: Tables) -> DataFrame:
+    return registry.run_registered_query(t.spark, t.config, _page_queries(t), 7, t.folder)
+
+
 @query(sql(f"SELECT count(*) AS count FROM ({_STORED})", "article"))
 def count_result(t: Tables) -> DataFrame:
     t.article.createOrReplaceTempView("article")
@@ -453,6 +472,15 @@ def page_desc_deep(t: Tables) -> DataFrame:
     return paging.slice_ordered(t.task, order, 700, 300, shallow=0)
 
 
+@query(sql(f"SELECT {TASK_FIELDS} FROM task {NEWEST_TASK} LIMIT 300 OFFSET 700", "task"))
+def page_at(t: Tables) -> DataFrame:
+    """The same page by the position index of a stored table."""
+    order = paging.newest_order("created_at", "id", "first")
+    path = f"{checkpoint_folder(t.spark)}/positions-{uuid.uuid4().hex}"
+    positions.write_positions(t.task, path, order, rows_per_file=500)
+    return positions.page_at(t.spark, path, order, 700, 300)
+
+
 @query(sql(f"SELECT {TASK_FIELDS} FROM task ORDER BY created_at DESC NULLS LAST, id LIMIT 50 OFFSET 50", "task"))
 def page_after(t: Tables) -> DataFrame:
     last = paging.page_desc(t.task, "created_at", 49, 1).first()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanspark.operators.filters import enabled_only, where_key
 from gleanspark.operators.paging import page_desc, total_of
 from gleanspark.operators.projection import public_view
-from gleanspark.sources.tables import scan_dynamic
+from gleanspark.sources.tables import MISSING, TableNotFound, scan_dynamic
 
 
 def list_sources(configs: DataFrame, skip: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -49,18 +53,51 @@ def list_saved_queries(
     return public_view(page_desc(own, "created_at", skip, limit, nulls="first"), "query"), total_of(own)
 
 
-def run_sql(spark: SparkSession, sql: str) -> DataFrame:
+def run_sql(spark: SparkSession, sql: str, ahead: str = "") -> DataFrame:
     """Run SQL text as a query over the session's tables and views.
 
-    The text stands inside a SELECT, so statements that write or define anything do not parse.
+    The text stands inside a SELECT, so statements that write or define anything do not parse. ``ahead`` is put before that SELECT.
     """
     body = sql.strip()
     while body.endswith(";"):
         body = body[:-1].rstrip()
-    return spark.sql(f"SELECT * FROM (\n{body}\n) q")
+    return spark.sql(f"{ahead}SELECT * FROM (\n{body}\n) q")
 
 
 def run_saved_query(spark: SparkSession, queries: DataFrame, sql_id) -> DataFrame:
     """Full result of a stored query."""
     stored = _one_row(where_key(queries, "id", sql_id).select("sql"), f"query {sql_id}")
     return run_sql(spark, stored["sql"])
+
+
+# Comments and quoted text, which name no table.
+_ASIDE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", re.DOTALL)
+_NAME = re.compile(r"[A-Za-z0-9_]+")
+
+
+def _names_in(sql: str) -> list[str]:
+    """Every word of the text that may name a table, in lower case."""
+    return sorted({name.lower() for name in _NAME.findall(_ASIDE.sub(" ", sql))})
+
+
+def run_registered_query(spark: SparkSession, configs: DataFrame, queries: DataFrame, sql_id, root: str) -> DataFrame:
+    """Full result of a stored query over the tables of enabled registry entries.
+
+    The registry is asked only for words of the text, so what comes to the driver is bounded by
+    the text. Each table found stands as a common table expression over its files in ``root``,
+    for this query alone, ahead of a view of that name; nothing is registered in the session.
+    Entries that are not enabled name nothing here. A registered table without files is
+    ``TableNotFound``; a statement that is no query does not parse.
+    """
+    text = _one_row(where_key(queries, "id", sql_id).select("sql"), f"query {sql_id}")["sql"]
+    known = enabled_only(configs).select("table_name").where(F.lower("table_name").isin(_names_in(text))).distinct()
+    tables = {}
+    for row in known.orderBy("table_name").collect():
+        path = f"{root}/{row['table_name']}.parquet".replace("`", "``")
+        tables.setdefault(row["table_name"].lower(), f"`{row['table_name']}` AS (SELECT * FROM parquet.`{path}`)")
+    try:
+        return run_sql(spark, text, f"WITH {', '.join(tables.values())} " if tables else "")
+    except AnalysisException as fault:
+        if fault.getCondition() in MISSING:
+            raise TableNotFound(f"query {sql_id}: {fault}") from fault
+        raise
