@@ -275,7 +275,8 @@ def exactly_one(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     others = [c for c in df.columns if c != key]
     found = held.groupBy(key).agg(
         F.count(F.lit(1)).alias("matches"),
-        F.min_by(F.struct(*others), F.struct(*others)).alias("__row") if others else F.lit(None).alias("__row"),
+        # the least value of one row is its value; columns of fixed width make a hash aggregate
+        *[F.min(F.col(f"`{c}`")).alias(f"__v{i}") for i, c in enumerate(others)],
     )
     n = F.coalesce("matches", F.lit(0))
     return (
@@ -285,6 +286,6 @@ def exactly_one(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
             key,
             n.alias("matches"),
             "status",
-            *[F.when(F.col("status") == "ok", F.col(f"__row.`{c}`")).alias(c) for c in others],
+            *[F.when(F.col("status") == "ok", F.col(f"__v{i}")).alias(c) for i, c in enumerate(others)],
         )
     )
