@@ -571,6 +571,23 @@ def dashboard_totals(t: Tables) -> DataFrame:
     return counts.dashboard_totals(t.task, [t.given("pages"), t.given("documents")])
 
 
+@query(
+    sql(
+        """SELECT count(*) FILTER (status IN (1, 2)) AS running_tasks, count(*) FILTER (status = 3) AS completed_tasks,
+                  CASE WHEN count(*) FILTER (status IN (3, -1)) > 0
+                       THEN count(*) FILTER (status = 3)::DOUBLE / count(*) FILTER (status IN (3, -1)) END AS success_rate,
+                  (SELECT CASE WHEN bool_or(enabled AND table_name = 'pages') THEN (SELECT count(*) FROM pages) ELSE 0 END
+                     + CASE WHEN bool_or(enabled AND table_name = 'documents') THEN (SELECT count(*) FROM documents) ELSE 0 END
+                   FROM config) AS rows_collected
+           FROM task""",
+        "task",
+        "config",
+    )
+)
+def dashboard_of_enabled(t: Tables) -> DataFrame:
+    return counts.dashboard_of(t.task, registry.enabled_rows(t.spark, t.config, t.folder))
+
+
 @query(
     sql(
         """SELECT coalesce(a.source_platform, b.source_platform) AS source_platform,
@@ -1589,6 +1606,47 @@ def outcome_message(t: Tables) -> DataFrame:
 # --- read paths end to end -------------------------------------------------------------------
 
 
+def _registered_article(t: Tables) -> tuple[DataFrame, str]:
+    """The registry with one entry for the article table, and the folder that table is stored in."""
+    root = f"{checkpoint_folder(t.spark)}/browse-{uuid.uuid4().hex}"
+    stored.write_state(t.article.where("publish_time IS NOT NULL"), f"{root}/article.parquet", cluster_by="id")
+    name = F.when(F.col("id") == 3, F.lit("article")).otherwise(F.col("table_name"))
+    return t.config.withColumn("table_name", name), root
+
+
+_TIMED = "FROM article WHERE publish_time IS NOT NULL"
+
+
+@query(sql(f"SELECT id, url, title, publish_time {_TIMED} {_NEWEST} LIMIT 20 OFFSET 40", "article"))
+def browse_source(t: Tables) -> DataFrame:
+    configs, root = _registered_article(t)
+    return browse.browse_source(t.spark, configs, 3, root, 40, 20).rows
+
+
+@query(sql(f"SELECT count(*) AS total_count {_TIMED}", "article"))
+def browse_source_total(t: Tables) -> DataFrame:
+    configs, root = _registered_article(t)
+    return browse.browse_source(t.spark, configs, 3, root, 40, 20).total
+
+
+_STORED_TIMED = f"SELECT * FROM ({_STORED}) WHERE publish_time IS NOT NULL"
+
+
+def _run_and_count(t: Tables) -> browse.Page:
+    t.article.where("publish_time IS NOT NULL").createOrReplaceTempView("article")
+    return browse.run_and_count(t.spark, t.query, 7)
+
+
+@query(sql(_STORED_TIMED, "article"))
+def run_and_count(t: Tables) -> DataFrame:
+    return _run_and_count(t).rows
+
+
+@query(sql(f"SELECT count(*) AS total_count FROM ({_STORED_TIMED})", "article"))
+def run_and_count_total(t: Tables) -> DataFrame:
+    return _run_and_count(t).total
+
+
 @query(sql(f"SELECT id, url, title, publish_time FROM article {_NEWEST} LIMIT 20", "article"))
 def browse_table(t: Tables) -> DataFrame:
     return browse.browse(t.article, 0, 20).rows

@@ -29,17 +29,26 @@ def dashboard_totals(tasks: DataFrame, sources: Sequence[DataFrame]) -> DataFram
     The console shows these four figures without defining them. Here running is begun or in
     progress, and the rate is completed over completed plus failed, NULL when there is neither.
     """
+    rows = F.lit(0).cast("bigint")
+    for source in sources:
+        rows = rows + count_all(source).scalar()
+    return _task_totals(tasks).withColumn("rows_collected", rows)
+
+
+def _task_totals(tasks: DataFrame) -> DataFrame:
     state = F.col("status")
     done, failed = F.count_if(state == COMPLETED), F.count_if(state == FAILED)
-    totals = tasks.agg(
+    return tasks.agg(
         F.count_if(state.isin(BEGIN, IN_PROGRESS)).alias("running_tasks"),
         done.alias("completed_tasks"),
         F.try_divide(done.cast("double"), (done + failed).cast("double")).alias("success_rate"),
     )
-    rows = F.lit(0).cast("bigint")
-    for source in sources:
-        rows = rows + count_all(source).scalar()
-    return totals.withColumn("rows_collected", rows)
+
+
+def dashboard_of(tasks: DataFrame, collected: DataFrame) -> DataFrame:
+    """``dashboard_totals`` with the rows counted elsewhere: ``collected`` is one row with
+    ``rows_collected``, as ``registry.enabled_rows`` counts it over the enabled entries."""
+    return _task_totals(tasks).withColumn("rows_collected", collected.select("rows_collected").scalar())
 
 
 def platform_stats(tasks: DataFrame, articles: DataFrame, platform: str = "source_platform") -> DataFrame:

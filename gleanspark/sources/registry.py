@@ -101,3 +101,22 @@ def run_registered_query(spark: SparkSession, configs: DataFrame, queries: DataF
         if fault.getCondition() in MISSING:
             raise TableNotFound(f"query {sql_id}: {fault}") from fault
         raise
+
+
+def enabled_rows(spark: SparkSession, configs: DataFrame, root: str) -> DataFrame:
+    """One row, ``rows_collected``: the rows of all tables that enabled entries name, each once.
+
+    One scan counts all of them from file footers, whatever their layouts; only the distinct
+    table names come to the driver. A named table without files is ``TableNotFound``.
+    """
+    names = [r["table_name"] for r in enabled_only(configs).select("table_name").distinct().collect() if r["table_name"]]
+    if not names:
+        return spark.range(1).select(F.lit(0).cast("bigint").alias("rows_collected"))
+    reader = spark.read.schema("__none string").option("recursiveFileLookup", "true")
+    try:
+        rows = reader.parquet(*[f"{root}/{name}.parquet" for name in names])
+    except AnalysisException as fault:
+        if fault.getCondition() in MISSING:
+            raise TableNotFound(f"A registered table was not found: {fault}") from fault
+        raise
+    return total_of(rows, "rows_collected")

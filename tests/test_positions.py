@@ -69,3 +69,13 @@ def test_stored_text_that_is_refused(spark):
         asked(spark, "DROP TABLE nation")
     with pytest.raises(ParseException):
         asked(spark, "INSERT INTO nation SELECT * FROM nation")
+
+
+def test_rows_of_enabled_tables(spark):
+    rows = [(1, "nation", True), (2, "nation", True), (3, "region", True), (4, "part", False), (5, None, True)]
+    configs = spark.createDataFrame(rows, "id long, table_name string, enabled boolean")
+    want = sum(spark.read.parquet(f"{SMALL}/{n}.parquet").count() for n in ("nation", "region"))
+    assert registry.enabled_rows(spark, configs, SMALL).first()[0] == want
+    assert registry.enabled_rows(spark, configs.where("id = 4"), SMALL).first()[0] == 0
+    with pytest.raises(TableNotFound):
+        registry.enabled_rows(spark, configs.select("id", F.lit("nowhere").alias("table_name"), "enabled"), SMALL)
