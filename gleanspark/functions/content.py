@@ -4,32 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Strict JSON, as the stored content was written.
-_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+from gleanspark.functions.json_text import (
+    STRICT,
+    compact,
+    decoded,
+    json_tokens,
+    let,
+    marked_pair,
+    parts,
+    shown,
+    whole_value,
+)
 
 # Text that may be JSON at all; anything else is plain text without parsing.
 _MAY_BE_JSON = r'^[ \t\r\n]*([\[{"]|-?[0-9]|true|false|null|NaN|-?Infinity)'
 
 
-def _marked_pair(text: Column) -> Column:
-    """The text read as the first of two array elements, the second being its own md5.
-
-    Spark's reader ignores text after the first value. Here such text either breaks the array
-    or moves the md5 away from second place, so ``_whole_value`` sees it.
-    """
-    return F.from_json(F.concat(F.lit("["), text, F.lit(',"'), F.md5(text), F.lit('"]')), "array<variant>", _STRICT)
-
-
-def _whole_value(pair: Column, text: Column) -> Column:
-    """The JSON value of the text, NULL unless all of the text belongs to it."""
-    mark = F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "string")
-    return F.when((F.size(pair) == 2) & (mark == F.md5(text)), F.try_element_at(pair, F.lit(1)))
-
-
 def _is_text(section: Column, field: str) -> Column:
     return F.coalesce(
         F.schema_of_variant(F.try_variant_get(section, f"$.{field}", "variant")) == F.lit("STRING"), F.lit(False)
@@ -40,27 +33,43 @@ def _text_of(section: Column, field: str) -> Column:
     return F.try_variant_get(section, f"$.{field}", "string")
 
 
-def _flatten_helper():
-    # Nested so that it travels to the workers by value and needs no package there.
-    @F.pandas_udf("status string, content string")
-    def flatten(texts: pd.Series) -> pd.DataFrame:
-        import json
+def _member(members: Column, name: str) -> Column:
+    """Tokens of the value stored under a key, NULL if there is none."""
+    return F.get(F.filter(members, lambda m: decoded(m["key"]) == name), F.lit(0))["value"]
+
+
+def _section(item: Column) -> Column:
+    """Title and body of an array's element as text, NULL if it is no object with both."""
+    value = item["value"]
+
+    def of(members: Column) -> Column:
+        texts = F.transform(F.array(_member(members, "title"), _member(members, "body")), shown)
+        return F.when(~F.exists(texts, F.isnull), F.array_join(texts, ":\n"))
 
-        def one(text):
-            if text is None:
-                return None, None
-            try:
-                sections = json.loads(text)
-            except json.JSONDecodeError:
-                return "raw", text
-            try:
-                return "flattened", "\n".join(f"{s['title']}:\n{s['body']}" for s in sections)
-            except (TypeError, KeyError):
-                return "bad_shape", None
+    return F.when(F.get(value, F.lit(0)) == "{", let(parts(value), of))
 
-        return pd.DataFrame([one(t) for t in texts], columns=["status", "content"])
 
-    return flatten
+def _any_shape(text: Column) -> Column:
+    """``status`` and ``content`` of a text that may be JSON of any shape."""
+
+    def of(tokens: Column) -> Column:
+        listed = F.when(F.get(tokens, F.lit(0)) == "[", F.transform(parts(tokens), _section))
+
+        def told(sections: Column) -> Column:
+            flat = F.coalesce(~F.exists(sections, F.isnull), F.lit(False))
+            # nothing to go through: an empty object or text has no sections that could be wrong
+            empty = compact(tokens).isin("{}", '""')
+            status = (
+                F.when(tokens.isNull(), F.lit("raw")).when(flat | empty, F.lit("flattened")).otherwise(F.lit("bad_shape"))
+            )
+            joined = (
+                F.when(tokens.isNull(), text).when(empty, F.lit("")).when(flat, F.array_join(sections, "\n"))
+            )
+            return F.struct(status.alias("status"), joined.alias("content"))
+
+        return let(listed, told)
+
+    return let(json_tokens(text), of)
 
 
 def flatten_content(df: DataFrame, col: str = "content", status: str = "content_status") -> DataFrame:
@@ -69,10 +78,10 @@ def flatten_content(df: DataFrame, col: str = "content", status: str = "content_
     The outcome is in ``status``: ``flattened``, ``raw`` (not JSON, kept whole) or
     ``bad_shape`` (NULL, or JSON of another shape; the content is NULL). Arrays whose titles
     and bodies are all strings are rendered inside the JVM, as is text that cannot be JSON.
-    Only what is left (numbers, nested values, repeated keys, broken JSON) goes to Python.
+    What is left (numbers, nested values, repeated keys, broken JSON) is taken apart into tokens.
     """
     text = F.col(col)
-    sections = F.try_variant_get(_whole_value(F.col("__pair"), text), "$", "array<variant>")
+    sections = F.try_variant_get(whole_value(F.col("__pair"), text), "$", "array<variant>")
     regular = F.coalesce(
         F.forall("__sections", lambda s: _is_text(s, "title") & _is_text(s, "body")), F.lit(False)
     )
@@ -83,10 +92,10 @@ def flatten_content(df: DataFrame, col: str = "content", status: str = "content_
     # one column per step, so that no text is parsed twice
     staged = (
         df.withColumn("__json", may_be_json)
-        .withColumn("__pair", F.when(F.col("__json"), _marked_pair(text)))
+        .withColumn("__pair", F.when(F.col("__json"), marked_pair(text)))
         .withColumn("__sections", sections)
         .withColumn("__regular", regular)
-        .withColumn("__rest", _flatten_helper()(F.when(F.col("__json") & ~F.col("__regular"), text)))
+        .withColumn("__rest", F.when(F.col("__json") & ~F.col("__regular"), _any_shape(text)))
     )
     new_status = (
         F.when(text.isNull(), F.lit("bad_shape"))
@@ -101,19 +110,33 @@ def flatten_content(df: DataFrame, col: str = "content", status: str = "content_
 def rule_keys(rule: Column | str) -> Column:
     """Field names allowed by a rule's ``basic`` entry, given as an object or as a list."""
     basic = F.get_json_object(rule, "$.basic")
-    listed = F.from_json(basic, "array<string>", _STRICT)
+    listed = F.from_json(basic, "array<string>", STRICT)
     return F.when(F.ltrim(basic).startswith("["), listed).otherwise(F.json_object_keys(basic))
 
 
+def compact_json(content: Column | str) -> Column:
+    """The JSON text without spaces and with each key once, its last value at its first place;
+    numbers, escapes and nested order as stored. NULL if the text is no JSON."""
+    return compact(json_tokens(F.col(content) if isinstance(content, str) else content))
+
+
 def project_content(content: Column | str, keys: Column | str) -> Column:
     """Keep the entries of a JSON object whose key is in ``keys``, in stored order.
 
-    NULL when there are no ``keys`` to go by.
+    Values are cut out as stored, so nested order and spellings like ``2.50`` stay; of repeated
+    keys the last value stays at the place of the first. NULL when there are no ``keys`` to go
+    by, or the content is no JSON object.
     """
+    text = F.col(content) if isinstance(content, str) else content
     allowed = F.col(keys) if isinstance(keys, str) else keys
-    fields = F.from_json(content, "map<string,variant>", _STRICT)
-    kept = F.map_filter(fields, lambda name, _: F.array_contains(allowed, name))
-    return F.when(allowed.isNotNull(), F.to_json(kept))
+
+    def of(tokens: Column) -> Column:
+        kept = F.filter(parts(tokens), lambda m: F.array_contains(allowed, decoded(m["key"])))
+        members = F.transform(kept, lambda m: F.concat(m["key"], F.lit(":"), compact(m["value"])))
+        cut = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+        return F.when(F.get(tokens, F.lit(0)) == "{", cut)
+
+    return F.when(allowed.isNotNull(), let(json_tokens(text), of))
 
 
 def missing_fields(content: Column | str, fields: Sequence[str]) -> Column:

@@ -2,19 +2,20 @@
 
 A task's fingerprint hashes the platform followed by the *printed* form of its content
 (quotes and keywords as Python prints a dict, keys in stored order). Flat objects of
-plain strings and integers, the usual case, are rendered inside the JVM; only content
-outside that shape enters the branch with a small Python helper. Content that is no JSON has
-no printed form and no fingerprint.
+plain strings and integers, the usual case, are rendered by a translation of quotes; any other
+content is taken apart into tokens (`json_text`). Content that is no JSON has no printed form
+and no fingerprint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanspark.functions.json_text import dumped, json_tokens, let, shown
+
 
 def md5_parts(cols: Sequence[Column | str], short: bool = False) -> Column:
     """Hex md5 of the parts' text joined without a delimiter.
@@ -61,51 +62,21 @@ def _flat_sorted(content: Column) -> Column:
     return F.when(_is_flat_plain(content, _ASCII), F.to_json(F.try_parse_json(content)))
 
 
-def _printed_helper():
-    # Nested so that it travels to the workers by value and needs no package there.
-    @F.pandas_udf("string")
-    def printed(texts: pd.Series) -> pd.Series:
-        import json
-
-        def one(text):
-            try:
-                return None if text is None else str(json.loads(text))
-            except ValueError:
-                return None
-
-        return texts.map(one)
-
-    return printed
-
-
-def _sorted_helper():
-    @F.pandas_udf("string")
-    def compact(texts: pd.Series) -> pd.Series:
-        import json
-
-        def one(text):
-            try:
-                return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
-            except ValueError:
-                return None
-
-        return texts.map(one)
-
-    return compact
-
-
 def py_repr(content: Column | str) -> Column:
-    """A JSON value as Python prints it: single quotes, True/False/None, stored key order."""
+    """A JSON value as Python prints it: single quotes, True/False/None, stored key order.
+
+    Of repeated keys the last value stays at the place of the first. Text that is no JSON gives
+    NULL. ``json_text`` states how numbers and characters are spelled.
+    """
     c = F.col(content) if isinstance(content, str) else content
-    flat = _flat_printed(c)
-    return F.coalesce(flat, _printed_helper()(F.when(flat.isNull(), c)))
+    return F.coalesce(_flat_printed(c), let(json_tokens(c), shown))
 
 
 def canonical_json(content: Column | str) -> Column:
     """A JSON value with sorted keys and no spaces, non-ASCII characters escaped."""
     c = F.col(content) if isinstance(content, str) else content
-    flat = _flat_sorted(c)
-    return F.coalesce(flat, _sorted_helper()(F.when(flat.isNull(), c)))
+    written = let(json_tokens(c, ordered=True), lambda tokens: F.array_join(F.transform(tokens, dumped), ""))
+    return F.coalesce(_flat_sorted(c), written)
 
 
 def task_fingerprint(
@@ -120,15 +91,11 @@ def task_fingerprint(
     ``exact`` equals the stored fingerprints: platform and printed content joined without a
     delimiter, so key order counts. ``canonical`` ignores key order and keeps the two parts
     apart, for use where stored fingerprints need not match. Content that is no JSON gives NULL.
-    Rows the JVM can render never enter the branch with the Python helper.
     """
     if mode == "exact":
-        flat, helper, parts = _flat_printed, _printed_helper(), [F.col(platform)]
+        parts = [F.col(platform), py_repr(content)]
     elif mode == "canonical":
-        flat, helper, parts = _flat_sorted, _sorted_helper(), [F.col(platform), F.lit("\n")]
+        parts = [F.col(platform), F.lit("\n"), canonical_json(content)]
     else:
         raise ValueError(f"unknown fingerprint mode {mode!r}")
-    staged = df.withColumn("__flat", flat(F.col(content)))
-    plain = staged.where("__flat IS NOT NULL").withColumn(out, md5_parts([*parts, F.col("__flat")]))
-    other = staged.where("__flat IS NULL").withColumn(out, md5_parts([*parts, helper(F.col(content))]))
-    return plain.unionByName(other).drop("__flat")
+    return df.withColumn(out, md5_parts(parts))

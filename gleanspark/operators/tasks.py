@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.functions.content import missing_fields, project_content, rule_keys
+from gleanspark.functions.content import compact_json, missing_fields, project_content, rule_keys
 from gleanspark.functions.display import (
     BEGIN,
     KILL,
@@ -325,9 +325,10 @@ def begin_tasks(
     # one column per parse, so that no content is read twice for the same thing
     ruled = (
         lookup_join(settle(asked), usable, "source_platform")
-        .withColumn("__missing", missing_fields("task_content", ("priority", "cron_expr")))
-        .withColumn("__priority", F.get_json_object("task_content", "$.priority").try_cast("smallint"))
-        .withColumn("__cron", F.get_json_object("task_content", "$.cron_expr"))
+        .withColumn("__content", F.when(F.col("outcome") == OK, compact_json("task_content")))
+        .withColumn("__missing", missing_fields("__content", ("priority", "cron_expr")))
+        .withColumn("__priority", F.get_json_object("__content", "$.priority").try_cast("smallint"))
+        .withColumn("__cron", F.get_json_object("__content", "$.cron_expr"))
     )
     empty = F.coalesce(F.regexp_replace("task_content", r"\s", ""), F.lit("")).isin("", "{}", "null")
     fault = (
@@ -345,7 +346,7 @@ def begin_tasks(
         .withColumn("reason", F.coalesce("reason", "__fault"))
         .withColumn("priority", F.when(F.col("outcome") == OK, F.col("__priority")))
         .withColumn("cron_expr", F.when(F.col("outcome") == OK, F.col("__cron")))
-        .withColumn("crawl_task", F.when(F.col("outcome") == OK, project_content(F.col("task_content"), "rule_fields")))
+        .withColumn("crawl_task", F.when(F.col("outcome") == OK, project_content("__content", "rule_fields")))
         .select(*requests.columns, _FP, "source_platform", "priority", "cron_expr", "crawl_task", "outcome", "reason")
     )
     good = decided.where(F.col("outcome") == OK)

@@ -73,6 +73,54 @@ def test_canonical_json_equals_python(spark):
     assert column(spark, JSON_TEXTS, hashing.canonical_json("c")) == want
 
 
+ODD_TEXTS = [
+    '{"q": "it\'s \\"both\\""}', '{"a": 1, "b": {"z": 1, "y": 2.5, "z": [3]}, "a": []}', "NaN", "[NaN, -Infinity, 1e999]",
+    "[-0.0, -0, 1E-5, 0.0001, 1e16, 1e15, 1e22, 12.50e1, 100.0, 0.30000000000000004, 123456789012345680.0]",
+    "[5e-324, 1.7976931348623157e308, 2.00, 1e-400, 0e5]", '{"\\ud800": 1, "\\ud83d\\ude00": 2, "\\uffee": 3, "\U0001f600": 4}',
+    '["\\u0000\\u00a0\\u2028\u2028\u200b\x7f\\b\\f\\/ \u00e9 \\u0027"]', '{"x": 1, "\\u0078": 2}', "[[[[]]]]", "[" + "1" * 4301 + "]",
+    "[1,]", '{"a" 1}', '{"a":1} x', "01", "1.", "[1 2]", '"abc', '{"a":}', "{,}", "]", '"', "-", "", " ", "\u00a0[]", '"a\nb"', "[1]]",
+    "[truefalse]", "[" * 300, "[" * 300 + "]" * 300, "plain text",
+]
+
+
+def read_or_none(text, write):
+    try:
+        return None if text is None else write(json.loads(text))
+    except ValueError:
+        return None
+
+
+def test_odd_texts_equal_python(spark):
+    rng = random.Random(5)
+    texts = list(ODD_TEXTS)
+    for _ in range(400):
+        text = json.dumps(random_json(rng), ensure_ascii=rng.random() < 0.5).replace('"k k"', '"a"')
+        if rng.random() < 0.4 and text:  # cut, repeat or insert a character
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", text[at] * 2, ",", "]", '"', "}", ":"]) + text[at + 1 :]
+        texts.append(text)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    rows = df.select("i", hashing.py_repr("c").alias("p"), hashing.canonical_json("c").alias("k")).collect()
+    for r in rows:
+        assert r["p"] == read_or_none(texts[r["i"]], str), texts[r["i"]]
+        tight = read_or_none(texts[r["i"]], lambda v: json.dumps(v, sort_keys=True, separators=(",", ":")))
+        assert r["k"] == tight, texts[r["i"]]
+
+
+def test_printing_stays_in_the_jvm_and_takes_long_texts(spark):
+    many = json.dumps({f"k{i}": [i, i / 7, "it's \n"] for i in range(300)})
+    long = json.dumps({"a": "x'\n" * 20_000})
+    repeated = "{" + ", ".join(f'"k{i % 200}": {i}' for i in range(600)) + "}"
+    texts = [many, long, repeated, many[:-1], "plain " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string")
+    got = df.select("i", hashing.py_repr("c").alias("p"))
+    flat = content.flatten_content(got.withColumnRenamed("p", "content"))
+    prints = hashing.task_fingerprint(flat, "canonical", "content_status", "content")
+    assert "Python" not in prints._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        assert r["p"] == read_or_none(texts[r["i"]], str)
+
+
 def random_json(rng, depth=0):
     kind = rng.randrange(8 if depth < 2 else 6)
     if kind < 2:
@@ -107,16 +155,23 @@ def test_fingerprints_on_random_objects(spark):
 
 
 def flatten_model(text):
+    """By the shape of the value: only containers and texts can be gone through, only objects have fields."""
     if text is None:
         return "bad_shape", None
     try:
-        sections = json.loads(text)
+        value = json.loads(text)
     except json.JSONDecodeError:
         return "raw", text
-    try:
-        return "flattened", "\n".join(f"{s['title']}:\n{s['body']}" for s in sections)
-    except (TypeError, KeyError):
+    if value in ({}, "") and isinstance(value, dict | str):
+        return "flattened", ""
+    if not isinstance(value, list):
         return "bad_shape", None
+    lines = []
+    for item in value:
+        if not isinstance(item, dict) or not {"title", "body"} <= item.keys():
+            return "bad_shape", None
+        lines += [str(item["title"]) + ":", str(item["body"])]
+    return "flattened", "\n".join(lines)
 
 
 CONTENTS = [
@@ -175,6 +230,20 @@ def test_project_content(spark):
     assert project(text, '{"other": 1}') is None
 
 
+def test_project_content_cuts_members_as_stored(spark):
+    texts = [
+        '{"p": 1, "a": {"z": 2.50, "y": [1e5, {"q": "h\\u00e9"}]}, "c": "x, {y}: ]", "p": 2}',
+        '{"a": {"z": 1, "y": 2, "z": 3}, "\\u0063": 4}',
+        "{}", '{"b": {}}', "[1]", '"a"', "broken", None, '{"a": 1} x',
+    ]
+    keys = F.array(F.lit("a"), F.lit("c"), F.lit("p"))
+    assert column(spark, texts, content.project_content("c", keys)) == [
+        '{"p":2,"a":{"z":2.50,"y":[1e5,{"q":"h\\u00e9"}]},"c":"x, {y}: ]"}',
+        '{"a":{"z":3,"y":2},"\\u0063":4}',
+        "{}", "{}", None, None, None, None, None,
+    ]
+
+
 def test_missing_fields(spark):
     want = ("priority", "cron_expr")
     texts = ['{"priority": null, "cron_expr": ""}', '{"cron_expr": 1}', "{}", None, "broken"]
