@@ -16,6 +16,7 @@ from gleanspark.operators.paging import Order, check_page
 
 ROWS = "rows"
 INDEX = "index"
+TASK_ROWS = 100_000  # rows that one task sorts and writes, into as many files as they ask for
 
 
 def write_positions(df: DataFrame, path: str, order: Sequence[Order], rows_per_file: int = 1_000_000) -> None:
@@ -29,8 +30,9 @@ def write_positions(df: DataFrame, path: str, order: Sequence[Order], rows_per_f
         raise ValueError("rows_per_file must be at least 1")
     spark = df.sparkSession
     columns = [part.column() for part in order]
-    files = max(1, -(-df.count() // rows_per_file))
-    placed = df.repartitionByRange(files, *columns).sortWithinPartitions(*columns)
+    # each task reports to the driver, and the more ranges, the more rows are sampled there
+    tasks = max(1, -(-df.count() // max(rows_per_file, TASK_ROWS)))
+    placed = df.repartitionByRange(tasks, *columns).sortWithinPartitions(*columns)
     placed.write.option("maxRecordsPerFile", rows_per_file).mode("errorifexists").parquet(f"{path}/{ROWS}")
     stored = spark.read.schema(df.schema).parquet(f"{path}/{ROWS}")
     # part files are named in the order of their range partitions, and of their rows in one partition
