@@ -26,7 +26,7 @@ from gleanspark.operators.integrity import USER_DEFAULTS, apply_defaults, row_id
 from gleanspark.operators.patching import Patched, apply_patches, null_fault
 from gleanspark.plans.durable import settle, written
 from gleanspark.plans.ordered import by_components, one_pass, pass_limit
-from gleanspark.plans.skew import keys_present, lookup_join
+from gleanspark.plans.skew import keys_present, lookup_join, shuffle_join
 from gleanspark.sources.schemas import USER_COLUMNS
 
 # Messages of refused requests.
@@ -205,9 +205,9 @@ def _with_state(rows: DataFrame, state: DataFrame, by_actor: bool) -> DataFrame:
     user's own email, who holds the claimed one, and the actor."""
     own = state.select("id", F.lit(True).alias("known"), F.col("email").alias("email_now"))
     holders = state.select(F.col("email").alias("claim"), F.col("id").alias("holder_now"))
-    seen = rows.join(own, "id", "left").join(holders, "claim", "left")
+    seen = shuffle_join(shuffle_join(rows, own, "id", "left"), holders, "claim", "left")
     if by_actor:
-        seen = seen.join(actors(state, "actor_id"), "actor_id", "left")
+        seen = shuffle_join(seen, actors(state, "actor_id"), "actor_id", "left")
     return seen
 
 
@@ -218,9 +218,13 @@ def _in_order(by_actor: bool, superusers: bool):
 
     # nested, so that it travels to the workers by value
     def decide(part):
-        rows = part.to_dict("records")
+        names = list(part.columns)
+
+        def records():  # one at a time, as a dict takes more memory than the row it holds
+            return (dict(zip(names, row, strict=True)) for row in zip(*(part[c] for c in names), strict=True))
+
         email, holder, flags = {}, {}, {}
-        for r in rows:
+        for r in records():
             if r["known"]:
                 email[r["id"]] = r["email_now"]
                 holder[r["email_now"]] = r["id"]
@@ -229,7 +233,7 @@ def _in_order(by_actor: bool, superusers: bool):
             if by_actor and r["actor_is_active"] is not None:
                 flags[r["actor_id"]] = [r["actor_is_active"], r["actor_is_superuser"]]
         out = []
-        for r in rows:
+        for r in records():
             actor, user, claim = flags.get(r["actor_id"]), r["id"], r["claim"]
             if by_actor and actor is None:
                 verdict = gone
@@ -274,15 +278,16 @@ def _update_round(rows: DataFrame, state: DataFrame, by_actor: bool, superusers:
 
     live = rows.where("fault IS NULL")
     flagging = F.col("new_active").isNotNull() | F.col("new_superuser").isNotNull()
-    seen = (
-        _with_state(rows, state, by_actor)
-        .join(least(live, "id", "id", "of_user"), "id", "left")
-        .join(least(rows, "claim", "claim", "of_claim"), "claim", "left")
-        .join(least(rows, "claim", "email_now", "of_own_email"), "email_now", "left")
-        .join(least(live.where("moves"), "id", "holder_now", "leaves"), "holder_now", "left")
-        .join(least(live.where(flagging), "id", "actor_id", "of_actor"), "actor_id", "left")
-        .join(least(rows, "actor_id", "id", "as_actor"), "id", "left")
-    )
+    seen = _with_state(rows, state, by_actor)
+    for some, key, as_key, name in (
+        (live, "id", "id", "of_user"),
+        (rows, "claim", "claim", "of_claim"),
+        (rows, "claim", "email_now", "of_own_email"),
+        (live.where("moves"), "id", "holder_now", "leaves"),
+        (live.where(flagging), "id", "actor_id", "of_actor"),
+        (rows, "actor_id", "id", "as_actor"),
+    ):
+        seen = shuffle_join(seen, least(some, key, as_key, name), as_key, "left")
     seq, waits = F.col("seq"), lambda name: F.coalesce(F.col(name) < seq, F.lit(False))
     held = F.coalesce(F.col("holder_now") != F.col("id"), F.lit(False))
     mine = F.coalesce(F.col("holder_now") == F.col("id"), F.lit(False))
@@ -311,7 +316,7 @@ def _update_round(rows: DataFrame, state: DataFrame, by_actor: bool, superusers:
     carried = marked.where(F.col("outcome") == OK).select(
         "id", F.when(F.col("moves"), F.col("email")).alias("email_new"), "new_active", "new_superuser"
     )
-    after = state.join(carried, "id", "left").select(
+    after = shuffle_join(state, carried, "id", "left").select(
         "id",
         F.coalesce("email_new", "email").alias("email"),
         F.coalesce("new_active", "is_active").alias("is_active"),
@@ -342,7 +347,7 @@ def _decide_updates(rows: DataFrame, state: DataFrame, by_actor: bool, superuser
             # an actor ties patches together only where a patch may change that actor
             flagged = rows.where("new_active IS NOT NULL OR new_superuser IS NOT NULL")
             changed = flagged.select(F.col("id").alias("actor_id")).distinct().withColumn("changed", F.lit(True))
-            seen = _with_state(rows, state, by_actor).join(changed, "actor_id", "left")
+            seen = written(shuffle_join(_with_state(rows, state, by_actor), changed, "actor_id", "left"))
             keys = [("id", F.lit(True)), ("claim", F.lit(True)), ("email_now", F.col("moves")), ("actor_id", F.col("changed"))]
             links = [
                 F.when(use & F.col(c).isNotNull(), F.xxhash64(F.lit("mail" if c in ("claim", "email_now") else "user"), c))

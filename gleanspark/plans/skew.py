@@ -101,6 +101,15 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
+def shuffle_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """A join of two large sides, by shuffle whatever the planner takes their sizes for.
+
+    It takes the packed size of stored files for the size of their rows, and so would send tables
+    of many times its broadcast limit through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, hot: DataFrame) -> DataFrame:
     """Join on the key plus a salt; only hot keys have more than one salt value.
 
@@ -120,7 +129,7 @@ def _salted_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str, h
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SPLITS), F.lit(1)) - 1)))
         .drop(SPLITS)
     )
-    joined = spread.join(copies, [*on, SALT], how).drop(SALT)
+    joined = shuffle_join(spread, copies, [*on, SALT], how).drop(SALT)
     if how in ("left", "left_anti"):
         return joined.unionByName(fact.where(no_key), allowMissingColumns=True)
     return joined
@@ -159,11 +168,11 @@ def lookup_join(
         if fits_broadcast(dim):
             return fact.join(F.broadcast(dim), keys, how)
     if unique:
-        return fact.join(dim, keys, how)
+        return shuffle_join(fact, dim, keys, how)
 
     hot = settle(_hot_keys(counts, keys))
     if hot.isEmpty():
-        return fact.join(dim, keys, how)
+        return shuffle_join(fact, dim, keys, how)
     return _salted_join(fact, dim, keys, how, hot)
 
 
@@ -178,4 +187,4 @@ def keys_present(keys: DataFrame, table: DataFrame, on: str | Sequence[str]) ->
     held = table.select(*names)
     if fits_broadcast(wanted):
         return settle(held.join(F.broadcast(wanted), names, "left_semi").distinct())
-    return settle(held.distinct().join(wanted, names, "left_semi"))
+    return settle(shuffle_join(held.distinct(), wanted, names, "left_semi"))
