@@ -27,7 +27,7 @@ from gleanspark.operators.paging import last_per_key
 from gleanspark.operators.patching import TASK_PATCH_FIELDS, Patched, apply_patches, null_fault
 from gleanspark.plans.durable import settle, written
 from gleanspark.plans.ordered import by_components, one_pass, pass_limit
-from gleanspark.plans.skew import keys_present, lookup_join
+from gleanspark.plans.skew import keys_present, lookup_join, shuffle_join
 from gleanspark.sources.schemas import RUN_COLUMNS, TASK_COLUMNS
 
 # The longest text a field of a new task may hold.
@@ -116,13 +116,11 @@ def _round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = undecided.columns
     first_of_print = undecided.groupBy(_FP).agg(F.min("seq").alias("seq"))
     first_of_name = undecided.groupBy(*_NAME).agg(F.min("seq").alias("seq"))
-    winners = first_of_print.join(first_of_name, "seq")
+    winners = shuffle_join(first_of_print, first_of_name, "seq")
     by_print = winners.select(_FP, F.col("seq").alias("print_winner"))
     by_name = winners.select(*_NAME, F.col("seq").alias("name_winner"))
     marked = written(
-        undecided.join(by_print, _FP, "left")
-        .join(by_name, _NAME, "left")
-        .select(
+        shuffle_join(shuffle_join(undecided, by_print, _FP, "left"), by_name, _NAME, "left").select(
             *columns,
             F.coalesce((F.col("seq") == F.col("print_winner")) & (F.col("seq") == F.col("name_winner")), F.lit(False)).alias("won"),
             (F.col("print_winner").isNull() & F.col("name_winner").isNull()).alias("open"),
@@ -135,16 +133,22 @@ def _greedy(undecided: DataFrame) -> DataFrame:
     """Requests a one-by-one pass in ``seq`` order would admit.
 
     Up to ``gleanspark.ordered.maxRows`` are passed over as they are. Of more, rounds settle the
-    heads of all groups and with them most of what hot keys hold; then the components of shared
-    keys are taken apart, small ones passed over in bundles, so a long chain costs no round for
-    each link. Components above the limit go through further rounds, twice as many each time.
+    heads of all groups and with them most of what hot keys hold; after three of them, or one that
+    left more than three quarters open, the components of shared keys are taken apart, small ones
+    passed over in bundles, so a long chain costs no round for each link. Components above the
+    limit go through further rounds, all of them, twice as many each time.
     """
     limit, rounds = pass_limit(undecided.sparkSession), 3
     links = F.array(F.xxhash64(F.lit("print"), _FP), F.xxhash64(F.lit("name"), *_NAME))
     won: list[DataFrame] = []
+    whole = True
     while True:
+        before = None
         for _ in range(rounds):
             count = undecided.count()
+            if limit and whole and before and count * 4 > before * 3:
+                break
+            before = count
             if count <= limit:
                 if count:
                     won.append(one_pass(undecided, _first_come(), undecided.schema))
@@ -156,7 +160,7 @@ def _greedy(undecided: DataFrame) -> DataFrame:
         if limit:
             decided, undecided = by_components(undecided, links, _first_come(), undecided.schema)
             won.append(decided)
-        rounds *= 2
+        rounds, whole = rounds * 2, False
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

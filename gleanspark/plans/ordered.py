@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gleanspark.plans.durable import written
-from gleanspark.plans.skew import limit_of
+from gleanspark.plans.skew import limit_of, shuffle_join
+
+BUNDLES_OF_LIMIT = 16  # bundles over which as many rows as one pass may hold are dealt
 
 
 def pass_limit(spark: SparkSession) -> int:
@@ -37,31 +39,40 @@ def _passed(rows: DataFrame, decide, schema) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``node, component`` of undirected edges ``a, b`` (long): the smallest node of each component.
+    """``node, component`` of undirected edges ``a, b`` (long): component is one node of it, the same
+    for all. Nodes without an edge to another do not occur.
 
-    Edges are hung over in turn from a node's larger neighbours, then from its smaller ones, to
-    the smallest it knows, so rounds grow with the logarithm of the longest path. Every node must
-    have an edge, to itself if to no other.
+    In each round every node goes over to the first of itself and its neighbours in an order drawn
+    anew, and the edges between those go on. A path halves, anything denser shrinks faster, so all
+    rounds together move little more than the first two. The steps are then followed back.
     """
-
-    def downward(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    current, seen = written(downward(edges)), None
-    while True:
-        state = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
-            break
-        seen = state
+    current = written(_between(edges.select("a", "b")))
+    steps: list[DataFrame] = []
+    while not current.isEmpty():
+        drawn = lambda c: F.xxhash64(c, F.lit(len(steps)))
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        # larger neighbours go to the least one known; loops stay, so that no node is lost
-        up = both.join(least, "a").where("b >= a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        up = up.distinct()
-        low = up.groupBy("a").agg(F.min("b").alias("m"))
-        over = up.join(low, "a").select(F.greatest("b", "m").alias("a"), F.col("m").alias("b"))
-        current = written(downward(over.union(low.select("a", F.col("m").alias("b")))))
-    return current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        first = both.groupBy("a").agg(F.min(drawn("b")).alias("h"), F.min_by("b", drawn("b")).alias("m"))
+        steps.append(
+            written(first.select(F.col("a").alias("node"), F.when(drawn("a") < F.col("h"), F.col("a")).otherwise(F.col("m")).alias("to")))
+        )
+        moved = current
+        for end in ("a", "b"):
+            over = steps[-1].select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))
+            moved = shuffle_join(moved, over, end)
+        current = written(_between(moved.select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))))
+    if not steps:
+        return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = steps.pop().withColumnRenamed("to", "component")
+    while steps:
+        later = found.withColumnRenamed("node", "to")
+        found = shuffle_join(steps.pop(), later, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+        found = written(found)
+    return found
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Each edge of two different nodes once."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def by_components(
@@ -69,16 +80,20 @@ def by_components(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of small components decided, and the rows of components above the limit.
 
-    ``links`` is an array of hashes of a row's keys (long); rows with a hash in common are in one
-    component. Equal hashes of different keys join components and change no decision.
+    ``rows`` is a stored frame. ``links`` is an array of hashes of a row's keys (long); rows with a
+    hash in common are in one component. Equal hashes of different keys join components and change
+    no decision.
     """
     limit = pass_limit(rows.sparkSession)
-    linked = written(rows.withColumn("__links", links).withColumn("__node", F.col("__links")[0]))
-    nodes = connected(linked.select(F.col("__node").alias("a"), F.explode("__links").alias("b")))
-    grouped = written(linked.drop("__links").join(nodes.withColumnRenamed("node", "__node"), "__node").drop("__node"))
+    # a row without a key meets no other
+    node = F.coalesce(F.get(links, F.lit(0)), F.xxhash64(F.lit("seq"), "seq"))
+    nodes = connected(rows.select(node.alias("a"), F.explode(links).alias("b")))
+    linked = shuffle_join(rows.withColumn("node", node), nodes, "node", "left")
+    grouped = written(linked.withColumn("component", F.coalesce("component", "node")).drop("node"))
     sizes = grouped.groupBy("component").count()
     giants = F.broadcast(sizes.where(F.col("count") > limit).select("component"))  # at most rows / limit
     small = grouped.join(giants, "component", "left_anti")
-    bundles = grouped.count() // max(1, limit) + 1
+    # a bundle of small components stays far below the limit; a worker holds one at a time
+    bundles = grouped.count() * BUNDLES_OF_LIMIT // max(1, limit) + 1
     small = small.withColumn("__bundle", F.pmod(F.xxhash64("component"), F.lit(bundles))).drop("component")
     return _passed(small, decide, schema), grouped.join(giants, "component", "left_semi").drop("component")
