@@ -6,6 +6,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -59,6 +60,7 @@ _ASIDE_WORDS = frozenset(
 _DENIED = frozenset("has no with without".split())  # before such a word in one name: has-sidebar
 _MAIN = frozenset({"article", "main"})
 _SLICE = 500  # pages whose nodes are held together
+_TAG_BYTES, _TAGS = 512, 1 << 14  # tags that are short, and how many of them a worker remembers
 
 
 class Node:
@@ -81,6 +83,14 @@ def _says_aside(names: str) -> bool:
 
 
 def _element(tag: str, raw: bytes, inside_main: bool) -> Node:
+    said = _said if len(raw) <= _TAG_BYTES else _said.__wrapped__
+    sign, aside, link = said(tag, raw, inside_main)
+    return Node(tag, sign, aside, link=link)
+
+
+@lru_cache(_TAGS)
+def _said(tag: str, raw: bytes, inside_main: bool) -> tuple[str, bool, str]:
+    """What a start tag says: the element's name among its siblings, whether it is an aside, its link."""
     held = {}
     for name, *values in _ATTRIBUTE.findall(raw):
         held.setdefault(name.decode("utf-8", "replace").lower(), next((v for v in values if v), b"").decode("utf-8", "replace"))
@@ -95,7 +105,7 @@ def _element(tag: str, raw: bytes, inside_main: bool) -> Node:
     )
     # a name that only carries a number differs from page to page
     sign = f"{tag}|{re.sub('[0-9]+', '0', said).strip()}|{held.get('role', '')}"
-    return Node(tag, sign, aside, link=held.get("href") or held.get("src") or "")
+    return sign, aside, held.get("href") or held.get("src") or ""
 
 
 def parsed(page: bytes) -> Node:
@@ -302,34 +312,41 @@ def _judged(parents: list[int], pages: list[int], styles: list[int], imps: list[
 
 
 def _removable(nodes: list[Node]) -> list[bool]:
-    """Which nodes the merged tree may remove: all but an article or main part and what is inside."""
-    inside, out = {id(n): n.tag in _MAIN for n in nodes[:1]}, []
+    """Which nodes the merged tree may remove: all but what is inside an article or main part. An article
+    or main part may go as a whole."""
+    inside, out = {id(n): "" for n in nodes[:1]}, []
     for node in nodes:  # parents come first
         within = inside[id(node)]
-        out.append(not within)
+        out.append(not within or (within == "main" and node.tag == "article"))
+        below = "article" if "article" in (within, node.tag) else "main" if node.tag == "main" else within
         for child in node.children:
-            inside[id(child)] = within or child.tag in _MAIN
+            inside[id(child)] = below
     return out
 
 
-def _outermost(root: Node, tag: str, through: bool) -> list[Node]:
-    """Elements of a tag that are in no other one, in page order; ``through`` looks into asides too."""
-    out, stack = [], [root]
+def _outermost(root: Node, tag: str, through: bool, removed: set[int]) -> list[Node]:
+    """Elements of a tag that are in no other one, in page order; ``through`` looks into asides too.
+
+    Those that the merged tree removes are left out, unless the page has no other."""
+    out, gone, stack = [], [], [(root, False)]
     while stack:
-        node = stack.pop()
+        node, low = stack.pop()
+        low = low or id(node) in removed
         if node.tag == tag and not node.aside:
-            out.append(node)
+            (gone if low else out).append(node)
         elif through or not node.aside:
-            stack += reversed(node.children)
-    return out
+            stack += [(child, low) for child in reversed(node.children)]
+    return out or gone
 
 
 def _text(root: Node, removed: set[int]) -> str:
-    """Blocks of what is left in page order; of the article alone where the page has one."""
+    """Blocks of what is left in page order; of the articles alone where the page has some, and of
+    these only those that the merged tree leaves."""
     starts = [root]
     for tag, through in (("article", False), ("main", False), ("article", True), ("main", True)):
-        if found := _outermost(root, tag, through):
+        if found := _outermost(root, tag, through, removed):
             starts = found
+            removed = removed - {id(n) for n in found}
             break
     blocks: list[list[str]] = [[]]
     stack: list[Node | None] = list(reversed(starts))
@@ -362,7 +379,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     and a page that is under it as a whole stays.
     What HTML itself calls no content (navigation, header, footer, aside, forms, scripts; classes,
     ids and roles of adverts, notices, sidebars, comments) is removed everywhere. Where a page has an
-    article, its text is the article's, and a paragraph of it stays however often the host repeats it.
+    article, its text is the article's, and a paragraph of it stays however often the host repeats it;
+    of several articles, those that the tree removes as a whole (the same teaser or offer on many pages)
+    are no part of it. A page's only article stays.
 
     The tree is never in one place: nodes are hashed paths, counted over all pages by key, so a hot
     host is spread over all tasks. Pages meet the importance of their own nodes as lists of numbers,
