@@ -1,5 +1,6 @@
-"""Near-copies of documents: equal shingle sets first, then groups by minimum hashes, then every
-pair of sets at the similarity that these groups leave apart, by an exact prefix filter."""
+"""Near-copies of documents: equal shingle sets and SimHash groups from the vantage-point tree first,
+beside them groups by minimum hashes; links are checked by the sets. Then every pair of sets at the
+similarity that these groups leave apart, by an exact prefix filter."""
 
 from __future__ import annotations
 
@@ -16,14 +17,14 @@ from pyspark.sql.window import Window
 
 from gleanspark.llm.components import components
 from gleanspark.llm.shared import byte_views, stored, utf8
-from gleanspark.llm.simhash import SEED
+from gleanspark.llm.simhash import SEED, fingerprint, grouped
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8  # of the sets of shingles
 SAMPLE_BYTES = 64 << 20  # text from which common shingles are learned; it sets the order of shingles, not the result
 COMMON = 1 << 18  # shingles ordered by their count in the sample; all others come before them
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be sent to all tasks
-BANDS = 4  # pairs of minimum hashes by which groups are found to begin with; the rest is exact without them
+BANDS = 4  # pairs of minimum hashes by which more groups are found to begin with; the rest is exact without them
 SKETCH_BITS = 1024
 BLOCK_ROWS = 1024  # texts of one shingle that meet in one task, from either side
 PAIRS_HELD = 1 << 17  # pairs of a cell looked at together
@@ -108,33 +109,43 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _printed(docs: DataFrame) -> DataFrame:
-    """``doc_id, set_id, n, keys, bands, bits``: shingle set of every text by its hash, size, prefix,
-    minimum hashes and sketch."""
+    """``doc_id, fingerprint, set_id, n, keys, bands, bits``: SimHash of every text, its shingle set by
+    its hash, size, prefix, minimum hashes and sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, ranks = sent.value
         for batch in batches:
-            sets = [shingles(bytes(v)) for v in byte_views(batch.column(1))]
+            views = byte_views(batch.column(1))
+            prints = np.array([fingerprint(v) for v in views], np.uint64).view(np.int64)
+            sets = [shingles(bytes(v)) for v in views]
             ids = np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    pa.array(prints),
                     pa.array(ids),
                     pa.array([len(s) for s in sets], pa.int32()),
                     _lists([prefix(s, common, ranks).view(np.int64) for s in sets]),
                     _lists([bands(s) for s in sets]),
                     pa.array([sketch(s) for s in sets], pa.binary()),
                 ],
-                ["doc_id", "set_id", "n", "keys", "bands", "bits"],
+                ["doc_id", "fingerprint", "set_id", "n", "keys", "bands", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, set_id long, n int, keys array<long>, bands array<long>, bits binary")
+    return docs.mapInArrow(
+        run, "doc_id long, fingerprint long, set_id long, n int, keys array<long>, bands array<long>, bits binary"
+    )
 
 
-def _grouped(classes: DataFrame) -> DataFrame:
-    """``a, b``: each set with the smallest one of the same two minimum hashes, for every band."""
-    laid = classes.select("set_id", F.explode("bands").alias("key"))
+def _grouped(printed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: each set with the smallest one of its SimHash groups, found through the vantage-point
+    tree, and with the smallest one of the same two minimum hashes, for every band."""
+    prints = printed.select("set_id", "fingerprint").distinct()
+    near = prints.join(grouped(printed), "fingerprint").select(
+        "set_id", F.xxhash64(F.lit("simhash"), "component_id").alias("key")
+    )
+    laid = near.distinct().union(classes.select("set_id", F.explode("bands").alias("key")))
     least = laid.groupBy("key").agg(F.min("set_id").alias("b"), F.count("*").alias("texts")).where("texts > 1")
     return laid.join(least, "key").where("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
 
@@ -287,15 +298,15 @@ def _groups(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("set_id"), F.col("component").alias("root"))
 
 
-def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(printed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``a, b``: links of sets at the similarity, whose components are those of all such links.
 
-    Sets are compared with the first one of equal minimum hashes to begin with, which brings most
-    copies into groups. Two sets at the similarity share a shingle of their prefixes, so what is
+    Sets are compared with the first one of their SimHash group and of equal minimum hashes to begin
+    with, which brings most copies into groups; a SimHash link alone is none. Two sets at the similarity share a shingle of their prefixes, so what is
     left is among prefix shingles of several groups: first each set's first and nearest partner
     by sketch of another group, then every possible pair of two groups. No link is left out.
     """
-    first = stored(_verified(stored(_grouped(classes), "near-grouped"), classes, docs), "links-grouped")
+    first = stored(_verified(stored(_grouped(printed, classes), "near-grouped"), classes, docs), "links-grouped")
     met = _met(classes, _groups(first))
     picked = _in_cells(met, _picked).groupBy("a").agg(F.min("b").alias("first"), F.min_by("b", "far").alias("near"))
     pairs = picked.select("a", F.explode(F.array("first", "near")).alias("b"))
@@ -323,7 +334,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     one = [F.first(c).alias(c) for c in ("n", "keys", "bands", "bits")]
     classes = stored(printed.groupBy("set_id").agg(F.min("doc_id").alias("first"), *one), "sets")
     first = classes.select("set_id", "first")
-    links = _links(classes, texts)
+    links = _links(printed, classes, texts)
     of_docs = (
         links.join(first.select(F.col("set_id").alias("a"), F.col("first").alias("fa")), "a")
         .join(first.select(F.col("set_id").alias("b"), F.col("first").alias("fb")), "b")

@@ -178,3 +178,35 @@ def test_near_copies_in_many_small_cells(spark, monkeypatch):
         texts += [" ".join(base + made(rnd, k)) for k in range(0, 28)]
     want = first_of_each(list(enumerate(texts)))
     assert left_of(spark, texts) == want
+
+
+def test_near_copies_are_looked_for_in_simhash_groups(spark):
+    far = 255 << 20
+    printed = spark.createDataFrame(
+        [(1, 0, 10), (2, 3, 20), (3, far, 30), (4, far + 1, 40), (5, 255 << 40, 50)], "doc_id long, fingerprint long, set_id long"
+    )
+    classes = spark.createDataFrame([(10, [1]), (20, [2]), (30, [3]), (40, [4]), (50, [3])], "set_id long, bands array<long>")
+    found = near_copies._grouped(printed, classes).collect()
+    assert sorted((r.a, r.b) for r in found) == [(20, 10), (40, 30), (50, 30)]
+
+
+def test_near_copies_stage_checks_simhash_links(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(60):
+        line = made(rnd, 11) * 60
+        texts += [" ".join(line + made(rnd, 40)) for _ in range(2)]
+    real, held = near_copies.stored, {}
+
+    def stored(df, name):
+        held[name] = real(df, name)
+        return held[name]
+
+    monkeypatch.setattr(near_copies, "stored", stored)
+    assert left_of(spark, texts) == list(range(120))
+    sets = [int(near_copies._set_id(shingles(t.encode()))) for t in texts]
+    prints = [fingerprint(t.encode()) for t in texts]
+    near = [i for i in range(0, 120, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 2]
+    looked = {frozenset((r.a % 2**64, r.b % 2**64)) for r in held["near-grouped"].collect()}
+    assert near and all(frozenset((sets[i], sets[i + 1])) in looked for i in near)
+    assert held["links-grouped"].count() == 0
