@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html
-import math
 import re
+import struct
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -18,13 +21,13 @@ from gleanspark.llm.shared import stored, utf8
 DAMPING = 0.9  # weight of a node's own importance falls as its number of styles as a power of this
 THRESHOLD = 0.3  # branches below are removed
 MIN_PAGES = 4  # pages of a host that hold a node before its importance can condemn it
-HELD = 200_000  # counted values a task holds before it hands them on
+HELD = 200_000  # nodes and counted values a task holds before it hands them on
 
 _TOKEN = re.compile(
-    rb"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?",
-    re.S,
+    r"<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*>?|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>?)",
+    re.S | re.A,
 )
-_ATTRIBUTE = re.compile(rb"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.A)
 _WORD = re.compile(r"[a-z]+")
 
 # Element names of HTML by what they do to a tree.
@@ -59,8 +62,7 @@ _ASIDE_WORDS = frozenset(
 )
 _DENIED = frozenset("has no with without".split())  # before such a word in one name: has-sidebar
 _MAIN = frozenset({"article", "main"})
-_SLICE = 500  # pages whose nodes are held together
-_TAG_BYTES, _TAGS = 512, 1 << 14  # tags that are short, and how many of them a worker remembers
+_TAG_CHARS, _TAGS = 512, 1 << 14  # tags that are short, and how many of them a worker remembers
 
 
 class Node:
@@ -70,7 +72,7 @@ class Node:
 
     def __init__(self, tag: str, sign: str = "", aside: bool = False, text: str = "", link: str = ""):
         self.tag, self.sign, self.aside, self.text, self.link = tag, sign, aside, text, link
-        self.children: list[Node] = []
+        self.children: list[Node] | tuple[()] = [] if tag or sign else ()
         self.key = self.style = 0
 
 
@@ -82,18 +84,12 @@ def _says_aside(names: str) -> bool:
     return False
 
 
-def _element(tag: str, raw: bytes, inside_main: bool) -> Node:
-    said = _said if len(raw) <= _TAG_BYTES else _said.__wrapped__
-    sign, aside, link = said(tag, raw, inside_main)
-    return Node(tag, sign, aside, link=link)
-
-
 @lru_cache(_TAGS)
-def _said(tag: str, raw: bytes, inside_main: bool) -> tuple[str, bool, str]:
+def _said(tag: str, raw: str, inside_main: bool) -> tuple[str, bool, str]:
     """What a start tag says: the element's name among its siblings, whether it is an aside, its link."""
-    held = {}
+    held: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(raw):
-        held.setdefault(name.decode("utf-8", "replace").lower(), next((v for v in values if v), b"").decode("utf-8", "replace"))
+        held.setdefault(name.lower(), next((v for v in values if v), ""))
     said = f"{held.get('class', '')} {held.get('id', '')}".lower()
     hidden = "hidden" in held or held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "")
     aside = (
@@ -108,34 +104,39 @@ def _said(tag: str, raw: bytes, inside_main: bool) -> tuple[str, bool, str]:
     return sign, aside, held.get("href") or held.get("src") or ""
 
 
+@lru_cache(_TAGS)
+def _ended_by(tag: str) -> tuple[str, ...]:
+    """The open elements that a start tag of this name ends."""
+    return (*_ENDS.get(tag, ()), *(("p",) if tag in _CLOSES_P else ()))
+
+
 def parsed(page: bytes) -> Node:
     """The tree of a page. Tags that were left out or stand in the wrong place are made good: a block
     ends an open paragraph, an item the one before it, an end tag all that is open inside."""
+    text = page.decode("utf-8", "replace")
     root = Node("", "root")
     open_: list[Node] = [root]
-    mains, at, size = 0, 0, len(page)
-
-    def words(data: bytes) -> None:
-        if data:
-            open_[-1].children.append(Node("", text=html.unescape(data.decode("utf-8", "replace"))))
+    mains, at, size = 0, 0, len(text)
 
     def close(depth: int) -> None:
         nonlocal mains
-        mains -= sum(n.tag in _MAIN for n in open_[depth:])
+        for node in open_[depth:]:
+            mains -= node.tag in _MAIN
         del open_[depth:]
 
-    while at < size:
-        found = _TOKEN.search(page, at)
-        if found is None:
-            words(page[at:])
-            break
-        words(page[at : found.start()])
+    tokens = _TOKEN.finditer(text)
+    while found := next(tokens, None):
+        begin = found.start()
+        if at < begin:
+            open_[-1].children.append(Node("", text=html.unescape(text[at:begin])))
         at = found.end()
-        name = found[2] or found[5]
+        ends, name, raw, ends_odd, name_odd, raw_odd = found.groups()
         if name is None:
-            continue
-        tag = name.decode("utf-8", "replace").lower()
-        if found[1] or found[4]:
+            if name_odd is None:
+                continue
+            ends, name, raw = ends_odd, name_odd, raw_odd
+        tag = name.lower()
+        if ends:
             for depth in range(len(open_) - 1, 0, -1):
                 if open_[depth].tag == tag:
                     close(depth)
@@ -143,25 +144,28 @@ def parsed(page: bytes) -> Node:
                 if tag in _INLINE and open_[depth].tag not in _INLINE:
                     break  # the block goes on
             continue
-        if tag in _CLOSES_P or tag in _ENDS:
-            ended = (*_ENDS.get(tag, ()), *(("p",) if tag in _CLOSES_P else ()))
+        if ended := _ended_by(tag) if len(tag) <= _TAG_CHARS else ():
             for depth in range(len(open_) - 1, 0, -1):
                 if open_[depth].tag in ended:
                     close(depth)
                     break
                 if open_[depth].tag in _SCOPE and open_[depth].tag not in ended:
                     break
-        raw = found[3] if found[2] else found[6]
-        node = _element(tag, raw, mains > 0)
+        said = _said if len(raw) <= _TAG_CHARS and len(tag) <= _TAG_CHARS else _said.__wrapped__
+        sign, aside, link = said(tag, raw, mains > 0)
+        node = Node(tag, sign, aside, link=link)
         open_[-1].children.append(node)
         if tag in _VOID:
             continue
         if tag in _RAW:
-            end = re.compile(rb"</" + re.escape(name) + rb"(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            end = re.compile(r"</" + re.escape(name) + r"(?=[\s/>]|\Z)[^>]*>?", re.I | re.A).search(text, at)
             at = end.end() if end else size
+            tokens = _TOKEN.finditer(text, at)
             continue
         open_.append(node)
         mains += tag in _MAIN
+    if at < size:
+        open_[-1].children.append(Node("", text=html.unescape(text[at:])))
     return root
 
 
@@ -178,22 +182,25 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "replace"), 7) - (1 << 63)
 
 
-def _keyed(root: Node, host: str) -> list[Node]:
-    """Elements outside known asides, each with its key in the host's tree and its style.
+def _keyed(root: Node, host: str) -> tuple[list[Node], list[int]]:
+    """Elements outside known asides, each with its key in the host's tree and its style; and the
+    numbers of their parents, which come first.
 
     An element is named by its parent's key and style and its place there; its style is the
     sequence of its element children. Equal trees have equal keys, on any machine."""
     root.key = _hash("host", host)
-    out, stack = [], [root]
+    out, parents, stack = [], [], [(root, -1)]
     while stack:
-        node = stack.pop()
+        node, parent = stack.pop()
         shown = [c for c in node.children if c.tag and not c.aside and c.tag not in _INLINE]
         node.style = _hash(node.key, *(c.sign for c in shown))
         for place, child in enumerate(shown):
             child.key = _hash(node.style, place, child.sign)
+        number = len(out)
         out.append(node)
-        stack += reversed(shown)
-    return out
+        parents.append(parent)
+        stack += [(child, number) for child in reversed(shown)]
+    return out, parents
 
 
 def _content(node: Node) -> list[str]:
@@ -216,47 +223,94 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _counted(pages: DataFrame) -> DataFrame:
-    """``key, kind, item, n, nlogn``: by kind 0 the pages with each style of a node, by 1 how often each
-    value of its content occurs over all pages of a host, by 2 some different pages that hold it: all
-    of them, or ``MIN_PAGES`` at least."""
+TREES = (
+    "k1 long, k2 long, s1 long, s2 long, values array<struct<key: long, item: long, n: int>>, digest long, "
+    "seen array<long>, n long, nodes array<struct<node: int, parent: int, key: long, style: long, may: boolean>>"
+)
+
+
+def _lists(lists: list[list[tuple] | None], kinds: dict[str, pa.DataType]) -> pa.ListArray:
+    """A column of lists of structs; None gives null."""
+    flat = [row for rows in lists for row in rows or ()]
+    columns = zip(*flat, strict=True) if flat else [()] * len(kinds)
+    fields = [pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]
+    ends = pa.array([0, *accumulate(len(rows or ()) for rows in lists)], pa.int32())
+    mask = pa.array([rows is None for rows in lists], pa.bool_())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, list(kinds)), mask=mask)
 
-    def handed(held: dict[tuple[int, int, int], list[float]]) -> pa.RecordBatch:
-        rows = [(*k, *v) for k, v in held.items()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
-        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(made, ["key", "kind", "item", "n", "nlogn"])
+
+def _trees(pages: DataFrame, most: int = HELD) -> DataFrame:
+    """Pages ``host, body, k1, k2`` parsed once: a row per page, and one per shape that a task has met.
+
+    A page has its shape ``s1, s2``, how often each value of a node's content occurs (``values``) and
+    its ``digest`` with the nodes it is a different page for (``seen``: all of them, or ``MIN_PAGES``
+    at least). A shape is the sequence of nodes of a tree, the host among their keys: pages that share
+    it differ in content alone. Its row has the ``nodes`` and the number ``n`` of the task's pages.
+    A task hands its rows on whenever it holds more than ``most`` nodes and values.
+    """
+    value = {"key": pa.int64(), "item": pa.int64(), "n": pa.int32()}
+    place = {"node": pa.int32(), "parent": pa.int32(), "key": pa.int64(), "style": pa.int64(), "may": pa.bool_()}
+
+    def laid(rows: list[tuple]) -> pa.RecordBatch:
+        k1, k2, s1, s2, values, digest, seen, n, nodes = zip(*rows, strict=True)
+        longs = [pa.array(c, pa.int64()) for c in (k1, k2, s1, s2, digest, n)]
+        columns = [*longs[:4], _lists(values, value), longs[4], pa.array(seen, pa.list_(pa.int64())), longs[5], _lists(nodes, place)]
+        return pa.RecordBatch.from_arrays(columns, ["k1", "k2", "s1", "s2", "values", "digest", "seen", "n", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], list[float]] = {}
+        shapes: dict[tuple[int, int], list] = {}
         seen: dict[int, set[int]] = {}
+        held = 0
 
-        def add(key: int, kind: int, item: int, n: int) -> None:
-            of = held.setdefault((key, kind, item), [0, 0.0])
-            of[0] += n
-            of[1] += n * math.log(n)
+        def handed(rows: list[tuple]) -> pa.RecordBatch:
+            return laid(rows + [(None, None, *s, None, None, None, n, nodes) for s, (n, nodes) in shapes.items()])
 
+        rows: list[tuple] = []
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, page, k1, k2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest = xxhash.xxh3_64_intdigest(page, 7) - (1 << 63)
-                for node in _keyed(parsed(page), host):
-                    add(node.key, 0, node.style, 1)
-                    copies = seen.setdefault(node.key, set())
+                found, parents = _keyed(parsed(page), host)
+                may = _removable(found, parents)
+                keys = [node.key for node in found]
+                mark = array("q", keys).tobytes() + array("q", parents).tobytes() + bytes(may)
+                shape = struct.unpack("<qq", xxhash.xxh3_128_digest(mark))
+                if shape not in shapes:
+                    shapes[shape] = [0, list(zip(range(len(found)), parents, keys, [x.style for x in found], may, strict=True))]
+                    held += len(found)
+                shapes[shape][0] += 1
+                new = []
+                for key in keys:
+                    copies = seen.setdefault(key, set())
                     if len(copies) < MIN_PAGES and digest not in copies:
                         copies.add(digest)
-                        add(node.key, 2, digest, 1)
-                    counts: dict[str, int] = {}
-                    for value in _content(node):
-                        counts[value] = counts.get(value, 0) + 1
-                    for value, n in counts.items():
-                        add(node.key, 1, _hash(value), n)
-                if len(held) > HELD:
-                    yield handed(held)
-                    held, seen = {}, {}
-        yield handed(held)
-
-    made = pages.select("host", "body").mapInArrow(run, "key long, kind int, item long, n long, nlogn double")
+                        new.append(key)
+                values = [(node.key, _hash(v), n) for node in found for v, n in Counter(_content(node)).items()]
+                rows.append((k1, k2, *shape, values, digest, new, None, None))
+                held += 1 + len(values) + len(new)
+                if held > most:
+                    yield handed(rows)
+                    shapes, seen, rows, held = {}, {}, [], 0
+        if rows:
+            yield handed(rows)
+
+    return pages.select("host", "body", "k1", "k2").mapInArrow(run, TREES)
+
+
+def _counted(trees: DataFrame) -> DataFrame:
+    """``key, kind, item, n, nlogn``: by kind 0 the pages with each style of a node, by 1 how often each
+    value of its content occurs over all pages of a host, by 2 some different pages that hold it: all
+    of them, or ``MIN_PAGES`` at least."""
+    none = F.lit(0.0).alias("nlogn")
+    styles = trees.where("nodes is not null").select("n", F.inline("nodes")).select(
+        "key", F.lit(0).alias("kind"), F.col("style").alias("item"), "n", none
+    )
+    values = trees.select(F.inline("values")).select(
+        "key", F.lit(1).alias("kind"), "item", F.col("n").cast("long"), (F.col("n") * F.log("n")).alias("nlogn")
+    )
+    copies = trees.select("digest", F.explode("seen").alias("key")).select(
+        "key", F.lit(2).alias("kind"), F.col("digest").alias("item"), F.lit(1).cast("long").alias("n"), none
+    )
+    made = styles.union(values).union(copies)
     return made.groupBy("key", "kind", "item").agg(F.sum("n").alias("n"), F.sum("nlogn").alias("nlogn"))
 
 
@@ -311,16 +365,15 @@ def _judged(parents: list[int], pages: list[int], styles: list[int], imps: list[
     return out
 
 
-def _removable(nodes: list[Node]) -> list[bool]:
+def _removable(nodes: list[Node], parents: list[int]) -> list[bool]:
     """Which nodes the merged tree may remove: all but what is inside an article or main part. An article
     or main part may go as a whole."""
-    inside, out = {id(n): "" for n in nodes[:1]}, []
-    for node in nodes:  # parents come first
-        within = inside[id(node)]
+    below: list[str] = []
+    out = []
+    for node, parent in zip(nodes, parents, strict=True):  # parents come first
+        within = below[parent] if parent >= 0 else ""
         out.append(not within or (within == "main" and node.tag == "article"))
-        below = "article" if "article" in (within, node.tag) else "main" if node.tag == "main" else within
-        for child in node.children:
-            inside[id(child)] = below
+        below.append("article" if "article" in (within, node.tag) else "main" if node.tag == "main" else within)
     return out
 
 
@@ -384,8 +437,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     are no part of it. A page's only article stays.
 
     The tree is never in one place: nodes are hashed paths, counted over all pages by key, so a hot
-    host is spread over all tasks. Pages meet the importance of their own nodes as lists of numbers,
-    and come back to their html by its hash only with the numbers of the nodes to be removed.
+    host is spread over all tasks. A page is parsed twice: for its nodes, which are stored as numbers,
+    and for its text. Sequences of nodes that pages share meet the importance of their nodes once a task,
+    and pages come back to their html by its hash only with the numbers of the nodes to be removed.
 
     Character references are decoded, white space in a block and line breaks become one space, blocks
     are joined by an empty line. Null and empty pages give an empty text; pages without a url are one
@@ -395,41 +449,26 @@ def main_texts(pages: DataFrame) -> DataFrame:
     rows = pages.select(*names, host_of(F.col("url")).alias("host"), utf8(F.col("html")).alias("body")).withColumns(
         {"k1": F.xxhash64("host", "body"), "k2": F.xxhash64(F.lit("second"), "host", "body")}
     )
-    judged = importance(_counted(rows))
-
-    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), _SLICE):
-                out: list[tuple] = []
-                for host, page, a, b in zip(*(c.to_pylist() for c in batch.slice(at, _SLICE).columns), strict=True):
-                    nodes = _keyed(parsed(page), host)
-                    number = {id(n): i for i, n in enumerate(nodes)}
-                    above = {id(c): i for i, n in enumerate(nodes) for c in n.children if id(c) in number}
-                    may = _removable(nodes)
-                    out += [(a, b, i, above.get(id(n), -1), n.key, may[i]) for i, n in enumerate(nodes)]
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(made, ["k1", "k2", "node", "parent", "key", "may"])
-
-    nodes = rows.select("host", "body", "k1", "k2").mapInArrow(
-        laid, "k1 long, k2 long, node int, parent int, key long, may boolean"
-    )
-    known = nodes.join(judged, "key").groupBy("k1", "k2").agg(
+    trees = stored(_trees(rows), "trees")
+    judged = importance(_counted(trees))
+    nodes = trees.where("nodes is not null").select("s1", "s2", F.inline("nodes"))
+    met = nodes.join(judged, "key").groupBy("s1", "s2").agg(
         F.sort_array(F.collect_set(F.struct("node", "parent", "may", "pages", "styles", "imp"))).alias("nodes")
     )
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for found in batch.column(2).to_pylist():
-                cut = _judged(*([x[c] for x in found] for c in ("parent", "pages", "styles", "imp")))
-                out.append([i for i in cut if found[i]["may"]])
+            for found in batch.column(2):
+                parents, may, *known = (found.values.field(i).to_pylist() for i in range(1, 6))
+                out.append([i for i in _judged(parents, *known) if may[i]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["k1", "k2", "removed"]
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["s1", "s2", "removed"]
             )
 
-    removed = stored(known.mapInArrow(low, "k1 long, k2 long, removed array<int>").where("size(removed) > 0"), "removed")
+    cut = met.mapInArrow(low, "s1 long, s2 long, removed array<int>").where("size(removed) > 0")
+    cut_pages = trees.where("nodes is null").select("k1", "k2", "s1", "s2").join(cut, ["s1", "s2"])
+    removed = stored(cut_pages.select("k1", "k2", "removed").dropDuplicates(["k1", "k2"]), "removed")
     slots = rows.withColumnsRenamed({"page_id": "c0", "url": "c1"})
     both = slots.join(removed, ["k1", "k2"], "left").select("c0", "c1", "host", "body", "removed")
 
@@ -438,7 +477,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             out = []
             for host, page, gone in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 root = parsed(page)
-                nodes = _keyed(root, host) if gone else []
+                nodes = _keyed(root, host)[0] if gone else []
                 out.append(_text(root, {id(nodes[i]) for i in gone or ()}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["c0", "c1", "text"])
 
