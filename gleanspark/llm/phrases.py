@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleanspark.llm.shared import byte_views, stored, utf8
+from gleanspark.llm.shared import byte_views, shared_folder, stored, utf8
 
 LEAST = 100  # occurrences of a phrase
 LONGEST = 5  # words
@@ -87,28 +92,90 @@ def _unpacked(data, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size * 4, "zstd"), np.int32)
 
 
-def _word_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """``chunk, lang, words, counts, size, seq``: texts of a language as numbers of the chunk's words."""
+@dataclass(frozen=True)
+class Chunks:
+    """Files of chunks in the shared folder: symbols as rows, in ``texts`` the packed text, a chunk a row group of both.
+
+    A chunk's number is the partition that wrote it, times 2^32, and its row group. ``parts`` names a
+    partition's file, of the attempt that ended well, with its number of chunks.
+    """
+
+    folder: str
+    schema: str
+    parts: dict[int, tuple[str, int]]
+
+    def symbols(self, spark: SparkSession) -> DataFrame:
+        paths = [f"{self.folder}/symbols/{name}" for name, _ in self.parts.values()]
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+
+    def read(self, part: int, columns: list[str], groups: list[int] | None = None) -> Iterator[tuple[pa.Table | None, np.ndarray]]:
+        """``columns`` of the symbols, if any, and the text of a partition's chunks, one at a time."""
+        store, root = fs.FileSystem.from_uri(self.folder)
+        name, made = self.parts[part]
+        with contextlib.ExitStack() as held:
+            texts, symbols = (
+                pq.ParquetFile(held.enter_context(store.open_input_file(f"{root}/{kind}/{name}"))) if kind == "texts" or columns else None
+                for kind in ("texts", "symbols")
+            )
+            for k in range(made) if groups is None else groups:
+                text = texts.read_row_group(k)
+                seq = _unpacked(text.column("seq")[0].as_buffer(), text.column("size")[0].as_py())
+                yield symbols.read_row_group(k, columns) if columns else None, seq
+
+
+def _kept(frame: DataFrame, run: Callable, kinds: dict[str, pa.DataType], encoded: dict[str, str], schema: str, name: str) -> Chunks:
+    """What ``run`` makes of a task's batches: arrays of a chunk's symbols, of ``kinds``, and its text as numbers.
+
+    Workers write it themselves, chunk by chunk. A chunk is never a row of Spark's, which its JVM would
+    hold several times, and no process is started for the permissions of each file. ``encoded`` are
+    columns, and how, of which a dictionary would be as long as they are."""
+    folder = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    columns = pa.schema({"chunk": pa.int64(), **kinds})
+    repeated = [k for k in ("chunk", "lang", "count", "bucket", "n.list.element") if k.split(".")[0] in columns.names]
+    texts = pa.schema({"size": pa.int64(), "seq": pa.binary()})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        file = f"part-{part:05d}-{uuid.uuid4().hex}.parquet"
+        with contextlib.ExitStack() as held:
+
+            def opened(kind: str, schema: pa.Schema, **how) -> pq.ParquetWriter:
+                store, root = fs.FileSystem.from_uri(folder)
+                store.create_dir(f"{root}/{kind}")
+                return held.enter_context(
+                    pq.ParquetWriter(held.enter_context(store.open_output_stream(f"{root}/{kind}/{file}")), schema, **how)
+                )
+
+            for arrays, seq in run(batches):
+                if not made:
+                    symbols = opened("symbols", columns, compression="zstd", compression_level=3, use_dictionary=repeated, column_encoding=encoded)
+                    packed = opened("texts", texts, compression="none", use_dictionary=False, write_statistics=False)
+                rows = len(arrays[0])
+                number = pa.array(np.full(rows, (part << 32) + made, np.int64))
+                symbols.write_table(pa.Table.from_arrays([number, *arrays], schema=columns), row_group_size=rows)
+                text = [pa.array([len(seq)], pa.int64()), pa.array([_packed(seq)], pa.binary())]
+                packed.write_table(pa.Table.from_arrays(text, schema=texts))
+                made += 1
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([file]), pa.array([made])], ["part", "file", "made"])
+
+    files = frame.mapInArrow(write, "part long, file string, made long").collect()  # a row for each partition
+    return Chunks(folder, schema, {r.part: (r.file, r.made) for r in files})
+
+
+def _word_chunks(docs: DataFrame, chunk_bytes: int) -> Chunks:
+    """``chunk, lang, at, word, count``: the words of chunks of a language's texts, which are numbers ``at``."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), utf8(F.col("text")).alias("body"))
-    names = ["chunk", "lang", "words", "counts", "size", "seq"]
+    kinds = {"lang": pa.string(), "at": pa.int32(), "word": pa.binary(), "count": pa.int64()}
 
-    def handed(held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def handed(held: dict[str, list[bytes]]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
         for lang in list(held):
             words, counts, seq = words_of(b"\n".join(held.pop(lang)))
             if len(words):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([uuid.uuid4().hex]),
-                        pa.array([lang]),
-                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                        pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts.astype(np.int64))),
-                        pa.array([len(seq)], pa.int64()),
-                        pa.array([_packed(seq)], pa.binary()),
-                    ],
-                    names,
-                )
+                at = pa.array(np.arange(len(words), dtype=np.int32))
+                yield [pa.repeat(lang, len(words)), at, words, pa.array(counts.astype(np.int64))], seq
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
         held: dict[str, list[bytes]] = {}
         size = 0
         for batch in batches:
@@ -120,50 +187,64 @@ def _word_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
                     held, size = {}, 0
         yield from handed(held)
 
-    schema = "chunk string, lang string, words array<binary>, counts array<long>, size long, seq binary"
-    return stored(texts.mapInArrow(run, schema), "word-chunks", "zstd")
+    schema = "chunk long, lang string, at int, word binary, count long"
+    encoded = {"at": "DELTA_BINARY_PACKED", "word": "DELTA_LENGTH_BYTE_ARRAY"}
+    return _kept(texts, run, kinds, encoded, schema, "word-chunks")
 
 
-def _looked_up(ranked: DataFrame, width: int) -> tuple[list[str], object]:
-    """Columns of a chunk and how to find there its symbols' numbers and ids, by all ids sent to the tasks.
+def _looked_up(ranked: DataFrame, width: int) -> tuple[list[str], Callable, object]:
+    """Columns of a chunk's symbols, how to find there their numbers and ids, and what is sent to the tasks for it: all ids.
 
     ``width`` is the number of symbols that pairs are made of, 0 where the symbols are words.
     """
     context = ranked.sparkSession.sparkContext
     if not width:
         rows = ranked.select("lang", "word", "id").toArrow()
-        langs = np.asarray(rows.column("lang").to_pylist(), object)
-        words, ids = rows.column("word").combine_chunks(), rows.column("id").to_numpy()
-        by_lang = {g: (words.take(pa.array(np.flatnonzero(langs == g))), ids[langs == g]) for g in set(langs)}
+        by_lang = {}
+        for lang in rows.column("lang").unique().to_pylist():
+            of = rows.filter(pc.equal(rows.column("lang"), lang))
+            by_lang[lang] = (of.column("word").combine_chunks(), of.column("id").to_numpy())
         sent = context.broadcast(by_lang)
 
-        def words_in(lang: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            known, ids = sent.value.get(lang[0].as_py(), (pa.array([], pa.binary()), np.zeros(0, np.int64)))
-            place = pc.index_in(words.flatten(), value_set=known).fill_null(-1).to_numpy()
-            return np.flatnonzero(place >= 0), ids[place[place >= 0]]
+        def words_in(symbols: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            known, ids = sent.value.get(symbols.column("lang")[0].as_py(), (pa.array([], pa.binary()), np.zeros(0, np.int64)))
+            # all frequent words are looked up among the chunk's, so the hash table is of the chunk's
+            place = pc.index_in(known, value_set=symbols.column("word").combine_chunks()).fill_null(-1).to_numpy()
+            return place[place >= 0], ids[place >= 0]
 
-        return ["lang", "words"], words_in
+        return ["lang", "word"], words_in, sent
     rows = ranked.select("a", "b", "id").toArrow()
     keys = rows.column("a").to_numpy() * width + rows.column("b").to_numpy()
     order = np.argsort(keys)
     sent = context.broadcast((keys[order], rows.column("id").to_numpy()[order]))
 
-    def pairs_in(groups: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_in(symbols: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys, ids = sent.value
-        flat = groups.flatten()
-        a, b = (flat.field(k).flatten().to_numpy().astype(np.int64) for k in ("a", "b"))
+        a, b = (symbols.column(k).combine_chunks().flatten().to_numpy().astype(np.int64) for k in ("a", "b"))
         asked = a * width + b
         place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         there = np.flatnonzero(keys[place] == asked)
         return there, ids[place[there]]
 
-    return ["groups"], pairs_in
+    return ["a", "b"], pairs_in, sent
 
 
-def _brought(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and ids from the list a join has brought to the chunk."""
-    flat = found.flatten()
-    return tuple(flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+def _brought(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each chunk with its symbols' numbers and ids, from rows ``chunk, at, id`` in the order of ``chunk``."""
+    chunk, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(3)]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(columns[0])) + 1, [len(batch)]))
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            if columns[0][start] != chunk:
+                if held:
+                    yield chunk, *map(np.concatenate, zip(*held, strict=True))
+                chunk, held = int(columns[0][start]), []
+            held.append((columns[1][start:end].copy(), columns[2][start:end].copy()))
+    if held:
+        yield chunk, *map(np.concatenate, zip(*held, strict=True))
 
 
 def _grouped(a: np.ndarray, b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,63 +257,59 @@ def _grouped(a: np.ndarray, b: np.ndarray, groups: int) -> tuple[np.ndarray, np.
     return np.lexsort((b, a, group)), np.cumsum(np.bincount(group.astype(np.int64), minlength=groups))
 
 
-def _paired(chunks: DataFrame, columns: list[str], find, last: bool, tile: int, groups: int, kind: str) -> DataFrame:
-    """``chunk, groups, size, seq`` of chunks: adjacent pairs of frequent symbols by their ids, as
-    groups by hash of ``bucket, start, a, b, n``, and the text as numbers of the chunk's pairs.
+def _paired(chunks: Chunks, ids: DataFrame, find: Callable, last: bool, tile: int, groups: int, kind: str) -> Chunks:
+    """``chunk, bucket, start, a, b, n``: adjacent pairs of chunks' frequent symbols by their ids, as groups
+    by hash, ``start`` being the number of a group's first pair.
 
-    ``find`` gives numbers and ids of a chunk's frequent symbols from ``columns``. ``last`` leaves
-    the text out; ``kind`` is the type of ids."""
-    names, numbers = ["chunk", "groups", "size", "seq"], np.int32 if kind == "int" else np.int64
+    ``find`` gives from batches of ``ids`` numbers and ids of a chunk's frequent symbols, and its text.
+    ``last`` leaves the text out; ``kind`` is the type of ids."""
+    numbers = np.int32 if kind == "int" else np.int64
 
-    def of_groups(a: np.ndarray, b: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    def of_groups(a: np.ndarray, b: np.ndarray, counts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
         full = np.flatnonzero(np.diff(ends, prepend=0))
         starts = np.concatenate(([0], ends[:-1]))[full]
         cut = pa.array(np.append(starts, len(a)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (a.astype(numbers), b.astype(numbers), counts.astype(np.int32))]
-        parts = [pa.array(full.astype(np.int32)), pa.array(starts.astype(np.int64)), *lists]
-        held = pa.StructArray.from_arrays(parts, ["bucket", "start", "a", "b", "n"])
-        return pa.ListArray.from_arrays(pa.array([0, len(full)], pa.int32()), held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = batch.slice(i, 1)
-                symbols, ids = find(*row.columns[3:])
-                if not len(symbols):
-                    continue
-                # the chunk's symbols by their rank in the whole corpus
-                order = np.argsort(ids)
-                ranked = np.full(int(symbols.max()) + 1, -1, np.int32)
-                ranked[symbols[order]] = np.arange(len(ids), dtype=np.int32)
-                ids = ids[order]
-                text = _unpacked(row.column(2)[0].as_buffer(), row.column(1)[0].as_py())
-                text = np.where((text >= 0) & (text < len(ranked)), ranked[np.minimum(text, len(ranked) - 1)], -1)
-                both = (text[:-1] >= 0) & (text[1:] >= 0)
-                if not both.any():
-                    continue
-                left, right, counts, inverse = tiled(text[:-1][both], text[1:][both], len(ids), tile)
-                order, ends = _grouped(ids[left], ids[right], groups)
-                pairs = np.full(0 if last else len(both), -1, np.int32)
-                if not last:
-                    place = np.empty(len(order), np.int32)
-                    place[order] = np.arange(len(order), dtype=np.int32)
-                    pairs[both] = place[inverse]
-                    pairs = pairs[(pairs >= 0) | (np.concatenate(([-1], pairs[:-1])) >= 0)]  # one -1 between stretches
-                made = of_groups(ids[left][order], ids[right][order], counts[order], ends)
-                sizes, packed = pa.array([len(pairs)], pa.int64()), pa.array([_packed(pairs)], pa.binary())
-                yield pa.RecordBatch.from_arrays([row.column(0), made, sizes, packed], names)
-
-    group = f"bucket: int, start: long, a: array<{kind}>, b: array<{kind}>, n: array<int>"
-    schema = f"chunk string, groups array<struct<{group}>>, size long, seq binary"
-    return stored(chunks.select("chunk", "size", "seq", *columns).mapInArrow(run, schema), "pair-chunks", "zstd")
-
-
-def _ranked(frequent: DataFrame, by: list[str]) -> DataFrame:
-    """``frequent`` with ``id``, the rank by ``f``, the most frequent first, gapless from 0."""
-    spark = frequent.sparkSession
+        return [pa.array(full.astype(np.int32)), pa.array(starts.astype(np.int64)), *lists]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+        for symbols, ids, text in find(batches):
+            if not len(symbols):
+                continue
+            # the chunk's symbols by their rank in the whole corpus
+            order = np.argsort(ids)
+            ranked = np.full(int(symbols.max()) + 1, -1, np.int32)
+            ranked[symbols[order]] = np.arange(len(ids), dtype=np.int32)
+            ids = ids[order]
+            text = np.where((text >= 0) & (text < len(ranked)), ranked[np.minimum(text, len(ranked) - 1)], -1)
+            both = (text[:-1] >= 0) & (text[1:] >= 0)
+            if not both.any():
+                continue
+            left, right, counts, inverse = tiled(text[:-1][both], text[1:][both], len(ids), tile)
+            order, ends = _grouped(ids[left], ids[right], groups)
+            pairs = np.full(0 if last else len(both), -1, np.int32)
+            if not last:
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                pairs[both] = place[inverse]
+                pairs = pairs[(pairs >= 0) | (np.concatenate(([-1], pairs[:-1])) >= 0)]  # one -1 between stretches
+            yield of_groups(ids[left][order], ids[right][order], counts[order], ends), pairs
+
+    element = pa.int32() if kind == "int" else pa.int64()
+    kinds = {"bucket": pa.int32(), "start": pa.int64(), "a": pa.list_(element), "b": pa.list_(element), "n": pa.list_(pa.int32())}
+    schema = f"chunk long, bucket int, start long, a array<{kind}>, b array<{kind}>, n array<int>"
+    encoded = dict.fromkeys(["start", "a.list.element"], "DELTA_BINARY_PACKED")
+    return _kept(ids, run, kinds, encoded, schema, "pair-chunks")
+
+
+def _ranked(counted: DataFrame, by: list[str], least: int) -> DataFrame:
+    """``by, f`` of symbols that occur ``least`` times, with ``id``, the rank by ``f``, the most frequent first, gapless from 0.
+
+    These are few rows of many tasks, so they are brought together before they are written."""
+    spark = counted.sparkSession
     order = [F.desc("f"), *by]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = frequent.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    frequent = stored(counted.where(F.col("f") >= least).select(*by, "f").hint("rebalance"), "frequent")
+    laid = frequent.repartitionByRange(*order).sortWithinPartitions(*order)
     laid = stored(
         laid.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}),
         "by-frequency",
@@ -245,14 +322,30 @@ def _ranked(frequent: DataFrame, by: list[str]) -> DataFrame:
     return laid.join(F.broadcast(starts), "part").withColumn("id", F.col("before") + F.col("at")).drop("part", "before", "at")
 
 
-def _with_ids(chunks: DataFrame, symbols: DataFrame, ranked: DataFrame, by: list[str]) -> DataFrame:
-    """``chunk, size, seq, found``: each chunk with the ids of those of its symbols that are frequent."""
-    known = (
-        symbols.join(ranked.select(*by, "id"), by)
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("found"))
-    )
-    return chunks.select("chunk", "size", "seq").join(known, "chunk")
+def _by_all_ids(chunks: Chunks, ranked: DataFrame, width: int) -> tuple[DataFrame, Callable, object]:
+    """Partitions of the chunks, and how to find ids there by all ids sent to the tasks, which comes third."""
+    columns, find, sent = _looked_up(ranked, width)
+    parts = sorted(chunks.parts)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                for symbols, text in chunks.read(parts[k], columns):
+                    yield *find(symbols), text
+
+    return ranked.sparkSession.range(0, len(parts), 1, max(1, len(parts))), found, sent
+
+
+def _by_own_ids(chunks: Chunks, symbols: DataFrame, ranked: DataFrame, by: list[str]) -> tuple[DataFrame, Callable]:
+    """Rows that bring each chunk the ids of those of its symbols that are frequent, and how to read them."""
+    known = symbols.join(ranked.select(*by, "id"), by).select("chunk", F.col("at").cast("long").alias("at"), "id")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for chunk, symbols, ids in _brought(batches):
+            for _, text in chunks.read(chunk >> 32, [], [chunk & 0xFFFFFFFF]):
+                yield symbols, ids, text
+
+    return known.repartition("chunk").sortWithinPartitions("chunk"), found
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -286,16 +379,15 @@ def collocations(
     Null text is empty; a null language is ``und``; repeated rows count each; an empty table gives
     no rows; other columns are not read.
     """
+    spark = docs.sparkSession
     chunks = _word_chunks(docs, chunk_bytes)
-    laid = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
-    symbols = laid.select("chunk", "lang", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
+    symbols = chunks.symbols(spark)
     totals = symbols.groupBy("lang").agg(F.sum("count").alias("n"))
     counted = symbols.groupBy("lang", "word").agg(F.sum("count").alias("f"))
     by, tables, width = ["lang", "word"], [], 0
-    groups = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for length in range(1, LONGEST + 1):
-        frequent = stored(counted.where(F.col("f") >= least).select(*by, "f"), "frequent")
-        ranked = stored(_ranked(frequent, by), "ranked")
+        ranked = _ranked(counted, by, least)
         if length == 1:
             tables.append(
                 ranked.select(
@@ -314,13 +406,15 @@ def collocations(
         rows, size = ranked.agg(F.count("*"), F.sum(word_bytes + 24)).first()  # a word or a pair, and an id
         if not rows or length == LONGEST:
             break
+        kind, last, shared = "int" if rows < 1 << 31 else "long", length + 1 == LONGEST, None
         if size <= sent:
-            columns, find = _looked_up(ranked, width)
+            ids, find, shared = _by_all_ids(chunks, ranked, width)
         else:
-            chunks, columns, find = _with_ids(chunks, symbols, ranked, by), ["found"], _brought
-        kind = "int" if rows < 1 << 31 else "long"
-        chunks, width = _paired(chunks, columns, find, length + 1 == LONGEST, tile, groups, kind), rows
-        parts = chunks.select("chunk", F.explode("groups").alias("g")).select("chunk", "g.*")
+            ids, find = _by_own_ids(chunks, symbols, ranked, by)
+        chunks, width = _paired(chunks, ids, find, last, tile, groups, kind), rows
+        if shared is not None:
+            shared.destroy()
+        parts = chunks.symbols(spark)
         symbols = parts.select("chunk", "start", F.posexplode(F.arrays_zip("a", "b")).alias("at", "x")).select(
             "chunk", (F.col("start") + F.col("at")).alias("at"), *[F.col(f"x.{c}").cast("long").alias(c) for c in ("a", "b")]
         )

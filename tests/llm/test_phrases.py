@@ -1,13 +1,18 @@
 import random
 import re
+import shutil
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from gleanspark.llm.phrases import _score, collocations, tiled, words_of
+from gleanspark.llm import phrases, shared
+from gleanspark.llm.phrases import _brought, _score, collocations, tiled, words_of
 from gleanspark.llm.queries import ORACLE, QUERIES
 from tests.llm.cases import ROWS, no_docs, odd_docs
 
@@ -103,3 +108,42 @@ def test_odd_rows(spark):
     assert of(collocations(docs, 2)) == brute(rows, 2, 2000)
     assert collocations(no_docs(spark).selectExpr("*", "'' AS lang")).count() == 0
     assert collocations(docs, 10**6).count() == 0
+
+
+def test_few_files_and_no_large_rows_by_spark(spark, tmp_path, monkeypatch):
+    """Spark's writer starts a process for each file of a local folder, and holds each row of a chunk whole."""
+    for module in (phrases, shared):
+        monkeypatch.setattr(module, "shared_folder", lambda _: f"file://{tmp_path}", raising=False)
+    rows, before = made(400, 8), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+        assert of(collocations(docs, 5)) == brute(rows, 5, 2000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tables = [p for p in tmp_path.iterdir() if any(p.glob("_SUCCESS"))]
+    assert len(tables) >= 10
+    assert max(len(list(p.glob("part-*"))) for p in tables) < 12
+    assert not [p for p in tables if "chunks" in p.name]
+    for file in tmp_path.glob("*/symbols/*.parquet"):
+        for row in pq.read_table(file).to_pylist():
+            assert sum(len(v) for v in row.values() if isinstance(v, list)) <= 3 * 400
+
+
+def test_files_of_failed_attempts_are_not_read(spark):
+    docs = spark.createDataFrame([("en", "a b a"), ("fr", "c")], "lang string, text string").repartition(1)
+    chunks = phrases._word_chunks(docs, 1 << 20)
+    folder = Path(chunks.folder.removeprefix("file://"))
+    for kind in ("symbols", "texts"):
+        (file,) = (folder / kind).iterdir()
+        shutil.copy(file, file.with_name("part-00000-other.parquet"))
+    words = chunks.symbols(spark).select("lang", F.col("word").cast("string"), "count")
+    assert of(words) == [("en", "a", 2), ("en", "b", 1), ("fr", "c", 1)]
+    assert sorted(text.tolist() for _, text in chunks.read(0, [])) == [[0], [0, 1, 0]]
+
+
+def test_brought_rows_of_a_chunk_meet_across_batches():
+    batches = [[], [(3, 0, 9), (3, 4, 8)], [(3, 5, 7)], [(3, 6, 1), (1 << 32, 2, 5), (1 << 33, 0, 0)], [(1 << 33, 1, 4)]]
+    columns = [[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] for rows in batches]
+    got = [(c, at.tolist(), ids.tolist()) for c, at, ids in _brought(pa.RecordBatch.from_arrays(x, ["chunk", "at", "id"]) for x in columns)]
+    assert got == [(3, [0, 4, 5, 6], [9, 8, 7, 1]), (1 << 32, [2], [5]), (1 << 33, [0, 1], [0, 4])]
